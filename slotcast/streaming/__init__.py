@@ -1,0 +1 @@
+"""No streaming operators: every supported path reads whole tables and writes whole tables."""
