@@ -44,31 +44,42 @@ def _before() -> Window:
     return _across().rowsBetween(Window.unboundedPreceding, -1)
 
 
-def with_position(ordered: DataFrame, name: str = POSITION) -> DataFrame:
-    """Add the 0-based position of each row in the global order."""
-    sizes = ordered.groupBy(CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.select(
-        CHUNK, F.coalesce(F.sum("_n").over(_before()), F.lit(0)).alias("_start")
+def with_running(
+    ordered: DataFrame, sums: dict[str, str | Column], position: str | None = POSITION
+) -> DataFrame:
+    """Add running sums (this row and all before it) and the 0-based position in one pass."""
+    values = {n: (F.col(c) if isinstance(c, str) else c) for n, c in sums.items()}
+    totals = ordered.groupBy(CHUNK).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.sum(v).alias(f"_{n}_total") for n, v in values.items()],
     )
-    return (
-        ordered.join(F.broadcast(starts), CHUNK)
-        .withColumn(name, F.col(PLACE) + F.col("_start"))
-        .drop("_start")
+    starts = totals.select(
+        CHUNK,
+        F.coalesce(F.sum("_rows").over(_before()), F.lit(0)).alias("_rows"),
+        *[
+            F.coalesce(F.sum(f"_{n}_total").over(_before()), F.lit(0)).alias(f"_{n}_before")
+            for n in values
+        ],
     )
+    upto = _inside().rowsBetween(Window.unboundedPreceding, 0)
+    added = {
+        n: F.coalesce(F.sum(v).over(upto), F.lit(0)) + F.col(f"_{n}_before")
+        for n, v in values.items()
+    }
+    if position:
+        added[position] = F.col(PLACE) + F.col("_rows")
+    out = ordered.join(F.broadcast(starts), CHUNK).withColumns(added)
+    return out.drop("_rows", *[f"_{n}_before" for n in values])
+
+
+def with_position(ordered: DataFrame, name: str = POSITION) -> DataFrame:
+    """Add the 0-based position of each row in the global order."""
+    return with_running(ordered, {}, name)
 
 
 def with_running_sum(ordered: DataFrame, value: str, name: str) -> DataFrame:
     """Add the sum of ``value`` over this row and all rows before it."""
-    totals = ordered.groupBy(CHUNK).agg(F.sum(value).alias("_total"))
-    starts = totals.select(
-        CHUNK, F.coalesce(F.sum("_total").over(_before()), F.lit(0)).alias("_start")
-    )
-    inside = F.sum(value).over(_inside().rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        ordered.join(F.broadcast(starts), CHUNK)
-        .withColumn(name, F.coalesce(inside, F.lit(0)) + F.col("_start"))
-        .drop("_start")
-    )
+    return with_running(ordered, {name: value}, None)
 
 
 def with_previous(ordered: DataFrame, columns: list[str], name: str = "prev") -> DataFrame:
@@ -86,25 +97,6 @@ def with_previous(ordered: DataFrame, columns: list[str], name: str = "prev") ->
     )
 
 
-def with_last_known(ordered: DataFrame, value: str, name: str) -> DataFrame:
-    """Add the latest non-null ``value`` up to and including each row."""
-    known = ordered.where(F.col(value).isNotNull()).groupBy(CHUNK).agg(
-        F.max_by(value, PLACE).alias("_known")
-    )
-    chunks = ordered.groupBy(CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-    carried = chunks.join(F.broadcast(known), CHUNK, "left").select(
-        CHUNK, F.last("_known", ignorenulls=True).over(_before()).alias("_carried")
-    )
-    inside = F.last(value, ignorenulls=True).over(
-        _inside().rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return (
-        ordered.join(F.broadcast(carried), CHUNK)
-        .withColumn(name, F.coalesce(inside, F.col("_carried")))
-        .drop("_carried")
-    )
-
-
 def without_order(df: DataFrame) -> DataFrame:
     return df.drop(CHUNK, PLACE)
 

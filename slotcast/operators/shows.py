@@ -96,14 +96,12 @@ def runs(
     )
     first = F.col("_prev").isNull()
     seq = seq.withColumn("starts", F.when(first, 1).otherwise(F.col("starts"))).drop("_prev")
-    seq = O.with_running_sum(seq, "starts", "run_no")
-    seq = O.with_position(seq)
-    seq = seq.withColumn("_at", F.when(F.col("starts") == 1, F.col(O.POSITION)))
-    seq = O.with_last_known(seq, "_at", "_from")
-    seq = seq.withColumn("parttime", (F.col(O.POSITION) - F.col("_from") + 1).cast("int"))
-    totals = seq.groupBy("run_no").agg(F.sum("exposed").alias("min_range"))
-    plain = O.without_order(seq).drop("_at", "_from", O.POSITION)
-    return plain.join(totals, "run_no", "left")
+    seq = O.without_order(O.with_running(seq, {"run_no": "starts"}))
+    totals = seq.groupBy("run_no").agg(
+        F.sum("exposed").alias("min_range"), F.min(O.POSITION).alias("_from")
+    )
+    place = (F.col(O.POSITION) - F.col("_from") + 1).cast("int")
+    return seq.join(totals, "run_no").withColumn("parttime", place).drop("_from", O.POSITION)
 
 
 def show_numbers(run_slots: DataFrame) -> DataFrame:
@@ -178,7 +176,10 @@ def running_show(
         )
     )
     placed = O.in_order(events, "ts", "kind", chunks=chunks)
-    later = Window.partitionBy(O.CHUNK).orderBy(O.PLACE).rowsBetween(1, Window.unboundedFollowing)
+    # newest first, so that the frame only grows
+    later = Window.partitionBy(O.CHUNK).orderBy(F.desc(O.PLACE)).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
     visible = placed.withColumn("_later", F.max("ends").over(later)).where(
         (F.col("kind") == 0) & (F.col("_later").isNull() | (F.col("ends") > F.col("_later")))
     )
@@ -189,7 +190,9 @@ def running_show(
         F.broadcast(begins),
         (F.col("_target") > F.col(O.CHUNK)) & (F.col("ends") > F.col("_begins")),
     )
-    newer = Window.partitionBy("_target").orderBy("ts").rowsBetween(1, Window.unboundedFollowing)
+    newer = Window.partitionBy("_target").orderBy(F.desc("ts")).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
     carried = (
         reaches.withColumn("_later", F.max("ends").over(newer))
         .where(F.col("_later").isNull() | (F.col("ends") > F.col("_later")))

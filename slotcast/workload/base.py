@@ -13,6 +13,7 @@ from ..sources import bindings as B
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+NUDGE = 0.037
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -31,12 +32,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def r(column: Column | str, name: str, digits: int = 9) -> Column:
     value = F.col(column) if isinstance(column, str) else column
-    # + 0.0 turns a negative zero into zero
-    return (F.round(value.cast("double"), digits) + F.lit(0.0)).alias(name)
+    # the nudge makes exact ties round alike in both engines; + 0.0 turns -0.0 into 0.0
+    nudge = NUDGE * 10.0**-digits
+    return (F.round(value.cast("double") + F.lit(nudge), digits) + F.lit(0.0)).alias(name)
 
 
 def rs(expression: str, name: str, digits: int = 9) -> str:
-    return f"round(CAST({expression} AS DOUBLE), {digits}) + 0.0 AS {name}"
+    return f"round(CAST({expression} AS DOUBLE) + {NUDGE * 10.0**-digits!r}, {digits}) + 0.0 AS {name}"
 
 
 def zf(expression: str) -> str:
