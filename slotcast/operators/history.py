@@ -58,10 +58,12 @@ def rolling_from_history(
     return history_join(df, table, ["days", "category"])
 
 
-def mean_sales_origin(df: DataFrame, exclude_self: bool = False) -> DataFrame:
+def mean_sales_origin(
+    df: DataFrame, exclude_self: bool = False, source: DataFrame | None = None
+) -> DataFrame:
     """Mean sales per month and original item, by default with the row itself."""
     keys = ["months", "original_c"]
-    sums = df.where(F.col("original_c").isNotNull()).groupBy(*keys).agg(
+    sums = (df if source is None else source).where(F.col("original_c").isNotNull()).groupBy(*keys).agg(
         F.sum("sales").alias("_sum"), F.count("sales").alias("_n")
     )
     joined = lookup_join(df, sums, keys)

@@ -24,34 +24,43 @@ def distinct_shows(column: str = "show_id") -> Column:
     return F.count_distinct(column)
 
 
-def prev_week(df: DataFrame, key: str, measure: Column, name: str, day: str = "ymd") -> DataFrame:
+def prev_week(
+    df: DataFrame, key: str, measure: Column, name: str, day: str = "ymd",
+    source: DataFrame | None = None,
+) -> DataFrame:
     """``measure`` of the key in the calendar week before; 0 in the first week of the data.
 
-    Null where the key has no row in the week before.
+    Null where the key has no row in the week before.  Here and below ``source`` is the table to
+    aggregate; it defaults to ``df`` and should be a stored stage when ``df`` is a long plan.
     """
+    source = df if source is None else source
     weekly = (
-        df.where(F.col(key).isNotNull())
+        source.where(F.col(key).isNotNull())
         .groupBy(key, F.date_add(week_start(day), 7).alias("_week"))
         .agg(measure.alias(name))
     )
-    first = df.select(F.min(week_start(day))).scalar()
+    first = source.select(F.min(week_start(day))).scalar()
     joined = lookup_join(df.withColumn("_week", week_start(day)), weekly, [key, "_week"])
     return joined.withColumn(
         name, F.when(F.col("_week") == first, F.lit(0)).otherwise(F.col(name))
     ).drop("_week")
 
 
-def prev_day(df: DataFrame, key: str | None, measure: Column, name: str, day: str = "ymd"):
+def prev_day(
+    df: DataFrame, key: str | None, measure: Column, name: str, day: str = "ymd",
+    source: DataFrame | None = None,
+) -> DataFrame:
     """``measure`` on the previous day present in the data; 0 on the first day.
 
     With ``key`` the measure is taken per key, else over the whole day.
     """
-    days = df.select(day).distinct()
+    source = df if source is None else source
+    days = source.select(day).distinct()
     by_day = Window.orderBy(day)  # one row per calendar day
     chain = days.withColumn("_prev_day", F.lag(day).over(by_day))
     keys = [key] if key else []
-    source = df.where(F.col(key).isNotNull()) if key else df
-    daily = source.groupBy(*keys, F.col(day).alias("_prev_day")).agg(measure.alias(name))
+    known = source.where(F.col(key).isNotNull()) if key else source
+    daily = known.groupBy(*keys, F.col(day).alias("_prev_day")).agg(measure.alias(name))
     dated = df.join(F.broadcast(chain), day)  # one row per calendar day
     joined = lookup_join(dated, daily, [*keys, "_prev_day"])
     return joined.withColumn(
@@ -59,32 +68,34 @@ def prev_day(df: DataFrame, key: str | None, measure: Column, name: str, day: st
     ).drop("_prev_day")
 
 
-def prev_week_mean_price(df: DataFrame, key: str, name: str) -> DataFrame:
-    return prev_week(df, key, mean_of("unit_price"), name)
+def prev_week_mean_price(df: DataFrame, key: str, name: str, source=None) -> DataFrame:
+    return prev_week(df, key, mean_of("unit_price"), name, source=source)
 
 
-def prev_week_show_count(df: DataFrame, key: str, name: str) -> DataFrame:
-    return prev_week(df, key, distinct_shows(), name)
+def prev_week_show_count(df: DataFrame, key: str, name: str, source=None) -> DataFrame:
+    return prev_week(df, key, distinct_shows(), name, source=source)
 
 
-def prev_day_mean_price(df: DataFrame, name: str, key: str = "category") -> DataFrame:
-    return prev_day(df, key, mean_of("unit_price"), name)
+def prev_day_mean_price(df: DataFrame, name: str, key: str = "category", source=None) -> DataFrame:
+    return prev_day(df, key, mean_of("unit_price"), name, source=source)
 
 
-def prev_day_show_count(df: DataFrame, name: str, key: str = "category") -> DataFrame:
-    return prev_day(df, key, distinct_shows(), name)
+def prev_day_show_count(df: DataFrame, name: str, key: str = "category", source=None) -> DataFrame:
+    return prev_day(df, key, distinct_shows(), name, source=source)
 
 
-def prev_day_mean_price_all(df: DataFrame, name: str = "lag_all_price_day") -> DataFrame:
-    return prev_day(df, None, mean_of("unit_price"), name)
+def prev_day_mean_price_all(
+    df: DataFrame, name: str = "lag_all_price_day", source=None
+) -> DataFrame:
+    return prev_day(df, None, mean_of("unit_price"), name, source=source)
 
 
 def prev_show_mean_price(
     df: DataFrame, name: str = "lag_all_price_show", show: str = "show_id",
-    chunks: int | None = None,
+    chunks: int | None = None, source: DataFrame | None = None,
 ) -> DataFrame:
     """Mean unit price of the show before, in order of first appearance; 0 for the first show."""
-    shows = df.where(F.col(show).isNotNull()).groupBy(show).agg(
+    shows = (df if source is None else source).where(F.col(show).isNotNull()).groupBy(show).agg(
         F.min("ts").alias("_first"), F.avg("unit_price").alias("_price")
     )
     seq = O.with_previous(O.in_order(shows, "_first", show, chunks=chunks), ["_price"], "_prev")
@@ -96,13 +107,14 @@ def prev_show_mean_price(
 
 def lag_sales(
     df: DataFrame, lags: Sequence[int], prefix: str, within: str | None = None,
-    partition: int | None = None,
+    partition: int | None = None, source: DataFrame | None = None,
 ) -> DataFrame:
     """Sales of the same hour on the n-th previous observed day, for each n in ``lags``.
 
     With ``within``/``partition`` only rows of that partition are used and get values.
     """
-    part = df if within is None else df.where(F.col(within) == partition)
+    source = df if source is None else source
+    part = source if within is None else source.where(F.col(within) == partition)
     hourly = part.groupBy("ymd", "hours").agg(F.coalesce(F.sum("sales"), F.lit(0.0)).alias("_sum"))
     same_hour = Window.partitionBy("hours").orderBy("ymd")  # hours of the calendar
     names = [f"{prefix}{n}" for n in lags]
@@ -116,19 +128,20 @@ def lag_sales(
     return joined.withColumns({c: F.when(keep, F.col(c)) for c in names})
 
 
-def lag_sales_divided(df: DataFrame) -> DataFrame:
+def lag_sales_divided(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """Weekday rows get lags 1..5 among weekdays, weekend rows lags 1, 2 among weekends."""
-    df = lag_sales(df, K.WEEKDAY_LAGS, "lag_sales_wd_", "weekends", 0)
-    return lag_sales(df, K.WEEKEND_LAGS, "lag_sales_wk_", "weekends", 1)
+    df = lag_sales(df, K.WEEKDAY_LAGS, "lag_sales_wd_", "weekends", 0, source)
+    return lag_sales(df, K.WEEKEND_LAGS, "lag_sales_wk_", "weekends", 1, source)
 
 
 def rolling_means(
     df: DataFrame, days: Sequence[int] = K.ROLLING_DAYS, key: str = "category",
-    value: str = "sales", prefix: str = "rolling_mean_",
+    value: str = "sales", prefix: str = "rolling_mean_", source: DataFrame | None = None,
 ) -> DataFrame:
     """Mean of the key's rows in the n days before the row's day, for each n in ``days``."""
     daily = (
-        df.where(F.col(key).isNotNull())
+        (df if source is None else source)
+        .where(F.col(key).isNotNull())
         .groupBy(key, "ymd")
         .agg(F.sum(value).alias("_sum"), F.count(value).alias("_n"))
         .withColumn("_day", F.unix_date("ymd"))

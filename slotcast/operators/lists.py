@@ -20,8 +20,8 @@ def sales_power_table(df: DataFrame, key: str = "product_code") -> DataFrame:
     return sums.select(key, safe_divide("_minutes", "_units").alias("sales_power"))
 
 
-def sales_power(df: DataFrame, key: str = "product_code") -> DataFrame:
-    return lookup_join(df, sales_power_table(df, key), key)
+def sales_power(df: DataFrame, key: str = "product_code", source=None) -> DataFrame:
+    return lookup_join(df, sales_power_table(df if source is None else source, key), key)
 
 
 def sales_power_by_show(df: DataFrame, key: str = "product_code") -> DataFrame:
@@ -33,10 +33,11 @@ def sales_power_by_show(df: DataFrame, key: str = "product_code") -> DataFrame:
     return sums.select(key, safe_divide("_minutes", "_units").alias("sales_power"))
 
 
-def dup_times(df: DataFrame, key: str, name: str = "dup_times") -> DataFrame:
+def dup_times(df: DataFrame, key: str, name: str = "dup_times", source=None) -> DataFrame:
     """Distinct shows of the key on the row's day; 0 where the key is null."""
     counts = (
-        df.where(F.col(key).isNotNull())
+        (df if source is None else source)
+        .where(F.col(key).isNotNull())
         .groupBy("ymd", key)
         .agg(F.count_distinct("show_id").alias(name))
     )

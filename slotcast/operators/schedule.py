@@ -13,14 +13,13 @@ from ..functions.scalar import scaled_profit, uniform, week_start
 from .encode import stack
 
 
-def hourly_slots(start: str, end: str) -> Column:
-    """Array of hourly slot times from the first hour of ``start`` to the last of ``end``."""
-    first = F.to_timestamp_ntz(F.lit(f"{start} 00:00:00"))
-    last = F.to_timestamp_ntz(F.lit(f"{end} 23:00:00"))
-    return F.sequence(first, last, F.expr("interval 1 hour"))
+def hourly_slots(start: Column | str, end: Column | str) -> Column:
+    """Array of hourly slot times from the first hour of day ``start`` to the last of ``end``."""
+    day = lambda d: (F.lit(d) if isinstance(d, str) else d).cast("date").cast("timestamp_ntz")
+    return F.sequence(day(start), day(end) + F.expr("interval 23 hours"), F.expr("interval 1 hour"))
 
 
-def cross_schedule(products: DataFrame, start: str, end: str) -> DataFrame:
+def cross_schedule(products: DataFrame, start: Column | str, end: Column | str) -> DataFrame:
     """Every product on every hourly slot of the planned days.
 
     Each product row unfolds into the calendar's slots in place: no join and no shuffle.

@@ -1 +1,215 @@
-"""To come."""
+"""Encodings, outliers, models, splits and metrics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import encode, evaluate, history, lags, model, outliers, reports
+from ..session import new_path, settle
+from ..sources import bindings as B
+from .base import feat, query, r, rs, sql
+from .lagging import split_history
+from .ranking import SCORED, scored
+
+CODED = ("category", "weekdays", "small_c", "middle_c", "big_c", "original_c")
+
+
+def _rank_sql(c, table="feat"):
+    return f"(SELECT {c}, row_number() OVER (ORDER BY {c}) - 1 AS code FROM (SELECT DISTINCT {c} FROM {table} WHERE {c} IS NOT NULL))"
+
+
+@query(
+    "label_encode",
+    sql(
+        "SELECT f.ts, " + ", ".join(f"CAST(e{i}.code AS INTEGER) AS {c}" for i, c in enumerate(CODED)) + " FROM feat f "
+        + " ".join(f"LEFT JOIN {_rank_sql(c)} e{i} ON e{i}.{c} = f.{c}" for i, c in enumerate(CODED))
+    ),
+)
+def label_encode(spark, sf):
+    return encode.label_encode(feat(spark, sf).select("ts", *CODED))
+
+
+@query(
+    "label_encode_stacked",
+    sql(
+        "SELECT s.ymd, s.small_c, CAST(e.code AS INTEGER) AS code, count(*) AS n FROM s LEFT JOIN "
+        + _rank_sql("product_code", "s") + " e USING (product_code) GROUP BY ALL",
+        "s AS (SELECT ymd, small_c, product_code FROM airings UNION ALL SELECT ymd, small_c, product_code FROM items)",
+    ),
+)
+def label_encode_stacked(spark, sf):
+    """Codes fitted over several stacked datasets."""
+    cols = ["ymd", "small_c", "product_code"]
+    rows = encode.stack([B.airings(spark, sf).select(cols), B.sales(spark, sf).select(cols)])
+    coded = encode.label_encode(rows, ["product_code"])
+    return coded.groupBy("ymd", "small_c", F.col("product_code").alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "label_mapping",
+    sql("SELECT product_code, CAST(code AS INTEGER) AS code FROM " + _rank_sql("product_code", "items")),
+)
+def label_mapping(spark, sf):
+    return encode.code_table(B.sales(spark, sf), "product_code")
+
+
+@query(
+    "factorize",
+    sql("SELECT product_code, CAST(row_number() OVER (ORDER BY f, product_code) - 1 AS INTEGER) AS code"
+        " FROM (SELECT product_code, min(ts) AS f FROM airings GROUP BY 1)"),
+)
+def factorize(spark, sf):
+    return encode.factorize(B.airings(spark, sf), "product_code")
+
+
+HOT = {
+    "category": ("click", "error", "purchase", "signup", "view"),
+    "weekdays": ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"),
+    "big_c": ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"),
+    "japp": tuple(range(24)),
+}
+
+
+@query(
+    "one_hot",
+    sql(
+        "SELECT ts, "
+        + ", ".join(
+            f"CASE WHEN {c} = {v!r} THEN 1 ELSE 0 END AS {c}_{v}" for c, vs in HOT.items() for v in vs
+        )
+        + " FROM feat"
+    ),
+)
+def one_hot(spark, sf):
+    return encode.one_hot(feat(spark, sf).select("ts", *HOT), HOT)
+
+
+@query("one_hot_vectors", sql("SELECT ts, CAST(e.code AS INTEGER) AS hot FROM feat JOIN " + _rank_sql("small_c") + " e USING (small_c)"))
+def one_hot_vectors(spark, sf):
+    """The position of the 1 in each sparse vector."""
+    from pyspark.ml.functions import vector_to_array
+
+    rows = encode.one_hot_vectors(feat(spark, sf).select("ts", "small_c"), ["small_c"])
+    return rows.select("ts", (F.array_position(vector_to_array("small_c_vec"), 1.0) - 1).cast("int").alias("hot"))
+
+
+FEATURES = ("hours", "hours_inweek", "japp", "weekends", "unit_price", "exposed", "rolling_mean_7", "mean_sales_origin", "lag_sales_1")
+CATEGORICAL = ("category", "big_c")
+ROUNDS = 5
+
+
+def modelled(spark, sf):
+    """Features of the airings for the model queries, computed once."""
+    rows = lags.rolling_means(feat(spark, sf), (7,))
+    rows = lags.lag_sales(history.mean_sales_origin(rows), (1,), "lag_sales_")
+    # half months stand in for months, as the airings cover one month
+    return settle(rows.withColumn("months", F.floor((F.col("days") - 1) / 5).cast("int") + 5))
+
+
+@query("remove_outliers")
+def remove_outliers(spark, sf):
+    rows = B.airings(spark, sf).select("ts", "product_code", "unit_price", "sales")
+    return outliers.flag_outliers(rows, ["unit_price", "sales"], ["ts", "product_code"]).groupBy("outlier").agg(
+        F.count(F.lit(1)).alias("n"), r(F.avg("score"), "mean_score"), r(F.avg("sales"), "mean_sales")
+    )
+
+
+@query("two_tier_model")
+def two_tier_model(spark, sf):
+    """Train base and top model per partition, save, load, score and mix."""
+    rows = modelled(spark, sf)
+    parts = []
+    for flag, part in ((0, "weekday"), (1, "weekend")):
+        own = rows.where(F.col("weekends") == flag)
+        sizes = (1000, 500)
+        models = model.fit_two_tier(own, FEATURES, part, 8, sizes, ROUNDS, CATEGORICAL)
+        paths = [model.save_model(m, new_path(spark, f"{part}-model")) for m in models]
+        loaded = tuple(model.load_model(p) for p in paths)
+        _, val = evaluate.time_split(own, 8)
+        mixed = model.score_two_tier(loaded, val, FEATURES, sum(sizes), CATEGORICAL, ranked=own)
+        parts.append(evaluate.metrics(mixed).withColumn("part", F.lit(part)))
+    return encode.stack(parts)
+
+
+@query("expanding_cv")
+def expanding_cv(spark, sf):
+    rows = modelled(spark, sf).where("weekends = 0")
+    return model.expanding_cv(rows, FEATURES, "weekday", (7, 8), ((500, 200),), 3, categorical=CATEGORICAL)
+
+
+@query("month_holdout")
+def month_holdout(spark, sf):
+    rows = modelled(spark, sf).where("weekends = 0")
+    return model.robust_check(rows, FEATURES, "weekday", 8, 10, (1000, 500), 3, categorical=CATEGORICAL)
+
+
+@query("feature_importance")
+def feature_importance(spark, sf):
+    rows = modelled(spark, sf)
+    fitted = model.train_model(rows, FEATURES, model.scaled_params("weekday", "all", ROUNDS), categorical=CATEGORICAL)
+    return model.feature_importance(spark, fitted, 30)
+
+
+@query("kmeans_report")
+def kmeans_report(spark, sf):
+    rows = feat(spark, sf).select("unit_price", "sales", "exposed")
+    return model.kmeans_report(rows, [("unit_price", "sales"), ("exposed", "sales")])
+
+
+@query(
+    "silhouettes",
+    sql(
+        f"""SELECT category, count(*) AS n, {rs('avg(CASE WHEN o.n <= 1 THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END)', 'silhouette', 7)}
+            FROM (
+              SELECT f.ts, f.category, f.x, own.n,
+                     (f.x * f.x - 2 * f.x * own.m + own.sq) * own.n / nullif(own.n - 1, 0) AS a,
+                     min(f.x * f.x - 2 * f.x * o.m + o.sq) AS b
+              FROM (SELECT ts, category, sales AS x FROM airings) f
+              JOIN st own ON own.category = f.category JOIN st o ON o.category <> f.category GROUP BY ALL) o
+            GROUP BY category""",
+        "st AS (SELECT category, count(*) AS n, avg(sales) AS m, avg(sales * sales) AS sq FROM airings GROUP BY 1)",
+    ),
+)
+def silhouettes(spark, sf):
+    """Per-row silhouettes with the category as the cluster."""
+    rows = B.airings(spark, sf).select("category", "sales")
+    return model.sample_silhouettes(rows, ["sales"], "category").groupBy("category").agg(
+        F.count(F.lit(1)).alias("n"), r(F.avg("silhouette"), "silhouette", 7)
+    )
+
+
+@query(
+    "time_split",
+    sql(
+        """SELECT ts, product_code, CASE WHEN ts < b THEN 'train' ELSE 'val' END AS part
+           FROM feat, (SELECT max(ts) AS b FROM feat WHERE days <= 20)"""
+    ),
+)
+def time_split(spark, sf):
+    rows = feat(spark, sf).withColumn("months", F.when(F.col("days") <= 20, 8).otherwise(9))
+    train, val = evaluate.time_split(rows, 8)
+    cols = ["ts", "product_code"]
+    return train.select(*cols, F.lit("train").alias("part")).unionByName(val.select(*cols, F.lit("val").alias("part")))
+
+
+@query(
+    "metrics",
+    sql(
+        f"""SELECT {rs('avg(abs((y - p) / nullif(y, 0))) * 100', 'mape', 7)}, {rs('-avg(abs((y - p) / nullif(y, 0))) * 100', 'neg_mape', 7)},
+                   {rs('sqrt(avg((y - p) * (y - p)))', 'rmse')}, {rs('avg(abs(y - p))', 'mae')},
+                   count(*) FILTER (y = 0) AS zero_truth, count(*) AS n
+            FROM (SELECT CASE WHEN k % 25 = 0 THEN 0.0 ELSE sales END AS y, mean_sales_origin AS p FROM scored)""",
+        SCORED,
+    ),
+)
+def metrics(spark, sf):
+    rows = scored(spark, sf).withColumn("sales", F.when(F.col("k") % 25 == 0, 0.0).otherwise(F.col("sales")))
+    found = evaluate.metrics(rows, pred="mean_sales_origin")
+    return found.select(
+        r("mape", "mape", 7), r("neg_mape", "neg_mape", 7), r("rmse", "rmse"), r("mae", "mae"), "zero_truth", "n"
+    )
+
+
+@query("prediction_vs_truth", sql("SELECT ts, sales AS truth, mean_sales_origin AS predicted FROM scored", SCORED))
+def prediction_vs_truth(spark, sf):
+    return evaluate.prediction_vs_truth(scored(spark, sf), ["ts"], pred="mean_sales_origin")
