@@ -1,0 +1,89 @@
+"""Assignment for groups with too many slots for one task: an auction over DataFrames.
+
+Every round, each slot without an item bids for its best one; each item goes to its highest
+bidder.  Edges and prices stay distributed, and the small state is stored after every round.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window, functions as F
+
+from ..session import settle
+
+
+def _rounds(
+    edges: DataFrame, keys: list[str], bidder: str, item: str, step: float, empty: float,
+    max_rounds: int,
+) -> DataFrame:
+    bidders = settle(edges.select(*keys, bidder).distinct())
+    waiting = bidders.count()
+    state = edges.select(*keys, bidder, item, F.col("profit").alias("price")).limit(0)
+    best_first = Window.partitionBy(*keys, bidder).orderBy(F.desc("_value"), F.col(item))
+    for _ in range(max_rounds):
+        active = bidders.join(state, [*keys, bidder], "left_anti")
+        prices = state.where(F.col(item).isNotNull()).select(*keys, item, "price")
+        offers = (
+            edges.join(active, [*keys, bidder], "left_semi")
+            .join(prices, [*keys, item], "left")
+            .withColumn("_value", F.col("profit") - F.coalesce("price", F.lit(0.0)))
+            .withColumn("_n", F.row_number().over(best_first))
+            .where(F.col("_n") <= 2)
+        )
+        first, second = F.col("_n") == 1, F.col("_n") == 2
+        chosen = offers.groupBy(*keys, bidder).agg(
+            F.max(F.when(first, F.col(item))).alias(item),
+            F.max(F.when(first, F.col("profit"))).alias("_profit"),
+            F.max(F.when(first, F.col("_value"))).alias("_best"),
+            F.max(F.when(second, F.col("_value"))).alias("_next"),
+        )
+        stays_out = F.col("_best") < empty
+        next_best = F.greatest(F.coalesce("_next", F.lit(empty)), F.lit(empty))
+        bids = chosen.select(
+            *keys, bidder, F.when(~stays_out, F.col(item)).alias(item),
+            (F.col("_profit") - next_best + step).alias("price"),
+        )
+        won = (
+            bids.where(F.col(item).isNotNull())
+            .groupBy(*keys, item)
+            .agg(F.max(F.struct("price", bidder)).alias("_b"))
+            .select(*keys, f"_b.{bidder}", item, "_b.price")
+        )
+        out = bids.where(F.col(item).isNull())
+        kept_out = state.where(F.col(item).isNull())
+        kept = state.where(F.col(item).isNotNull()).join(won, [*keys, item], "left_anti")
+        state = settle(
+            won.unionByName(out).unionByName(kept_out).unionByName(kept.select(*won.columns))
+        )
+        if state.count() == waiting:
+            held = state.where(F.col(item).isNotNull()).select(*keys, bidder, item)
+            return held.join(edges, [*keys, bidder, item]).select(*keys, bidder, item, "profit")
+    raise RuntimeError(f"no schedule after {max_rounds} rounds; raise step or max_rounds")
+
+
+def auction(
+    edges: DataFrame, keys: list[str], slot: str, item: str, step: float | None = None,
+    empty: float = 0.0, max_rounds: int = 100_000,
+) -> DataFrame:
+    """Schedule per group whose total profit is within ``step`` per slot of the best.
+
+    Each slot gets at most one item and each item one slot; a slot stays empty where that pays
+    more than ``empty``.  With whole-number profits the default step gives the exact best.
+    """
+    edges = settle(edges.select(*keys, slot, item, F.col("profit").cast("double")))
+    sizes = edges.groupBy(*keys).agg(
+        F.count_distinct(slot).alias("_slots"), F.count_distinct(item).alias("_items")
+    )
+    sizes = settle(sizes)
+    most = sizes.agg(F.max(F.least("_slots", "_items"))).first()[0]  # one number
+    if most is None:
+        return edges
+    step = 1.0 / (most + 1) if step is None else step
+    parts = []
+    # the smaller side bids, so that every unsold item keeps its opening price
+    for wanted, bidder, good in (("_slots <= _items", slot, item), ("_slots > _items", item, slot)):
+        groups = sizes.where(wanted)
+        if groups.limit(1).count():
+            own = edges.join(groups.select(*keys), keys, "left_semi")
+            parts.append(_rounds(own, keys, bidder, good, step, empty, max_rounds))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return out.select(*keys, slot, item, "profit")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StringIndexer
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
+from ..session import settle
 from . import ordered as O
 from .lookup import lookup_join
 
@@ -74,15 +74,15 @@ def code_tables(df: DataFrame, columns: Sequence[str], chunks: int | None = None
 def label_encode(
     df: DataFrame, columns: Sequence[str] | None = None, codes: DataFrame | None = None
 ) -> DataFrame:
-    """Replace string columns by their codes, fitted on ``df`` unless ``codes`` is given."""
+    """Replace string columns by their codes, fitted on ``df`` unless stored ``codes`` are given."""
     columns = list(columns or string_columns(df))
-    codes = code_tables(df, columns) if codes is None else codes
+    codes = settle(code_tables(df, columns)) if codes is None else codes
     order = df.columns
     for c in columns:
         one = codes.where(F.col("column_name") == c).select(
             F.col("value").alias(c), F.col("code").alias("_code")
         )
-        df = lookup_join(df, one, c).drop(c).withColumnRenamed("_code", c)
+        df = lookup_join(df, one, c, stored=True).drop(c).withColumnRenamed("_code", c)
     return df.select(*order)
 
 
@@ -112,13 +112,15 @@ def one_hot(df: DataFrame, values: dict[str, Sequence]) -> DataFrame:
 
 
 def one_hot_vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One sparse vector ``<column>_vec`` per column, for columns with many values."""
-    indexed = [f"{c}_idx" for c in columns]
-    index = StringIndexer(
-        inputCols=list(columns), outputCols=indexed, stringOrderType="alphabetAsc",
-        handleInvalid="keep",
-    )
+    """One sparse vector ``<column>_vec`` per column, for columns with many values.
+
+    The codes come from a distributed table; only the largest code reaches the driver.
+    """
+    indexed = {f"{c}_idx": F.col(c) for c in columns}
+    coded = label_encode(df.withColumns(indexed), list(indexed))
     encode = OneHotEncoder(
-        inputCols=indexed, outputCols=[f"{c}_vec" for c in columns], dropLast=False
+        inputCols=list(indexed), outputCols=[f"{c}_vec" for c in columns], dropLast=False,
+        handleInvalid="keep",
     )
-    return Pipeline(stages=[index, encode]).fit(df).transform(df).drop(*indexed)
+    prepared = coded.withColumns({i: F.col(i).cast("double") for i in indexed})
+    return encode.fit(prepared).transform(prepared).drop(*indexed)

@@ -6,7 +6,7 @@ window ever holds the raw rows of one key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -25,69 +25,71 @@ def distinct_shows(column: str = "show_id") -> Column:
 
 
 def prev_week(
-    df: DataFrame, key: str, measure: Column, name: str, day: str = "ymd",
+    df: DataFrame, key: str, measures: Mapping[str, Column], day: str = "ymd",
     source: DataFrame | None = None,
 ) -> DataFrame:
-    """``measure`` of the key in the calendar week before; 0 in the first week of the data.
+    """Measures of the key in the calendar week before; 0 in the first week of the data.
 
-    Null where the key has no row in the week before.  Here and below ``source`` is the table to
-    aggregate; it defaults to ``df`` and should be a stored stage when ``df`` is a long plan.
+    Null where the key has no row in the week before.  All measures of a key come from one
+    aggregate and one join.  Here and below ``source`` is the table to aggregate; it defaults to
+    ``df`` and should be a stored stage when ``df`` is a long plan.
     """
     source = df if source is None else source
     weekly = (
         source.where(F.col(key).isNotNull())
         .groupBy(key, F.date_add(week_start(day), 7).alias("_week"))
-        .agg(measure.alias(name))
+        .agg(*[m.alias(n) for n, m in measures.items()])
     )
     first = source.select(F.min(week_start(day))).scalar()
     joined = lookup_join(df.withColumn("_week", week_start(day)), weekly, [key, "_week"])
-    return joined.withColumn(
-        name, F.when(F.col("_week") == first, F.lit(0)).otherwise(F.col(name))
+    starts = F.col("_week") == first
+    return joined.withColumns(
+        {n: F.when(starts, F.lit(0)).otherwise(F.col(n)) for n in measures}
     ).drop("_week")
 
 
 def prev_day(
-    df: DataFrame, key: str | None, measure: Column, name: str, day: str = "ymd",
+    df: DataFrame, key: str | None, measures: Mapping[str, Column], day: str = "ymd",
     source: DataFrame | None = None,
 ) -> DataFrame:
-    """``measure`` on the previous day present in the data; 0 on the first day.
+    """Measures on the previous day present in the data; 0 on the first day.
 
-    With ``key`` the measure is taken per key, else over the whole day.
+    With ``key`` they are taken per key, else over the whole day.
     """
     source = df if source is None else source
-    days = source.select(day).distinct()
     by_day = Window.orderBy(day)  # one row per calendar day
-    chain = days.withColumn("_prev_day", F.lag(day).over(by_day))
+    chain = source.select(day).distinct().withColumn("_prev_day", F.lag(day).over(by_day))
     keys = [key] if key else []
     known = source.where(F.col(key).isNotNull()) if key else source
-    daily = known.groupBy(*keys, F.col(day).alias("_prev_day")).agg(measure.alias(name))
+    daily = known.groupBy(*keys, F.col(day).alias("_prev_day")).agg(
+        *[m.alias(n) for n, m in measures.items()]
+    )
     dated = df.join(F.broadcast(chain), day)  # one row per calendar day
     joined = lookup_join(dated, daily, [*keys, "_prev_day"])
-    return joined.withColumn(
-        name, F.when(F.col("_prev_day").isNull(), F.lit(0)).otherwise(F.col(name))
+    starts = F.col("_prev_day").isNull()
+    return joined.withColumns(
+        {n: F.when(starts, F.lit(0)).otherwise(F.col(n)) for n in measures}
     ).drop("_prev_day")
 
 
-def prev_week_mean_price(df: DataFrame, key: str, name: str, source=None) -> DataFrame:
-    return prev_week(df, key, mean_of("unit_price"), name, source=source)
+def prev_week_mean_price(df: DataFrame, key: str, name: str) -> DataFrame:
+    return prev_week(df, key, {name: mean_of("unit_price")})
 
 
-def prev_week_show_count(df: DataFrame, key: str, name: str, source=None) -> DataFrame:
-    return prev_week(df, key, distinct_shows(), name, source=source)
+def prev_week_show_count(df: DataFrame, key: str, name: str) -> DataFrame:
+    return prev_week(df, key, {name: distinct_shows()})
 
 
-def prev_day_mean_price(df: DataFrame, name: str, key: str = "category", source=None) -> DataFrame:
-    return prev_day(df, key, mean_of("unit_price"), name, source=source)
+def prev_day_mean_price(df: DataFrame, name: str, key: str = "category") -> DataFrame:
+    return prev_day(df, key, {name: mean_of("unit_price")})
 
 
-def prev_day_show_count(df: DataFrame, name: str, key: str = "category", source=None) -> DataFrame:
-    return prev_day(df, key, distinct_shows(), name, source=source)
+def prev_day_show_count(df: DataFrame, name: str, key: str = "category") -> DataFrame:
+    return prev_day(df, key, {name: distinct_shows()})
 
 
-def prev_day_mean_price_all(
-    df: DataFrame, name: str = "lag_all_price_day", source=None
-) -> DataFrame:
-    return prev_day(df, None, mean_of("unit_price"), name, source=source)
+def prev_day_mean_price_all(df: DataFrame, name: str = "lag_all_price_day") -> DataFrame:
+    return prev_day(df, None, {name: mean_of("unit_price")})
 
 
 def prev_show_mean_price(

@@ -9,9 +9,14 @@ from ..session import settle
 MAX_BROADCAST_ROWS = 200_000
 
 
-def sized(table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Compute ``table`` once and mark it for broadcast only if its counted size allows that."""
-    kept = settle(table)
+def sized(
+    table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, stored: bool = False
+) -> DataFrame:
+    """Mark ``table`` for broadcast only if its counted size allows that.
+
+    It is computed once and kept, unless it is a ``stored`` table already.
+    """
+    kept = table if stored else settle(table)
     return F.broadcast(kept) if kept.count() <= max_rows else kept
 
 
@@ -21,18 +26,20 @@ def lookup_join(
     on: str | list[str],
     how: str = "left",
     max_rows: int = MAX_BROADCAST_ROWS,
+    stored: bool = False,
 ) -> DataFrame:
     """Join a table of narrow rows, unique on ``on``, to the facts.
 
     Small tables are broadcast after a count, so the facts keep their partitioning.  Larger ones
     take Spark's shuffled join, where adaptive execution splits hot keys.
     """
-    return facts.join(sized(table, max_rows), on, how)
+    return facts.join(sized(table, max_rows, stored), on, how)
 
 
-def member_flag(facts: DataFrame, members: DataFrame, keys: list[str], name: str) -> DataFrame:
+def member_flag(
+    facts: DataFrame, members: DataFrame, keys: list[str], name: str, stored: bool = False
+) -> DataFrame:
     """1 if the row's key is in the fitted list ``members``, else 0."""
-    marked = members.select(*keys).where(
-        F.concat(*[F.col(k).cast("string") for k in keys]).isNotNull()
-    ).distinct().withColumn(name, F.lit(1))
-    return lookup_join(facts, marked, keys).withColumn(name, F.coalesce(name, F.lit(0)))
+    marked = members.select(*keys).dropna().distinct().withColumn(name, F.lit(1))
+    joined = lookup_join(facts, marked, keys, stored=stored)
+    return joined.withColumn(name, F.coalesce(name, F.lit(0)))

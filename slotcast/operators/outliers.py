@@ -47,6 +47,15 @@ def _grow(sample: pd.DataFrame, columns: list[str], seed: int) -> pd.DataFrame:
     return pd.DataFrame(nodes, columns=["tree", "node", "feature", "split", "left", "right", "path"])
 
 
+def _smallest(rows: DataFrame, n: int, columns: list[str]) -> DataFrame:
+    """The ``n`` rows with the smallest hashes, looked for below a hash limit first."""
+    total = rows.count()
+    if total > 8 * n:
+        near = rows.where(F.col("_u") < 4.0 * n / total)
+        rows = near if near.count() >= n else rows
+    return rows.orderBy("_u", *columns).limit(n)
+
+
 def fit_forest(
     df: DataFrame, columns: list[str], keys: list[str], trees: int = K.OUTLIER_TREES,
     samples: int = K.OUTLIER_SAMPLES, seed: int = K.SEED,
@@ -57,7 +66,7 @@ def fit_forest(
     """
     values = [F.col(c).cast("double").alias(c) for c in columns]
     rows = df.select(*values, uniform(seed, *keys).alias("_u")).dropna()
-    pool = settle(rows.orderBy("_u", *columns).limit(trees * samples))
+    pool = settle(_smallest(rows, trees * samples, columns))
     each = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     drawn = Window.partitionBy("tree").orderBy(uniform(seed, "tree", "_u"), "_u", *columns)
     chosen = each.withColumn("_n", F.row_number().over(drawn)).where(F.col("_n") <= samples)

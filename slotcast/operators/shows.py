@@ -183,11 +183,15 @@ def running_show(
     visible = placed.withColumn("_later", F.max("ends").over(later)).where(
         (F.col("kind") == 0) & (F.col("_later").isNull() | (F.col("ends") > F.col("_later")))
     )
-    begins = placed.groupBy(O.CHUNK).agg(F.min("ts").alias("_begins")).withColumnRenamed(
-        O.CHUNK, "_target"
-    )  # one row per partition
-    reaches = visible.select(O.CHUNK, "ts", "ends").join(
-        F.broadcast(begins),
+    # one row per partition in both small tables
+    begins = settle(placed.groupBy(O.CHUNK).agg(F.min("ts").alias("_begins")))
+    borders = begins.select(
+        O.CHUNK, F.lead("_begins").over(Window.orderBy(O.CHUNK)).alias("_border")
+    )
+    crossing = visible.join(F.broadcast(borders), O.CHUNK).where(F.col("ends") > F.col("_border"))
+    targets = begins.withColumnRenamed(O.CHUNK, "_target")
+    reaches = crossing.select(O.CHUNK, "ts", "ends").join(
+        F.broadcast(targets),
         (F.col("_target") > F.col(O.CHUNK)) & (F.col("ends") > F.col("_begins")),
     )
     newer = Window.partitionBy("_target").orderBy(F.desc("ts")).rowsBetween(

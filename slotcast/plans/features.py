@@ -9,19 +9,22 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as K
 from ..functions import scalar as S
 from ..operators import encode, external, history, lags, lists, shows
-from ..operators.lookup import member_flag
+from ..operators.lookup import lookup_join, member_flag
 from ..session import settle
 from ..sources.tables import read_table, write_table
 
 GRID_MODES = ("hungarian", "hungarian_h1")
 LEVEL_KEYS = {"small": "small_c_code", "middle": "middle_c_code", "big": "big_c_code"}
 CLICK_NAMES = {"small": "small_click_r", "middle": "mid_click_r", "big": "big_click_r"}
+AGES = ("age30", "age40", "age50", "age60above")
+DEVICES = ("pc", "mobile")
 LAG_KEYS = (
     ("scode", "product_code"), ("mcode", "mother_code"), ("bigcat", "category"),
     ("small_c", "small_c"),
@@ -116,32 +119,41 @@ def fit_lists(base: DataFrame, config: FeatureConfig) -> dict[str, DataFrame]:
 
 
 def apply_lists(df: DataFrame, fitted: Mapping[str, DataFrame]) -> DataFrame:
+    """Flags of stored lists."""
     for name, table in fitted.items():
         keys = ["hours", "small_c"] if name == "prime_smallc" else ["mother_code"]
-        df = member_flag(df, table, keys, name)
+        df = member_flag(df, table, keys, name, stored=True)
     return df
 
 
 def lag_columns(df: DataFrame, base: DataFrame) -> DataFrame:
     """Previous week per key, previous day per category, previous show."""
+    price, count = lags.mean_of("unit_price"), lags.distinct_shows()
     for short, key in LAG_KEYS:
-        df = lags.prev_week_mean_price(df, key, f"lag_{short}_price", source=base)
-        df = lags.prev_week_show_count(df, key, f"lag_{short}_count", source=base)
-    df = lags.prev_day_mean_price(df, "lag_bigcat_price_day", source=base)
-    df = lags.prev_day_show_count(df, "lag_bigcat_count_day", source=base)
+        named = {f"lag_{short}_price": price, f"lag_{short}_count": count}
+        df = lags.prev_week(df, key, named, source=base)
+    named = {"lag_bigcat_price_day": price, "lag_bigcat_count_day": count}
+    df = lags.prev_day(df, "category", named, source=base)
     df = lags.prev_show_mean_price(df, "lag_all_price_show", source=base)
     # the studied feature of this name is per show as well
     return df.withColumn("lag_all_price_day", F.col("lag_all_price_show"))
 
 
 def external_columns(df: DataFrame, side: SideTables, config: FeatureConfig) -> DataFrame:
+    """Click, age and device signals in one lookup per category level, and weather."""
     if not config.counterfactual:
-        for level, rates in side.clicks.items():
-            df = external.add_click_rate(df, rates, LEVEL_KEYS[level], CLICK_NAMES[level])
-        if side.age is not None:
-            df = external.add_level_shares(df, side.age, ["age30", "age40", "age50", "age60above"], LEVEL_KEYS)
-        if side.device is not None:
-            df = external.add_level_shares(df, side.device, ["pc", "mobile"], LEVEL_KEYS)
+        for level, key in LEVEL_KEYS.items():
+            signals = []
+            if level in side.clicks:
+                rate = F.col("click_rate").alias(CLICK_NAMES[level])
+                signals.append(side.clicks[level].select("code", "ymd", rate))
+            for table, measures in ((side.age, AGES), (side.device, DEVICES)):
+                if table is not None:
+                    named = [F.col(m).alias(f"{m}_{level}") for m in measures]
+                    signals.append(table.select("code", "ymd", *named))
+            if signals:
+                both = reduce(lambda a, b: a.join(b, ["code", "ymd"], "full"), signals)
+                df = lookup_join(df, both.withColumnRenamed("code", key), [key, "ymd"])
     return df if side.weather is None else external.add_weather(df, side.weather)
 
 

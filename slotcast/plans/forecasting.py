@@ -13,6 +13,7 @@ from ..operators import encode, model
 from ..operators.evaluate import metrics, time_split
 from ..operators.schedule import submission
 from ..operators.encode import stack
+from ..session import settle
 from .features import FeatureConfig, Features, SideTables, run_all
 
 PARTS = {"weekday": 0, "weekend": 1}
@@ -36,7 +37,7 @@ def input_columns(df: DataFrame, part: str) -> list[str]:
 def encoded(frames: Sequence[DataFrame], columns: Sequence[str]) -> list[DataFrame]:
     """Fill lag nulls with zero and replace strings by codes fitted over all frames."""
     both = stack([f.select(*columns) for f in frames])
-    codes = encode.code_tables(both, columns).cache()
+    codes = settle(encode.code_tables(both, columns))
     return [encode.label_encode(encode.na_to_zeroes(f), columns, codes) for f in frames]
 
 
