@@ -70,9 +70,13 @@ def minute_start(ts: Column | str) -> Column:
     return (F.floor(F.minute(_c(ts)) / 20) * 20).cast("int")
 
 
-def rounded_hour(ts: Column | str) -> Column:
-    """The hour, rounded up from minute 30, on a 24-hour clock."""
-    return F.pmod(F.hour(_c(ts)) + F.when(F.minute(_c(ts)) >= 30, 1).otherwise(0), F.lit(24))
+def rounded_hour(ts: Column | str, minute: Column | str | None = None) -> Column:
+    """The hour, rounded up from minute 30, on a 24-hour clock.
+
+    ``minute`` may be a coarser minute, such as ``minute_start``.
+    """
+    minute = F.minute(_c(ts)) if minute is None else _c(minute)
+    return F.pmod(F.hour(_c(ts)) + F.when(minute >= 30, 1).otherwise(0), F.lit(24))
 
 
 def rounded_exposure(exposed: Column | str) -> Column:

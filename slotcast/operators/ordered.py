@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import settle
 
 CHUNK, PLACE, POSITION = "_chunk", "_place", "_position"
+_SKETCH = 10_000
 _PLACE_BITS = 33  # monotonically_increasing_id keeps the row number in its lower 33 bits
 
 
@@ -104,15 +105,31 @@ def without_order(df: DataFrame) -> DataFrame:
 def top_rows(df: DataFrame, order: list[Column], first: int, last: int) -> DataFrame:
     """Rows with 1-based rank ``first``..``last`` under a total order.
 
-    Meant for small ranks (top-k reports); see ``rank_slice`` for ranks in the thousands.
+    Meant for small ranks (top-k reports); see ``top_positions`` for ranks in the thousands.
     """
     return df.orderBy(*order).offset(first - 1).limit(last - first + 1)
 
 
-def rank_slice(df: DataFrame, order: list[Column], first: int, last: int) -> DataFrame:
-    """As ``top_rows`` for any rank, without gathering the slice in one task."""
-    placed = with_position(in_order(df, *order))
-    return without_order(placed.where(F.col(POSITION).between(first - 1, last - 1))).drop(POSITION)
+def _near_top(rows: DataFrame, score: str, n: int) -> DataFrame:
+    """Rows above an approximate cut that is sure to keep the ``n`` highest scores."""
+    total = rows.count()
+    share = max(2.0 * n / total, 4.0 / _SKETCH) if total else 1.0
+    if share >= 0.5:
+        return rows
+    cut = rows.select(F.percentile_approx(score, 1.0 - share, _SKETCH)).scalar()
+    near = rows.where(F.col(score) >= cut)
+    return near if near.count() >= n else rows
+
+
+def top_positions(df: DataFrame, score: str, keys: list[str], n: int) -> DataFrame:
+    """Keys and 0-based position of the ``n`` rows with the highest score (ties by key).
+
+    A sketch of the scores cuts off the bulk first, so only few narrow rows are sorted; the count
+    of the rest is checked, and all rows are sorted if it falls short.
+    """
+    near = _near_top(df.select(*keys, score), score, n)
+    placed = with_position(in_order(near, F.desc_nulls_last(score), *map(F.col, keys)))
+    return placed.where(F.col(POSITION) < n).select(*keys, POSITION)
 
 
 def quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:

@@ -148,16 +148,21 @@ def triplet_wins(df: DataFrame, key: str, strength: str) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of each pair of columns, long form."""
-    pairs = list(combinations(columns, 2))
-    wide = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    """Pearson correlation of each pair of columns over the rows where both are known.
+
+    Each row unfolds into its pairs inside the task, where they are combined at once; only one
+    partial result per pair is shuffled.
+    """
     cells = F.array(
         *[
-            F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"`{a}|{b}`").alias("corr"))
-            for a, b in pairs
+            F.struct(
+                F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
+                F.col(a).cast("double").alias("_x"), F.col(b).cast("double").alias("_y"),
+            )
+            for a, b in combinations(columns, 2)
         ]
     )
-    return wide.select(F.inline(cells))
+    return df.select(F.inline(cells)).groupBy("col_a", "col_b").agg(F.corr("_x", "_y").alias("corr"))
 
 
 def daily_means(df: DataFrame, value: str = "sales") -> DataFrame:

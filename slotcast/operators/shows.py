@@ -239,4 +239,5 @@ def show_sequence(
     seq = show_numbers(runs(slots, run_key, chunks))
     seq = settle(seq.select("ts", "parttime", "starts", "show_id", "min_range"))
     shows = seq.where("starts = 1").select(F.col("ts").alias("start"), "show_id", "min_range")
-    return assign_show(df.join(seq.select("ts", "parttime"), "ts", "left"), shows, chunks)
+    per_slot = assign_show(seq.select("ts", "parttime"), shows, chunks)
+    return df.join(per_slot, "ts", "left")  # the only shuffle of the full rows

@@ -230,11 +230,20 @@ def write_features(features: Features, folder: str) -> str:
     return folder
 
 
-def read_features(spark, folder: str, weekends: int | None = None) -> DataFrame:
-    """All rows, or one side without the other side's lag columns."""
+def read_features(
+    spark, folder: str, weekends: int | None = None, lags: bool = True, clicks: bool = True
+) -> DataFrame:
+    """All rows, or one side without the other side's lag columns.
+
+    ``lags=False`` also drops rolling means and sales lags, ``clicks=False`` the click signals.
+    """
     df = read_table(spark, f"{folder}/features")
-    if weekends is None:
-        return df
-    other = "lag_sales_wk_" if weekends == 0 else "lag_sales_wd_"
-    kept = df.where(F.col("weekends") == weekends)
-    return kept.drop(*[c for c in df.columns if c.startswith(other)])
+    dropped = []
+    if weekends is not None:
+        df = df.where(F.col("weekends") == weekends)
+        dropped.append("lag_sales_wk_" if weekends == 0 else "lag_sales_wd_")
+    if not lags:
+        dropped += ["rolling_mean_", "lag_sales_"]
+    if not clicks:
+        dropped += [*CLICK_NAMES.values(), *AGES, *DEVICES]
+    return df.drop(*[c for c in df.columns if c.startswith(tuple(dropped))]) if dropped else df

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import scalar as S
-from ..operators import encode, external, lists, reports, schedule, shows
-from ..operators.lookup import lookup_join, member_flag
+from ..operators import encode, external, lists, reports, shows
+from ..operators.lookup import member_flag
 from ..session import new_path
 from ..sources import bindings as B, tables as T
 from .base import feat, query, r, rs, slots, sql
@@ -167,6 +167,23 @@ def pair_flag(spark, sf):
     return member_flag(rows, lists.fit_prime_items(rows), ["hours", "small_c"], "prime_smallc").select("ts", "prime_smallc")
 
 
+@query(
+    "brand_flag",
+    sql(
+        """SELECT ts, CASE WHEN mother_code IN (
+                    SELECT mother_code FROM power
+                    WHERE sales_power > (SELECT quantile_cont(sales_power, 0.7) FROM power)
+                      AND unit_price > (SELECT quantile_cont(unit_price, 0.7) FROM power)) THEN 1 ELSE 0 END AS bpower
+           FROM power""",
+        f"""power AS (SELECT *, {rs("sum(exposed) OVER p / nullif(sum(volume) OVER p, 0)", "sales_power")}
+                      FROM feat WINDOW p AS (PARTITION BY product_code))""",
+    ),
+)
+def brand_flag(spark, sf):
+    rows = lists.sales_power(feat(spark, sf)).withColumn("sales_power", r("sales_power", "sales_power"))
+    return member_flag(rows, lists.fit_brand_power(rows), ["mother_code"], "bpower").select("ts", "bpower")
+
+
 @query(
     "overlap",
     sql(

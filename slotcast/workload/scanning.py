@@ -175,6 +175,16 @@ def rounded_hour(spark, sf):
     return B.airings(spark, sf).select("ts", S.rounded_hour("ts").alias("japp"))
 
 
+@query(
+    "rounded_hour_coarse",
+    sql("SELECT ts, (hour(ts) + CASE WHEN (minute(ts) // 20) * 20 >= 30 THEN 1 ELSE 0 END) % 24 AS japp FROM feat"),
+)
+def rounded_hour_coarse(spark, sf):
+    """Rounded from the 20-minute start instead of the minute."""
+    coarse = S.rounded_hour("ts", S.minute_start("ts"))
+    return B.airings(spark, sf).select("ts", coarse.alias("japp"))
+
+
 @query(
     "round_exposed",
     sql("SELECT ts, CASE WHEN exposed < 25 THEN 20 WHEN exposed >= 25 THEN 30 END AS exposed_t FROM gaps"),

@@ -29,12 +29,24 @@ def test_running_and_previous(numbers, chunks):
         prev = (row.v, row.s)
 
 
-def test_rank_slice(numbers):
-    from pyspark.sql import functions as F
+@pytest.mark.parametrize("n", [1, 50, 499, 600])
+def test_top_positions(numbers, n):
+    got = O.top_positions(numbers, "v", ["k"], n).collect()
+    rows = sorted(numbers.collect(), key=lambda x: (-x.v, x.k))[:n]
+    assert [x.k for x in sorted(got, key=lambda x: x[O.POSITION])] == [x.k for x in rows]
 
-    got = O.rank_slice(numbers, [F.desc("v"), F.col("k")], 11, 60).collect()
-    rows = sorted(numbers.collect(), key=lambda x: (-x.v, x.k))[10:60]
-    assert {x.k for x in got} == {x.k for x in rows}
+
+def test_top_positions_after_a_cut(spark):
+    df = spark.range(60_000).selectExpr("id", "cast(pmod(id * 7919, 50021) as double) as s")
+    got = {x.id for x in O.top_positions(df, "s", ["id"], 9).collect()}
+    rows = sorted(df.collect(), key=lambda x: (-x.s, x.id))[:9]
+    assert got == {x.id for x in rows}
+
+
+def test_top_positions_with_nulls(spark):
+    df = spark.createDataFrame([(i, float(i) if i < 5 else None) for i in range(200)], "k int, s double")
+    got = O.top_positions(df, "s", ["k"], 8).collect()
+    assert [x.k for x in sorted(got, key=lambda x: x[O.POSITION])] == [4, 3, 2, 1, 0, 5, 6, 7]
 
 
 def test_quantiles_match_interpolation(spark):
