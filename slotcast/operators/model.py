@@ -18,9 +18,14 @@ from .evaluate import metrics, mix_predictions, month_holdout, time_split, top_s
 KEYS = ["ts", "product_code"]
 
 
-def with_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Numeric model inputs: doubles, nulls as 0."""
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns})
+_IN, _SET = "_in", "_set"
+
+
+def with_inputs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Add the numeric model inputs ``<name>_in``: doubles, nulls as 0."""
+    return df.withColumns(
+        {f"{c}{_IN}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns}
+    )
 
 
 def train_model(
@@ -32,11 +37,11 @@ def train_model(
     numeric = [f for f in features if f not in categorical]
     stages = [
         StringIndexer(
-            inputCols=list(categorical), outputCols=[f"{c}_code" for c in categorical],
+            inputCols=list(categorical), outputCols=[f"{c}{_SET}" for c in categorical],
             stringOrderType="alphabetAsc", handleInvalid="keep",
         )
     ] if categorical else []
-    assembled = numeric + [f"{c}_code" for c in categorical]
+    assembled = [f"{c}{_IN}" for c in numeric] + [f"{c}{_SET}" for c in categorical]
     stages.append(VectorAssembler(inputCols=assembled, outputCol="features"))
     stages.append(
         GBTRegressor(
@@ -44,8 +49,8 @@ def train_model(
             checkpointInterval=10, **params,
         )
     )
-    needed = [*numeric, *categorical, label]
-    return Pipeline(stages=stages).fit(with_numbers(train.select(*needed), numeric))
+    rows = with_inputs(train.select(*dict.fromkeys([*numeric, *categorical, label])), numeric)
+    return Pipeline(stages=stages).fit(rows)
 
 
 def predict(
@@ -54,10 +59,8 @@ def predict(
 ) -> DataFrame:
     """``df`` with the model's value as ``name``; feature columns keep their own values."""
     numeric = [f for f in features if f not in categorical]
-    inputs = F.struct(*df.columns).alias("_row")
-    prepared = with_numbers(df.select(inputs, *[f for f in [*numeric, *categorical]]), numeric)
-    scored = model.transform(prepared)
-    return scored.select("_row.*", F.col("prediction").alias(name))
+    scored = model.transform(with_inputs(df, numeric))
+    return scored.select(*df.columns, F.col("prediction").alias(name))
 
 
 def save_model(model: PipelineModel, path: str) -> str:
@@ -148,7 +151,7 @@ def expanding_cv(
 
 def feature_importance(spark: SparkSession, model: PipelineModel, k: int = 30) -> DataFrame:
     """The ``k`` most important features (one row per model input)."""
-    names = model.stages[-2].getInputCols()
+    names = [c.removesuffix(_IN).removesuffix(_SET) for c in model.stages[-2].getInputCols()]
     values = model.stages[-1].featureImportances.toArray()
     rows = [(n, float(v)) for n, v in zip(names, values)]
     table = spark.createDataFrame(rows, "feature string, importance double")

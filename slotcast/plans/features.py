@@ -178,6 +178,8 @@ def sales_history_columns(
         else:
             names = [f"lag_sales_{n}" for n in K.UNDIVIDED_LAGS]
         names = [n for n in names if n in past.columns]
+        if not names:
+            raise ValueError("history lacks the sales lags that this mode takes over")
         rolling = [f"rolling_mean_{n}" for n in K.ROLLING_DAYS]
         df = history.rolling_from_history(df, past, rolling, config.carry_july)
         df = history.mean_sales_origin_from_history(df, past)

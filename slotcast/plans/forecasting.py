@@ -1,4 +1,4 @@
-"""Feature tables to models, predictions, submission and the counterfactual run."""
+"""Feature tables to models, predictions, submission, candidate scores, counterfactual run."""
 
 from __future__ import annotations
 
@@ -12,90 +12,124 @@ from .. import constants as K
 from ..operators import encode, model
 from ..operators.evaluate import metrics, time_split
 from ..operators.schedule import submission
-from ..operators.encode import stack
 from ..session import settle
-from .features import FeatureConfig, Features, SideTables, run_all
+from .features import FeatureConfig, SideTables, run_all
 
 PARTS = {"weekday": 0, "weekend": 1}
-ID_COLUMNS = ("ts", "product_code", "sales", "show_id", "months", "weekends")
-NOT_INPUTS = (*K.USELESS_COLUMNS, "product_code", "sales", "show_id", "original_c", "k")
-SETS = ("category", "weekdays", "pay", "exposed_t")
+KEYS = ("ts", "product_code")
+CODED = ("product_no", "category", "weekdays", "small_c", "middle_c", "big_c", "original_c", "pay", "exposed_t")
+SETS = ("weekdays",)
+NOT_INPUTS = (*K.USELESS_COLUMNS, *KEYS, "sales", "show_id", "broadcast_day", "k")
+CANDIDATE_DROPS = ("product_no", "original_c")
 Models = Mapping[str, tuple[PipelineModel, PipelineModel]]
 
 
-def input_columns(df: DataFrame, part: str) -> list[str]:
-    """Model inputs by name: numbers, and string columns with a fixed set of values."""
-    other = "lag_sales_wk_" if part == "weekday" else "lag_sales_wd_"
-    kinds = dict(df.dtypes)
-    return [
-        c for c in df.columns
-        if c not in NOT_INPUTS and not c.startswith(other)
-        and (c in SETS or kinds[c] not in ("string", "date", "timestamp_ntz"))
-    ]
-
+def encoded(frames: Sequence[DataFrame], columns: Sequence[str] = CODED) -> list[DataFrame]:
+    """Zero-fill lag columns and code the string columns, fitted over all frames.
 
-def encoded(frames: Sequence[DataFrame], columns: Sequence[str]) -> list[DataFrame]:
-    """Fill lag nulls with zero and replace strings by codes fitted over all frames."""
-    both = stack([f.select(*columns) for f in frames])
-    codes = settle(encode.code_tables(both, columns))
+    The product code stays as the key; its code is the column ``product_no``.
+    """
+    frames = [f.withColumn("product_no", F.col("product_code")) for f in frames]
+    columns = [c for c in columns if all(c in f.columns for f in frames)]
+    codes = settle(encode.code_tables(encode.stack([f.select(*columns) for f in frames]), columns))
     return [encode.label_encode(encode.na_to_zeroes(f), columns, codes) for f in frames]
 
 
+def input_columns(df: DataFrame, part: str | None = None, shared: Sequence[str] | None = None):
+    """Numeric columns by name, without keys, target, dropped columns and the other part's lags."""
+    other = {"weekday": "lag_sales_wk_", "weekend": "lag_sales_wd_"}.get(part)
+    return [
+        c for c, kind in df.dtypes
+        if c not in NOT_INPUTS
+        and kind not in ("string", "date", "timestamp_ntz")
+        and not (other and c.startswith(other))
+        and (shared is None or c in shared)
+    ]
+
+
 def train_parts(
     train: DataFrame, month: int = 8, sizes: Mapping[str, tuple[int, int]] | None = None,
-    rounds: int | None = None, inputs: Sequence[str] | None = None,
+    rounds: int | None = None, shared: Sequence[str] | None = None,
 ) -> Models:
-    """Base and top model for weekdays and weekends."""
+    """Base and top model for weekdays and weekends on encoded features."""
     sizes = sizes or K.TOP_SLICES
     models = {}
     for part, flag in PARTS.items():
         own = train.where(F.col("weekends") == flag)
-        names = [c for c in input_columns(own, part) if inputs is None or c in inputs]
+        names = input_columns(own, part, shared)
         sets = [c for c in names if c in SETS]
         models[part] = model.fit_two_tier(own, names, part, month, sizes[part], rounds, sets)
     return models
 
 
+def _score(models, rows, part, n, shared, ranked=None):
+    names = input_columns(rows, part, shared)
+    sets = [c for c in names if c in SETS]
+    return model.score_two_tier(models, rows, names, n, sets, ranked=ranked)
+
+
 def validate_parts(
     models: Models, train: DataFrame, month: int = 8,
-    sizes: Mapping[str, tuple[int, int]] | None = None, inputs: Sequence[str] | None = None,
+    sizes: Mapping[str, tuple[int, int]] | None = None, shared: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Metrics of the mixed prediction on the rows after ``month``."""
+    """Metrics of the mixed prediction on the rows after ``month``, per part."""
     sizes, rows = sizes or K.TOP_SLICES, []
     for part, flag in PARTS.items():
         own = train.where(F.col("weekends") == flag)
-        names = [c for c in input_columns(own, part) if inputs is None or c in inputs]
         _, val = time_split(own, month)
-        mixed = model.score_two_tier(
-            models[part], val, names, sum(sizes[part]), [c for c in names if c in SETS], ranked=own
-        )
+        mixed = _score(models[part], val, part, sum(sizes[part]), shared, ranked=own)
         rows.append(metrics(mixed).withColumn("part", F.lit(part)))
-    return stack(rows)
+    return encode.stack(rows)
 
 
 def predict_parts(
     models: Models, test: DataFrame, n_top: Mapping[str, int] | None = None,
-    inputs: Sequence[str] | None = None,
+    shared: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Mixed predictions of both parts as ``sales``; other columns stay."""
+    """Key and mixed prediction as ``sales`` for the rows of both parts."""
     n_top, parts = n_top or K.MIX_TOP["test"], []
     for part, flag in PARTS.items():
-        own = test.where(F.col("weekends") == flag)
-        names = [c for c in input_columns(own, part) if inputs is None or c in inputs]
-        scored = model.score_two_tier(
-            models[part], own, names, n_top[part], [c for c in names if c in SETS]
-        )
-        parts.append(scored.withColumn("sales", F.col("prediction")).drop("pred_base", "pred_top", "prediction"))
-    return stack(parts)
+        scored = _score(models[part], test.where(F.col("weekends") == flag), part, n_top[part], shared)
+        parts.append(scored.select(*KEYS, F.col("prediction").alias("sales")))
+    return encode.stack(parts)
+
+
+def _predicted(
+    train: DataFrame, test: DataFrame, n_top: Mapping[str, int] | None, **options
+) -> DataFrame:
+    """Encode jointly, train on the shared columns, and return test rows with predictions."""
+    shared = [c for c in [*train.columns, "product_no"] if c in [*test.columns, "product_no"]]
+    coded_train, coded_test = (settle(f) for f in encoded([train, test]))
+    models = train_parts(coded_train, shared=shared, **options)
+    found = settle(predict_parts(models, coded_test, n_top, shared))
+    return test.drop("sales").join(found, list(KEYS))
 
 
 def forecast(
-    train: DataFrame, raw_test: DataFrame, test: DataFrame, **options
+    train: DataFrame, raw_test: DataFrame, test: DataFrame,
+    n_top: Mapping[str, int] | None = None, **options,
 ) -> DataFrame:
     """Train, predict and build the submission."""
-    shared = [c for c in train.columns if c in test.columns]
-    models = train_parts(train.select(*shared), inputs=shared, **options)
-    return submission(raw_test, [predict_parts(models, test, inputs=shared)])
+    return submission(raw_test, [_predicted(train, test, n_top, **options)])
+
+
+def score_candidates(
+    train: DataFrame, candidates: DataFrame, month: int = 8,
+    sizes: tuple[int, int] = K.TOP_SLICES["schedule"], n_top: int = K.MIX_TOP["schedule"],
+    rounds: int | None = None,
+) -> DataFrame:
+    """Candidate rows with the base model's value ``pred`` and the mixed one ``pred_mixed``.
+
+    Both models are fitted on the columns that candidates have as well.
+    """
+    shared = [c for c in train.columns if c in candidates.columns and c not in CANDIDATE_DROPS]
+    coded_train, coded_grid = (settle(f) for f in encoded([train, candidates]))
+    names = input_columns(coded_train, None, shared)
+    sets = [c for c in names if c in SETS]
+    models = model.fit_two_tier(coded_train, names, "weekday", month, sizes, rounds, sets)
+    scored = model.score_two_tier(models, coded_grid, names, n_top, sets)
+    found = scored.select(*KEYS, F.col("pred_base").alias("pred"), F.col("prediction").alias("pred_mixed"))
+    return candidates.join(settle(found), list(KEYS))
 
 
 def counterfactual(
@@ -104,18 +138,15 @@ def counterfactual(
 ) -> DataFrame:
     """Predictions without December history and click signals, next to the normal ones.
 
-    The models are fitted again on the columns that both sides have.
+    The models are fitted again on the columns that each test set has.
     """
-    results = []
+    results = {}
     for off in (False, True):
         test = run_all(raw_test, side, replace(config, mode="test", counterfactual=off)).frame
-        shared = [c for c in train.columns if c in test.columns]
-        models = train_parts(encode.select_common(train, test.withColumn("sales", F.lit(0.0))), inputs=shared, **options)
-        found = predict_parts(models, test, n_top, inputs=shared)
-        results.append(found)
-    normal, without = results
-    keys = ["ts", "product_code"]
-    compared = without.select(*[c for c in K.BASE_COLUMNS if c in without.columns]).join(
-        normal.select(*keys, F.col("sales").alias("sales_normal")), keys
+        results[off] = _predicted(train, settle(test), n_top, **options)
+    normal = results[False].select(*KEYS, F.col("sales").alias("sales_normal"))
+    without = results[True]
+    kept = without.select(*[c for c in K.BASE_COLUMNS if c in without.columns])
+    return kept.join(normal, list(KEYS)).withColumn(
+        "difference", F.col("sales_normal") - F.col("sales")
     )
-    return compared.withColumn("difference", F.col("sales_normal") - F.col("sales"))

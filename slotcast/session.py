@@ -19,6 +19,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, name: str = "slot
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 

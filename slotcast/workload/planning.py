@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import reports, schedule
+from ..operators.encode import stack
 from ..plans import features as FE, forecasting, scheduling
 from ..session import new_path, settle
 from ..sources import bindings as B
@@ -143,7 +146,7 @@ def two_level_profit(spark, sf):
     totals = [
         schedule.total_profit(t).withColumn("schedule", F.lit(n)) for n, t in tables.items()
     ]
-    return forecasting.stack(totals)
+    return stack(totals)
 
 
 BEST = SCORED_GRID + """,
@@ -237,7 +240,7 @@ def _base_rows(spark, sf):
 
 def _side(spark, sf, rows, **more):
     def codes(make):
-        return forecasting.stack(
+        return stack(
             [make(key).withColumn("code", F.concat(F.lit(f"{lv}:"), "code")) for lv, key in LEVELS.items()]
         )
 
@@ -246,11 +249,11 @@ def _side(spark, sf, rows, **more):
     return FE.SideTables(
         tree=rows.select("ts", "product_code", *TREE),
         clicks={lv: B.click_rates(rows, key).withColumnRenamed(key, "code") for lv, key in LEVELS.items()},
-        age=forecasting.stack(
+        age=stack(
             [B.shares(rows, key, by % 4, ["age30", "age40", "age50", "age60above"]).withColumnRenamed(key, "code")
              for key in LEVELS.values()]
         ),
-        device=forecasting.stack(
+        device=stack(
             [B.shares(rows, key, by % 2, ["pc", "mobile"]).withColumnRenamed(key, "code") for key in LEVELS.values()]
         ),
         weather=weather(spark, sf),
@@ -285,35 +288,54 @@ def _years(spark, sf):
     return rows, late, train.withColumns({"months": month, "days": F.col("days") + 10}), made.lists, side
 
 
-def _with(side, **more):
-    from dataclasses import replace
-
-    return replace(side, **more)
-
-
 @query("test_features")
 def test_features(spark, sf):
     """Test rows with last year's history and the fitted lists."""
-    from dataclasses import replace
-
     _, late, train, fitted, side = _years(spark, sf)
-    side = _with(side, lists=fitted, history=train)
+    side = replace(side, lists=fitted, history=train)
     return FE.run_all(late.select(*RAW), side, replace(CONFIG, mode="test")).frame
 
 
-@query("candidate_features")
-def candidate_features(spark, sf):
-    """Reduced features of the product-by-slot grid."""
-    from dataclasses import replace
-
+def _candidates(spark, sf, mode):
+    """Features of the product-by-slot grid, with training features and raw rows."""
     rows, _, train, fitted, side = _years(spark, sf)
     catalogue = rows.groupBy("product_code").agg(
         *[F.min(c).alias(c) for c in ("mother_code", "product_name", "unit_price", "exposed", *TREE)],
         F.min("category").alias("category"),
     )
     cells = schedule.cross_schedule(catalogue, *_bounds(spark, sf)).withColumn("ymd", F.to_date("ts"))
-    side = _with(side, lists=fitted, history=train)
-    return FE.run_candidates(cells, side, replace(CONFIG, mode="hungarian"))
+    side = replace(side, lists=fitted, history=train)
+    made = FE.run_candidates(cells, side, replace(CONFIG, mode=mode))
+    return rows, train, made
+
+
+@query("candidate_features")
+def candidate_features(spark, sf):
+    """Reduced features of the product-by-slot grid, shows by the hour."""
+    return _candidates(spark, sf, "hungarian")[2]
+
+
+@query("candidate_features_per_slot")
+def candidate_features_per_slot(spark, sf):
+    """Reduced features of the grid where every slot is its own show."""
+    return _candidates(spark, sf, "hungarian_h1")[2]
+
+
+@query("model_schedule")
+def model_schedule(spark, sf):
+    """Grid features, models on the reduced columns, scores, two-level schedule with item names."""
+    rows, train, made = _candidates(spark, sf, "hungarian")
+    scored = settle(
+        forecasting.score_candidates(train, settle(made), sizes=(1000, 500), n_top=8000, rounds=3).select(
+            "ts", "product_code", "category", "pred", "pred_mixed"
+        )
+    )
+    mix = [(c, 0.2) for c in ("click", "error", "purchase", "signup", "view")]
+    plan = scheduling.two_level(scored, rows, mix, LATE)
+    items = rows.select("product_code", "product_name").distinct()
+    prices = rows.groupBy("product_code").agg(F.min("unit_price").alias("unit_price"))
+    named = schedule.schedule_lookup(plan["products"], items, prices, "product_code")
+    return named.withColumn("value", S.scaled_profit("profit"))
 
 
 SMALL = {"sizes": {"weekday": (600, 300), "weekend": (300, 150)}, "rounds": 3}
@@ -322,12 +344,10 @@ SMALL = {"sizes": {"weekday": (600, 300), "weekend": (300, 150)}, "rounds": 3}
 @query("forecast")
 def forecast(spark, sf):
     """Train four models, predict the later days, add unpriced rows."""
-    from dataclasses import replace
-
     _, late, train, fitted, side = _years(spark, sf)
     price = F.when(F.col("k") % 10 == 0, 0.0).otherwise(F.col("unit_price"))
     raw = late.withColumn("unit_price", price).select(*RAW)
-    side = _with(side, lists=fitted, history=train)
+    side = replace(side, lists=fitted, history=train)
     test = settle(FE.run_all(raw, side, replace(CONFIG, mode="test")).frame)
     return forecasting.forecast(train, raw, test, **SMALL)
 
@@ -335,5 +355,5 @@ def forecast(spark, sf):
 @query("counterfactual")
 def counterfactual(spark, sf):
     _, late, train, fitted, side = _years(spark, sf)
-    side = _with(side, lists=fitted, history=train)
+    side = replace(side, lists=fitted, history=train)
     return forecasting.counterfactual(train, late.select(*RAW), side, CONFIG, **SMALL)
