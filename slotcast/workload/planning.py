@@ -277,8 +277,21 @@ def train_features(spark, sf):
     return FE.read_features(spark, folder)
 
 
+_STORED: dict[tuple[str, str], tuple] = {}
+
+
 def _years(spark, sf):
-    """Training features of days 1-20 moved into June and December, and the later test rows."""
+    """Training features of days 1-20 moved into June and December, and the later test rows.
+
+    The stored stage is shared by the queries of one application.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        _STORED[key] = _make_years(spark, sf)
+    return _STORED[key]
+
+
+def _make_years(spark, sf):
     rows = _base_rows(spark, sf)
     past, late = rows.where(F.dayofmonth("ymd") <= 20), rows.where(F.dayofmonth("ymd") > 20)
     side = _side(spark, sf, rows)
