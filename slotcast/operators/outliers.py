@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import constants as K
 from ..functions.scalar import uniform
-from ..session import settle
+from ..session import settle, ship
 from . import ordered as O
 
 NODE_SCHEMA = "tree int, node int, feature int, split double, left int, right int, path double"
@@ -64,6 +64,7 @@ def fit_forest(
 
     The pool holds trees * samples rows, so all later steps are bounded by the parameters.
     """
+    ship(df.sparkSession)
     values = [F.col(c).cast("double").alias(c) for c in columns]
     rows = df.select(*values, uniform(seed, *keys).alias("_u")).dropna()
     pool = settle(_smallest(rows, trees * samples, columns))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import constants as K
 from ..functions.scalar import scaled_profit, uniform, week_start
+from ..session import ship
 from .auction import auction
 from .encode import stack
 
@@ -172,6 +173,7 @@ def assign(
             sold = auction(edges, keys, slot, "_unit", step)
             return sold.select(*keys, slot, F.col(f"_unit.{item}").alias(item), "profit")
         return auction(edges, keys, slot, item, step)
+    ship(edges.sparkSession)
     schema = edges.select(*keys, slot, item, F.col("profit").cast("double")).schema
     rows = keep_contenders(edges, keys, slot, item, most) if copies is None else edges
     needed = [*keys, slot, item, F.col("profit").cast("double"), *([copies] if copies else [])]

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import constants as K
 from ..functions.scalar import minutes
-from ..session import settle
+from ..session import settle, ship
 from . import ordered as O
 from .lookup import lookup_join
 
@@ -166,6 +166,7 @@ def running_show(
     receives the shows still open at its beginning, without those that a newer and longer one
     hides, and is swept once.
     """
+    ship(times.sparkSession)
     events = times.select(
         "ts", F.lit(1).alias("kind"), F.lit(None).cast("timestamp_ntz").alias("ends")
     ).distinct().unionByName(

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = Path(__file__).resolve().parent
+
 
 def local_session(cores: int | str = "*", partitions: int = 8, name: str = "slotcast"):
     """A session for tests and benchmarks on one machine."""
@@ -24,6 +28,18 @@ def local_session(cores: int | str = "*", partitions: int = 8, name: str = "slot
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application: Python workers import it by name."""
+    context = spark.sparkContext
+    if any(Path(p).name.startswith(f"{PACKAGE.name}-") for p in context._python_includes):
+        return
+    path = Path(tempfile.mkdtemp()) / f"{PACKAGE.name}-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(PACKAGE.rglob("*.py")):
+            out.write(file, file.relative_to(PACKAGE.parent))
+    context.addPyFile(str(path))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
