@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import repetition, sharding
+from . import contamination, near_duplicates, repetition, sharding
 from .common import query, table
 
 
@@ -16,3 +16,19 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_repetition_rules")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge_repetition(table(spark, sf_dir, "documents"))
+
+
+@query("op7_suffix_automaton")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.find_contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        contamination.items_digest("items").alias("items_sha256"), "contaminated",
+    )
+
+
+@query("op9_simhash_gray")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
