@@ -98,6 +98,51 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("d"), F.hash(text).alias("t"), text.alias("text"))
 
 
+def _same_document():
+    return F.col("d").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t"))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Bytes of the wanted segments; rows are d, t, text and a list of (anchor, start, n, crowded)."""
+    for batch in batches:
+        for a, b in slices(batch.column(2)):
+            part = batch.slice(a, b - a)
+            texts = Texts(part.column(2))
+            lists = part.column(3)
+            row = np.repeat(np.arange(part.num_rows), pa.compute.list_value_length(lists).to_numpy(False))
+            anchor, start, n, crowded = lists.flatten().flatten()
+            first = texts.borders[row] + start.to_numpy()
+            last = first + n.to_numpy() + length - 1
+            raw = texts.data.tobytes()
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0).take(at), part.column(1).take(at), start.cast(pa.int64()), anchor,
+                    crowded, pa.array([raw[x:y] for x, y in zip(first.tolist(), last.tolist())], pa.binary()),
+                ],
+                names=["d", "t", "start", "anchor", "crowded", "bytes"],
+            )
+
+
+def _single_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """One row with a hash for each window of the segments."""
+    for batch in batches:
+        texts = Texts(batch.column(4))
+        n = np.maximum(np.diff(texts.borders) - length + 1, 0)
+        row = np.repeat(np.arange(texts.n), n)
+        shift = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        first = texts.borders[row] + shift
+        at = pa.array(row)
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0).take(at), batch.column(1).take(at),
+                pa.array(batch.column(2).to_numpy()[row] + shift), batch.column(3).take(at),
+                pa.array(Spans(texts.data).hash(first, first + length).view(np.int64)),
+            ],
+            names=["d", "t", "start", "anchor", "window"],
+        )
+
+
 def _doc_rank(d: pa.Array, t: pa.Array) -> np.ndarray:
     """Order of documents: by id (null first), then by the hash of the text."""
     pairs = pa.table({"d": d, "t": t})
@@ -124,9 +169,11 @@ def later_windows(text: np.ndarray, begins: np.ndarray, doc: np.ndarray, start:
     common = common_prefixes(order, text, length)
     group = np.cumsum(common < length)
     place = order - begins[segment]
-    inner = np.lexsort((start[segment] + place, doc[segment], group))
-    later = np.append(False, np.diff(group[inner]) == 0)
-    chosen = inner[later]
+    begin, owner = start[segment] + place, doc[segment]
+    inner = np.lexsort((begin, owner, group))
+    new = np.append(True, np.diff(group[inner]) != 0)[: len(inner)]
+    first = inner[np.flatnonzero(new)[np.cumsum(new) - 1]]  # a row may be there twice
+    chosen = inner[(begin[inner] != begin[first]) | (owner[inner] != owner[first])]
     return segment[chosen], place[chosen]
 
 
@@ -180,12 +227,11 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 def repeated_spans(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
     gram: int = GRAM, max_segments: int = MAX_SEGMENTS,
-) -> tuple[DataFrame, DataFrame]:
-    """Texts that share an anchor with another place, and their spans that repeat earlier bytes.
+) -> DataFrame:
+    """Spans that repeat earlier bytes: d, t, from, to; they may touch or overlap.
 
-    First result: d, t, text of the candidates, stored.  Second: d, t, from, to of spans, which may
-    touch or overlap.  Order of documents: id, null first, then the text's hash; rows with the same
-    id and text are one document.
+    Order of documents: id, null first, then the text's hash; rows with the same id and text are
+    one document.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     all_ = segments(docs, id_col, text_col, length, gram)
@@ -212,67 +258,32 @@ def repeated_spans(
     wanted = distinct.join(several, "anchor").select(
         "first.d", "first.t", F.struct("anchor", "first.start", "n", "crowded").alias("_s")
     ).groupBy("d", "t").agg(F.collect_list("_s").alias("wanted"))
-    touched = members.groupBy("d", "t").agg(F.lit(True).alias("_in"))
-    needed = touched.join(
-        wanted.withColumnsRenamed({"d": "_d", "t": "_t"}),
-        F.col("d").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")), "left",
-    ).select(F.col("d").alias("_d"), F.col("t").alias("_t"), "wanted")
-    # the one shuffle of whole texts
-    candidates = _stored(
+    # one shuffle of whole texts; a crowded anchor's segments are cut to windows only when compared
+    pieces = _stored(
         _keyed(docs, id_col, text_col)
-        .join(needed, F.col("d").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")))
-        .select("d", "t", "text", "wanted"),
-        "candidates",
-    )
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in slices(batch.column(2)):
-                part = batch.slice(a, b - a)
-                texts = Texts(part.column(2))
-                lists = part.column(3)
-                counts = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(False)
-                flat = lists.flatten()
-                row = np.repeat(np.arange(part.num_rows), counts)
-                anchor, start, n, crowded = (flat.field(i).to_numpy(False) for i in range(4))
-                begin = texts.borders[row] + start
-                # crowded ones as single windows
-                times = np.where(crowded, n, 1)
-                source = np.repeat(np.arange(len(row)), times)
-                shift = np.arange(len(source)) - np.repeat(np.cumsum(times) - times, times)
-                one = crowded[source].astype(bool)
-                first = begin[source] + shift
-                last = first + np.where(one, 1, n[source]) + length - 1
-                window = np.where(one, Spans(texts.data).hash(first, last).view(np.int64), 0)
-                raw = texts.data.tobytes()
-                bytes_ = [None if w else raw[x:y] for w, x, y in zip(one.tolist(), first.tolist(), last.tolist())]
-                at = pa.array(row[source])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0).take(at), part.column(1).take(at),
-                        pa.array((start[source] + shift).astype(np.int64)), pa.array(anchor[source]),
-                        pa.array(window), pa.array(bytes_, pa.binary()),
-                    ],
-                    names=["d", "t", "start", "anchor", "window", "bytes"],
-                )
-
-    cut = _stored(
-        candidates.where("wanted IS NOT NULL").mapInArrow(
-            pieces, f"d {id_type}, t int, start long, anchor long, window long, bytes binary"
-        ).distinct(),
+        .join(wanted.withColumnsRenamed({"d": "_d", "t": "_t"}), _same_document())
+        .select("d", "t", "text", "wanted")
+        .mapInArrow(
+            lambda batches: _pieces(batches, length),
+            f"d {id_type}, t int, start long, anchor long, crowded boolean, bytes binary",
+        ),
         "pieces",
     )
     compared = (
-        cut.where("bytes IS NOT NULL").repartition("anchor").sortWithinPartitions("anchor")
+        pieces.where("NOT crowded").select("d", "t", "start", "anchor", "bytes")
+        .repartition("anchor").sortWithinPartitions("anchor")
         .mapInArrow(lambda batches: _compare(batches, length), f"d {id_type}, t int, `from` long, `to` long")
     )
-    single = cut.where("bytes IS NULL")
+    single = pieces.where("crowded").select("d", "t", "start", "anchor", "bytes").mapInArrow(
+        lambda batches: _single_windows(batches, length),
+        f"d {id_type}, t int, start long, anchor long, window long",
+    )
     firsts = single.groupBy("anchor", "window").agg(F.min(place).alias("first"))
     crowd = (
         single.join(firsts, ["anchor", "window"]).where(~place.eqNullSafe(F.col("first")))
         .select("d", "t", F.col("start").alias("from"), (F.col("start") + length).alias("to"))
     )
-    return candidates.select("d", "t", "text"), copies.unionByName(compared).unionByName(crowd)
+    return copies.unionByName(compared).unionByName(crowd)
 
 
 def unite(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -288,18 +299,19 @@ def unite(spans: list[dict] | None) -> list[tuple[int, int]]:
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-    keep_text: bool = False, **options,
+    **options,
 ) -> DataFrame:
     """Texts without the bytes covered by a ``length``-byte string that also starts earlier.
 
-    Result per row: id, n_bytes, n_removed, n_spans, kept_sha256, and with ``keep_text`` the
-    remaining bytes as ``kept`` (binary: a cut may fall inside a character).  Null counts as empty.
+    Result per row: id, n_bytes, n_removed, n_spans and the remaining bytes as ``kept`` (binary: a
+    cut may fall inside a character).  Null counts as empty.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    candidates, spans = repeated_spans(docs, id_col, text_col, length, **options)
-    listed = spans.groupBy("d", "t").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
-    listed = listed.withColumnsRenamed({"d": "_d", "t": "_t"})
-    same = F.col("d").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t"))
+    spans = repeated_spans(docs, id_col, text_col, length, **options)
+    listed = (
+        spans.groupBy("d", "t").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+        .withColumnsRenamed({"d": "_d", "t": "_t"})
+    )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,19 +335,14 @@ def remove_repeats(
                 names=[id_col, "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    changed = candidates.join(listed, same, "left").select(F.col("d").alias(id_col), "text", "spans").mapInArrow(
-        cut, f"`{id_col}` {id_type}, n_bytes long, n_removed long, n_spans long, kept binary"
-    ).withColumn("kept_sha256", F.sha2("kept", 256))
-    keys = candidates.select(F.col("d").alias("_d"), F.col("t").alias("_t")).distinct()
-    # the digest is taken before the join, so texts stay out of its shuffle
-    whole = F.col("text").cast("binary")
-    unchanged = (
+    return (
         _keyed(docs, id_col, text_col)
-        .select("d", "t", F.octet_length("text").cast("long").alias("n_bytes"),
-                F.sha2(whole, 256).alias("kept_sha256"), *([whole.alias("kept")] if keep_text else []))
-        .join(keys, same, "left_anti")
-        .withColumns({"n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long")})
-        .withColumnRenamed("d", id_col)
+        .join(listed, _same_document(), "left")
+        .select(F.col("d").alias(id_col), "text", "spans")
+        .mapInArrow(cut, f"`{id_col}` {id_type}, n_bytes long, n_removed long, n_spans long, kept binary")
     )
-    columns = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])]
-    return changed.select(*columns).unionByName(unchanged.select(*columns))
+
+
+def kept_digest(result: DataFrame) -> DataFrame:
+    """The remaining bytes replaced by their SHA-256."""
+    return result.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")

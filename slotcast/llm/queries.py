@@ -10,7 +10,7 @@ from .common import query, table
 
 @query("op2_suffix_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.remove_repeats(table(spark, sf_dir, "documents"))
+    return passages.kept_digest(passages.remove_repeats(table(spark, sf_dir, "documents")))
 
 
 @query("op5_histogram_sort")
