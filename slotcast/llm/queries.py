@@ -4,15 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import contamination, near_duplicates, passages, repetition, sharding
+from . import (
+    contamination, link_trust, near_duplicates, packing, passages, repetition, secrets, sharding, toxicity,
+)
 from .common import query, table
 
 
+@query("op1_subword_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op2_suffix_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.kept_digest(passages.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+@query("op4_link_trust")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_trust.judge_urls(table(spark, sf_dir, "pages"))
+
+
 @query("op5_histogram_sort")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.histogram_shards(table(spark, sf_dir, "documents"))
@@ -34,6 +47,21 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op8_markov_secrets")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    counts = [secrets.count_kind(F.col("base"), i).alias(f"n_{k}") for i, k in enumerate(secrets.KINDS[:3])]
+    return found.select(
+        "doc_id", *counts, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"),
+        secrets.joined(F.concat("base", "added")).alias("spans"),
+    )
+
+
 @query("op9_simhash_gray")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_best_fit_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
