@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,6 +38,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """Columns named c0, c1, ... so that neither odd nor clashing names matter."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def map_rows(df: DataFrame, function, extra: tuple[T.StructField, ...] = ()) -> DataFrame:
+    """``mapInArrow`` over all columns; the result has the same ones and then ``extra``."""
+    plain = numbered(df)
+    fields = [T.StructField(f.name, f.dataType) for f in plain.schema]
+    more = [T.StructField(f"x{i}", f.dataType) for i, f in enumerate(extra)]
+    out = plain.mapInArrow(function, T.StructType([*fields, *more]))
+    return out.toDF(*df.columns, *[f.name for f in extra])
+
+
 class Texts:
     """The texts of an Arrow column as one byte array with document borders; null is empty."""
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import ship
-from .common import Spans, Texts, byte_class, mix, slices, word_bounds
+from .common import Spans, Texts, byte_class, map_rows, mix, slices, word_bounds
 
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
@@ -329,4 +329,4 @@ def remove_contamination(
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(values, column.type))
             yield batch
 
-    return docs.mapInArrow(clean, docs.schema)
+    return map_rows(docs, clean)

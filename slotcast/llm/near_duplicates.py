@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import settle, ship
-from .common import BLANK, Texts, slices, word_bounds
+from .common import BLANK, Texts, numbered, slices, word_bounds
 
 SEED = 42
 SHINGLE = 3
@@ -300,15 +300,18 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     one, two = F.xxhash64(id_col, text_col), F.hash(text_col, id_col)
     rank = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), one.alias("x"), two.alias("y"))
+    plain = numbered(docs)
     prints = settle(fingerprints(docs, text_col, {"_rank": rank}))
     keep = component_of_prints(prints, "_rank").select(
         F.col("_least.x").alias("_one"), F.col("_least.y").alias("_two")
     ).distinct()
     same = Window.partitionBy("_one", "_two").orderBy(F.lit(0))
+    ids, texts = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
     return (
-        docs.withColumns({"_one": one, "_two": two})
+        plain.withColumns({"_one": F.xxhash64(ids, texts), "_two": F.hash(texts, ids)})
         .join(keep, ["_one", "_two"], "left_semi")
         .withColumn("_n", F.row_number().over(same))
         .where("_n = 1")
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+        .select(*plain.columns)
+        .toDF(*docs.columns)
     )

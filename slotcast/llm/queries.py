@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    contamination, link_trust, near_duplicates, packing, passages, repetition, secrets, sharding, toxicity,
+    contamination, link_trust, near_duplicates, packing, passages, repetition, secrets, sharding,
+    surrogates, toxicity,
 )
 from .common import query, table
 
@@ -21,6 +22,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.kept_digest(passages.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+@query("op3_surrogates")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace_entities(docs, counts=True)
+
+
 @query("op4_link_trust")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_trust.judge_urls(table(spark, sf_dir, "pages"))

@@ -16,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..session import ship
-from .common import BLANK, Spans, Texts, byte_class, covered, mix, per_document, slices, word_bounds
+from .common import (
+    BLANK, Spans, Texts, byte_class, covered, map_rows, mix, per_document, slices, word_bounds,
+)
 
 SYMBOLS = byte_class(b"#*$%&|<>")
 
@@ -192,4 +194,4 @@ def keep_good(docs: DataFrame, rules: RepetitionRules = RepetitionRules(), text_
         for batch in batches:
             yield batch.filter(pa.array(verdicts(batch.column(at), rules)["kept"]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_rows(docs, keep)
