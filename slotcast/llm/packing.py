@@ -111,13 +111,13 @@ def word_count(text: Column) -> Column:
 
 def pack(
     docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, id_col: str = "doc_id",
-    text_col: str = "text", length: Column | None = None, rows_per_chunk: int = 50_000,
+    text_col: str = "text", length: Column | None = None, rows_per_chunk: int = 4096,
 ) -> DataFrame:
     """Bin, place in it and final capacity of every piece of every row.
 
     ``length`` defaults to words + 1, so empty and null texts take one place.  Texts longer than
-    the largest capacity are cut into pieces of that size.  Rows of one length share no task: ranks
-    are counted in chunks by a hash of the id.
+    the largest capacity are cut into pieces of that size.  The rows of a frequent length are spread
+    over chunks by a hash, and ranks are counted chunk by chunk.
     """
     ship(docs.sparkSession)
     largest = max(capacities)
@@ -131,12 +131,14 @@ def pack(
             F.least(F.greatest("_size", F.lit(1)) - F.col("piece") * largest, F.lit(largest)).alias("n_tokens"),
         )
     )
-    chunks = max(1, pieces.count() // rows_per_chunk)
-    chunked = pieces.withColumn("_chunk", F.pmod(F.xxhash64("_key", "piece"), F.lit(chunks)))
-    counts = settle(chunked.groupBy("n_tokens", "_chunk").agg(F.count(F.lit(1)).alias("_n")))
     # one row per length: at most as many as the largest capacity
-    histogram = counts.groupBy("n_tokens").agg(F.sum("_n").alias("n")).collect()
-    plan = make_plan({r.n_tokens: r.n for r in histogram}, capacities)
+    histogram = settle(pieces.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("_rows")))
+    plan = make_plan({r.n_tokens: r["_rows"] for r in histogram.collect()}, capacities)
+    chunks = F.ceil(F.col("_rows") / rows_per_chunk)
+    chunked = pieces.join(F.broadcast(histogram), "n_tokens").withColumn(
+        "_chunk", F.pmod(F.xxhash64("_key", "piece"), chunks)
+    )
+    counts = chunked.groupBy("n_tokens", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("n_tokens").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("n_tokens", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     own = Window.partitionBy("n_tokens", "_chunk").orderBy("_key", "piece", "_id")

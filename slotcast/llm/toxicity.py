@@ -70,6 +70,12 @@ class Model:
         return out
 
 
+def held_out(id_col: str = "doc_id") -> Column:
+    """Rows that never train: crc32 of the id as text, modulo 4, is 2; null ids train."""
+    crc = F.crc32(F.col(id_col).cast("string").cast("binary"))
+    return F.coalesce(crc % 4 == 2, F.lit(False))
+
+
 class Bag:
     """Words of texts, their n-gram buckets and their passages."""
 
