@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import ship
-from .common import Spans, Texts, byte_class, mix, slices, word_bounds
+from .common import CHUNK_BYTES, Spans, Texts, byte_class, mix, slices, word_bounds
 
 PASSAGE = 50
 #: Words without meaning that short passages are filled up with.
@@ -82,7 +82,15 @@ class Bag:
     def __init__(self, texts: Texts, buckets: int):
         data = _LOWER[texts.data]
         starts, ends = word_bounds(~_PART_OF_WORD[data], texts.borders)
-        hashes = Spans(data).hash(starts, ends)
+        hashes = np.empty(len(starts), np.uint64)  # block by block, since prefix sums take room
+        begin = 0
+        while begin < len(starts):
+            end = int(np.searchsorted(ends, starts[begin] + CHUNK_BYTES, "right"))
+            end = max(end, begin + 1)
+            low = starts[begin]
+            spans = Spans(data[low : ends[end - 1]])
+            hashes[begin:end] = spans.hash(starts[begin:end] - low, ends[begin:end] - low)
+            begin = end
         _, first, self.word = np.unique(hashes, return_index=True, return_inverse=True)
         lengths = (ends - starts)[first]
         # all distinct words one after another, each between two marks
