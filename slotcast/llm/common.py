@@ -21,7 +21,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 #: Bytes of text that a Python task looks at together; longer texts are taken one by one.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

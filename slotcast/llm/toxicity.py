@@ -36,14 +36,15 @@ _PART_OF_WORD = byte_class(bytes([*range(48, 58), *range(97, 123), *range(128, 2
 class Training:
     """Bounds of the labelled sample and settings of the fit."""
 
-    toxic_rows: int = 1500
-    other_rows: int = 3000
+    toxic_rows: int = 1000
+    other_rows: int = 2000
     max_bytes: int = 16_384  # longer texts are not trained on
     buckets: int = 1 << 20
     support: float = 0.02  # n-grams in a smaller share of the texts keep a weight of zero
     size: int = 4
     epochs: int = 6
-    batch: int = 256
+    batch: int = 128
+    least_steps: int = 400  # small samples are gone through more often
     rate: float = 0.1
     scale: float = 20.0
     seed: int = 7
@@ -189,7 +190,8 @@ def fit(texts: Texts, toxic: np.ndarray, toxic_share: float, how: Training = Tra
     sampled = label[train].mean()
     bias = np.array([0.0, np.log(sampled / (1 - sampled))])
     slopes = [np.full(v.shape, 1e-8) for v in (embedding, softmax, bias)]
-    for epoch in range(how.epochs):
+    per_epoch = -(-len(train) // how.batch)
+    for _ in range(max(how.epochs, -(-how.least_steps // per_epoch))):
         order = rng.permutation(train)
         for begin in range(0, len(order), how.batch):
             chosen = order[begin : begin + how.batch]
