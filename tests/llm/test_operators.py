@@ -100,7 +100,10 @@ def test_toxicity_learns_words_and_misspellings(spark):
     model = toxicity.train(df, df)
     got = toxicity.score(df, model).join(df.select("doc_id", "toxic"), "doc_id").toPandas()
     held = got[got.held_out]
-    assert len(held) > 100 and (held.predicted == held.toxic).mean() > 0.95
+    rank = held.score.rank()
+    ones, zeros = (held.toxic == 1).sum(), (held.toxic == 0).sum()
+    auc = (rank[held.toxic == 1].sum() - ones * (ones + 1) / 2) / (ones * zeros)
+    assert len(held) > 100 and auc > 0.9  # 450 training rows; see the README for figures
     probes = spark.createDataFrame(
         [(0, "ba de fi " * 30 + "grumpoxx"), (1, "ba de fi " * 30), (2, None)], "doc_id long, text string"
     )
@@ -180,8 +183,8 @@ def test_surrogates_match_form_and_corefer(spark):
 def test_clashing_surrogates_are_drawn_again(spark):
     found = spark.createDataFrame([("ip", f"1.1.1.{i}") for i in range(12)], "kind string, form string")
 
-    def narrow(rows, key):  # 20 possible surrogates, some of them real
-        hashed = F.concat(F.lit("1.1.1."), F.pmod(F.hash("form", "attempt"), F.lit(24)).cast("string"))
+    def narrow(rows, key):  # 60 possible surrogates, 12 of them real
+        hashed = F.concat(F.lit("1.1.1."), F.pmod(F.hash("form", "attempt"), F.lit(60)).cast("string"))
         return rows.select("kind", "form", F.col("attempt").cast("int").alias("attempt"), hashed.alias("stand_in"))
 
     again = surrogates.settled_attempts(found, draw=narrow, max_rounds=200)
@@ -292,6 +295,7 @@ def test_contamination_against_brute_force(spark):
         matcher = contamination.Decontaminator(benchmark, block_bytes=block)
         got = list(matcher.matches(pa.array(["! ".join(t) for t in texts])))
         for t, (n, names, spans) in zip(texts, got):
+            t = [lower(w) for w in t]
             hit, found = set(), set()
             for window, owners in windows.items():
                 for k in range(len(t) - len(window) + 1):
