@@ -11,11 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import constants as K
 from ..functions.scalar import scaled_profit, uniform, week_start
 from ..session import ship
-from .auction import auction
 from .encode import stack
 
-MAX_TASK_SLOTS = 1500
-
 
 def hourly_slots(start: Column | str, end: Column | str) -> Column:
     """Array of hourly slot times from the first hour of day ``start`` to the last of ``end``."""
@@ -156,26 +153,17 @@ def keep_contenders(
 
 
 def assign(
-    edges: DataFrame, keys: list[str], slot: str, item: str, copies: str | None = None,
-    max_task_slots: int = MAX_TASK_SLOTS, step: float | None = None,
+    edges: DataFrame, keys: list[str], slot: str, item: str, copies: str | None = None
 ) -> DataFrame:
     """Best schedule per group: each slot gets one item, each item (copy) one slot.
 
     Groups are solved independently.  After ``keep_contenders`` a group has at most s² edges for
-    its s calendar slots, whatever the number of items, and is solved in one task.  Groups beyond
-    ``max_task_slots`` slots go to the distributed auction.  Slots left empty are absent.
+    its s calendar slots, whatever the number of items, and is solved exactly in one task.  Slots
+    left empty are absent.
     """
-    most = largest_group(edges, keys, slot)
-    if most > max_task_slots:
-        if copies:
-            edges = edges.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
-            edges = edges.withColumn("_unit", F.struct(item, "_copy"))
-            sold = auction(edges, keys, slot, "_unit", step)
-            return sold.select(*keys, slot, F.col(f"_unit.{item}").alias(item), "profit")
-        return auction(edges, keys, slot, item, step)
     ship(edges.sparkSession)
     schema = edges.select(*keys, slot, item, F.col("profit").cast("double")).schema
-    rows = keep_contenders(edges, keys, slot, item, most) if copies is None else edges
+    rows = keep_contenders(edges, keys, slot, item) if copies is None else edges
     needed = [*keys, slot, item, F.col("profit").cast("double"), *([copies] if copies else [])]
     return rows.select(*needed).groupBy(*keys).applyInPandas(_solver(keys, slot, item, copies), schema)
 
