@@ -70,20 +70,20 @@ _DIGIT = re.compile(r"\d")
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, gender) of the entities; gender is m, f or empty."""
     out: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken = bytearray(len(text))  # one mark per character, so a long text costs no more per match
     at, digit = "@" in text, _DIGIT.search(text) is not None
     for kind, pattern in PATTERNS:
         if (kind in _NEEDS_AT and not at) or (kind in _NEEDS_DIGIT and not digit):
             continue
         for match in pattern.finditer(text):
             start, end = match.span(1 if kind == "name" else 0)
-            if any(start < b and a < end for a, b in taken):
+            if taken.find(1, start, end) >= 0:
                 continue
             gender = ""
             if kind == "name":
                 title = match[0].split()[0].rstrip(".")
                 gender = "m" if title in MALE_TITLES else "f" if title in FEMALE_TITLES else ""
-            taken.append((start, end))
+            taken[start:end] = b"\1" * (end - start)
             out.append((start, end, kind, gender))
     return sorted(out)
 
