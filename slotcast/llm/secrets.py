@@ -67,11 +67,12 @@ def _class(char: Column) -> Column:
 
 def _steps(strings: DataFrame, label: str) -> DataFrame:
     """(label, a, b, n): how often character class b follows a, summed before the shuffle."""
-    char = lambda i: F.expr(f"substr(s, {i}, 1)")
+    chars = F.split("s", "")
+    after = F.slice(chars, F.lit(2), F.length("s") - 1)
     return (
         strings.where(F.length("s") >= 2)
-        .select("s", F.explode(F.expr("sequence(1, length(s) - 1)")).alias("i"))
-        .select(_class(char("i")).alias("a"), _class(char("i + 1")).alias("b"))
+        .select(F.explode(F.arrays_zip(F.slice(chars, F.lit(1), F.length("s") - 1).alias("a"), after.alias("b"))).alias("x"))
+        .select(_class(F.col("x.a")).alias("a"), _class(F.col("x.b")).alias("b"))
         .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).withColumn("label", F.lit(label))
     )
 
@@ -103,11 +104,15 @@ def train_models(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def log_ratio(string: Column, ratios: list[float]) -> Column:
     """Mean log-likelihood ratio of the steps of a string."""
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
-    place = lambda i: _class(F.substr(string, i, F.lit(1)))
-    steps = F.sequence(F.lit(1), F.length(string) - 1)
+    # the characters are cut once: looking each up by its place would read the string again and again
+    codes = F.transform(F.split(string, ""), _class)
+    last = F.struct(F.element_at(codes, 1).alias("at"), F.lit(0.0).alias("sum"))
     total = F.aggregate(
-        steps, F.lit(0.0),
-        lambda sum_, i: sum_ + F.get(table, place(i) * SIZE + place(i + 1)),
+        F.slice(codes, F.lit(2), F.length(string) - 1), last,
+        lambda state, code: F.struct(
+            code.alias("at"), (state["sum"] + F.get(table, state["at"] * SIZE + code)).alias("sum")
+        ),
+        lambda state: state["sum"],
     )
     return total / (F.length(string) - 1)
 
