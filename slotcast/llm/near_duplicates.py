@@ -29,6 +29,8 @@ FAN_OUT = 8
 #: Buckets with more fingerprints are cut once more by the bits they do not share.
 MAX_BUCKET = 20_000
 SEARCHES = 1 << 16
+#: Shingles whose bits are summed together.
+VOTES = 1 << 16
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -42,24 +44,19 @@ def simhash(texts: Texts) -> np.ndarray:
     lower = _LOWER[texts.data].tobytes()
     words = [lower[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
     digest = xxhash.xxh64_intdigest
-    hashes: list[int] = []
+    votes = np.zeros((texts.n, 64), np.int64)
     n_shingles = np.zeros(texts.n, np.int64)
     for doc, (begin, n) in enumerate(zip(borders.tolist(), counts.tolist())):
-        if n == 0:
-            continue
         own = words[begin : begin + n]
-        shingles = zip(*[own[k:] for k in range(SHINGLE)]) if n >= SHINGLE else [own]
-        before = len(hashes)
-        hashes += [digest(b" ".join(s), SEED) for s in shingles]
-        n_shingles[doc] = len(hashes) - before
-    out = np.zeros(texts.n, np.uint64)
-    some = np.flatnonzero(n_shingles)
-    if len(some):
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1)
-        firsts = np.concatenate([[0], np.cumsum(n_shingles[some])[:-1]])
-        votes = np.add.reduceat(bits, firsts, axis=0, dtype=np.int64)
-        packed = np.packbits(2 * votes > n_shingles[some, None], axis=1)
-        out[some] = np.ascontiguousarray(packed).view("<u8").ravel()
+        size = min(SHINGLE, n)
+        n_shingles[doc] = n - size + 1 if n else 0
+        for low in range(0, int(n_shingles[doc]), VOTES):  # 64 votes per shingle: a block at a time
+            some = own[low : low + VOTES + size - 1]
+            hashes = [digest(b" ".join(s), SEED) for s in zip(*[some[k:] for k in range(size)])]
+            bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1)
+            votes[doc] += bits.sum(axis=0, dtype=np.int64)
+    packed = np.packbits(2 * votes > n_shingles[:, None], axis=1)
+    out = np.ascontiguousarray(packed).view("<u8").ravel().astype(np.uint64)
     return out
 
 
