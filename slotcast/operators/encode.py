@@ -93,14 +93,6 @@ def factorize(df: DataFrame, column: str, order: str = "ts") -> DataFrame:
     return placed.select(column, F.col(O.POSITION).cast("int").alias("code"))
 
 
-def known_values(df: DataFrame, column: str, limit: int = 200) -> list:
-    """Distinct values of a column as a list; refuses columns with more than ``limit``."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} values; use one_hot_vectors")
-    return sorted(r[0] for r in rows)
-
-
 def one_hot(df: DataFrame, values: dict[str, Sequence]) -> DataFrame:
     """Replace each column by one 0/1 column per listed value, named column_value."""
     flags: list[Column] = []

@@ -38,12 +38,12 @@ def add_level_shares(
 
 def add_weather(df: DataFrame, weather: DataFrame) -> DataFrame:
     """Rain flag and temperature range of the day (one row per calendar day)."""
-    return df.join(F.broadcast(weather.select("ymd", "rain", "temp_diff_s")), "ymd", "left")
+    return lookup_join(df, weather.select("ymd", "rain", "temp_diff_s"), "ymd")
 
 
 def add_forecast(df: DataFrame, forecast: DataFrame) -> DataFrame:
     """Forecast of the day and hour (one row per calendar hour)."""
-    return df.join(F.broadcast(forecast.select("ymd", "hours", "ts_pred")), ["ymd", "hours"], "left")
+    return lookup_join(df, forecast.select("ymd", "hours", "ts_pred"), ["ymd", "hours"])
 
 
 def derive_weather(raw: DataFrame, rain_mm: float = K.RAIN_MM) -> DataFrame:

@@ -12,6 +12,7 @@ from .. import constants as K
 from ..functions.scalar import scaled_profit, uniform, week_start
 from ..session import ship
 from .encode import stack
+from .lookup import lookup_join
 
 
 def hourly_slots(start: Column | str, end: Column | str) -> Column:
@@ -118,16 +119,18 @@ def best_assignment(profit: np.ndarray) -> list[tuple[int, int]]:
 
 def _solver(keys: list[str], slot: str, item: str, copies: str | None):
     def solve(edges: pd.DataFrame) -> pd.DataFrame:
-        table = edges.pivot_table(index=slot, columns=item, values="profit", dropna=False)
+        table = edges.pivot(index=slot, columns=item, values="profit")  # refuses an edge given twice
         matrix, names = table.to_numpy(float), table.columns.to_numpy()
         if copies:
             times = edges.groupby(item)[copies].first().loc[table.columns].to_numpy()
             matrix, names = np.repeat(matrix, times, axis=1), np.repeat(names, times)
         pairs = best_assignment(matrix)
-        rows, cols = [r for r, _ in pairs], [c for _, c in pairs]
-        out = pd.DataFrame({k: [edges[k].iloc[0]] * len(pairs) for k in keys})
-        out[slot], out[item] = table.index[rows], names[cols]
-        out["profit"] = matrix[rows, cols] if pairs else []
+        chosen = dict(pairs)
+        out = pd.DataFrame({k: [edges[k].iloc[0]] * len(table) for k in keys})
+        out[slot] = table.index
+        filled = [(names[chosen[r]], matrix[r, chosen[r]]) if r in chosen else (None, None) for r in range(len(table))]
+        out[item] = pd.Series([f[0] for f in filled], dtype=object)
+        out["profit"] = pd.Series([f[1] for f in filled], dtype=object)
         return out[[*keys, slot, item, "profit"]]
 
     return solve
@@ -158,8 +161,8 @@ def assign(
     """Best schedule per group: each slot gets one item, each item (copy) one slot.
 
     Groups are solved independently.  After ``keep_contenders`` a group has at most s² edges for
-    its s calendar slots, whatever the number of items, and is solved exactly in one task.  Slots
-    left empty are absent.
+    its s calendar slots, whatever the number of items, and is solved exactly in one task.  A slot
+    left empty has a null item and a null profit; an edge given twice is refused.
     """
     ship(edges.sparkSession)
     schema = edges.select(*keys, slot, item, F.col("profit").cast("double")).schema
@@ -192,7 +195,7 @@ def product_edges(
 ) -> DataFrame:
     """Profit of each candidate product on the slots of its category."""
     chosen = categories.select(day, slot, "category")  # one row per calendar slot
-    offered = grid.join(F.broadcast(chosen), [day, slot, "category"])
+    offered = lookup_join(grid, chosen, [day, slot, "category"], "inner")
     allowed = offered.join(candidates, [day, "product_code"], "left_semi")
     return allowed.groupBy(day, "category", slot, "product_code").agg(F.avg(pred).alias("profit"))
 

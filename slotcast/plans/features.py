@@ -219,7 +219,7 @@ def run_candidates(grid: DataFrame, side: SideTables, config: FeatureConfig) ->
         df = df.withColumn("show_id", shows.hourly_show_id("ts"))
     else:
         ids = shows.slot_show_ids(df.select("ts", "ymd").distinct())
-        df = df.join(F.broadcast(ids), "ts")  # one row per slot of the planned calendar
+        df = lookup_join(df, ids, "ts", "inner")
     df = apply_lists(item_columns(df, config), side.lists)
     df = external_columns(df, side, config)
     return sales_history_columns(df, df, side, config)

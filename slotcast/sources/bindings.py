@@ -19,32 +19,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def airings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as broadcast slots: unique ``ts``, product from the event's user."""
-    events = table(spark, sf_dir, "events")
-    part = table(spark, sf_dir, "part")
+def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as broadcast slots with unique ``ts``, without the columns of the product."""
     k = F.get_json_object("props", "$.k").cast("int")
-    return events.join(part, F.col("user_id") == F.col("p_partkey"), "left").select(
+    return table(spark, sf_dir, "events").select(
         "ts",
         F.to_date("ts").alias("ymd"),
+        "user_id",
         zero_fill("user_id").alias("product_code"),
         zero_fill(F.floor(F.col("user_id") / 5)).alias("mother_code"),
-        F.col("p_name").alias("product_name"),
         F.col("event_type").alias("category"),
+        F.col("value").alias("sales"),
+        (10 + k % 3 * 10).cast("double").alias("exposed_min"),
+        k.alias("k"),
+    )
+
+
+def airings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots with the product from the event's user."""
+    part = table(spark, sf_dir, "part")
+    return slots(spark, sf_dir).join(part, F.col("user_id") == F.col("p_partkey"), "left").select(
+        "ts",
+        "ymd",
+        "product_code",
+        "mother_code",
+        F.col("p_name").alias("product_name"),
+        "category",
         F.col("p_name").alias("small_c"),
         F.col("p_brand").alias("middle_c"),
         F.col("p_type").alias("big_c"),
         F.concat("p_name", F.lit("/"), F.col("p_size").cast("string")).alias("original_c"),
         F.col("p_retailprice").alias("unit_price"),
-        F.col("value").alias("sales"),
-        (10 + k % 3 * 10).cast("double").alias("exposed_min"),
-        k.alias("k"),
+        "sales",
+        "exposed_min",
+        "k",
     )
 
 
-def airings_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Airings with null exposure (k % 10 = 0) and dummy sales (k = 99, sales 50000)."""
-    return airings(spark, sf_dir).withColumns(
+def airings_with_gaps(spark: SparkSession, sf_dir: str, rows=airings) -> DataFrame:
+    """Airings with null exposure (k % 10 = 0) and dummy sales (k = 99, sales 50000).
+
+    ``rows=slots`` leaves the columns of the product out.
+    """
+    return rows(spark, sf_dir).withColumns(
         {
             "exposed": F.when(F.col("k") % 10 != 0, F.col("exposed_min")),
             "sales": F.when(F.col("k") == 99, 50000.0)

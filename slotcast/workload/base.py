@@ -145,6 +145,6 @@ def feat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The slot sequence of the airings."""
-    return B.airings(spark, sf_dir).select(
+    return B.slots(spark, sf_dir).select(
         "ts", "ymd", "product_code", "mother_code", "category", F.col("exposed_min").alias("exposed")
     )

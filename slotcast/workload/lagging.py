@@ -8,7 +8,8 @@ from .. import constants as K
 from ..functions import scalar as S
 from ..operators import encode, history, lags, ordered as O, shows
 from ..session import new_path
-from ..sources import bindings as B, tables as T
+from ..plans import features as FE
+from ..sources import bindings as B
 from .base import feat, query, r, rs, slots, sql
 
 GAP_SLOTS = """
@@ -461,10 +462,8 @@ def mean_of_means(spark, sf):
 )
 def write_features(spark, sf):
     """Weekday and weekend sets, each without the other's lag columns, then stacked again."""
-    rows = lags.lag_sales_divided(feat(spark, sf))
-    folder = T.write_table(rows, new_path(spark, "features"), partition_by=["weekends", "months"])
-    full = T.read_table(spark, folder)
-    weekday = full.where("weekends = 0").drop(*_WK)
-    weekend = full.where("weekends = 1").drop(*_WD)
+    made = FE.Features(lags.lag_sales_divided(feat(spark, sf)), {})
+    folder = FE.write_features(made, new_path(spark, "features"))
+    weekday, weekend = (FE.read_features(spark, folder, weekends=w) for w in (0, 1))
     both = encode.stack([weekday, weekend], outer=True)
     return both.select("ts", "weekends", r("lag_sales_wd_1", "lag_sales_wd_1", 7), r("lag_sales_wk_1", "lag_sales_wk_1", 7))

@@ -14,7 +14,7 @@ from .base import feat, query, r, rs, sql
     sql("SELECT ts, product_code, category, sales, row_number() OVER (ORDER BY ts, product_code) - 1 AS place FROM airings"),
 )
 def sort_rows(spark, sf):
-    rows = B.airings(spark, sf).select("ts", "product_code", "category", "sales")
+    rows = B.slots(spark, sf).select("ts", "product_code", "category", "sales")
     placed = O.with_position(O.in_order(rows, "ts", "product_code"), "place")
     return O.without_order(placed)
 
@@ -24,7 +24,7 @@ def sort_rows(spark, sf):
     sql("SELECT ts, product_code, row_number() OVER (ORDER BY product_code, ts) - 1 AS place FROM airings"),
 )
 def sort_rows_by_product(spark, sf):
-    rows = B.airings(spark, sf).select("ts", "product_code")
+    rows = B.slots(spark, sf).select("ts", "product_code")
     return O.without_order(O.with_position(O.in_order(rows, "product_code", "ts"), "place"))
 
 

@@ -26,9 +26,9 @@ def _round_trip(spark, sf, fmt):
     return T.read_table(spark, path, EVENT_SCHEMA, fmt)
 
 
-@query("read_csv", "SELECT event_id, ts, user_id, event_type, value FROM events")
+@query("read_csv", EVENTS)
 def read_csv(spark, sf):
-    return _round_trip(spark, sf, "csv").drop("props")
+    return _round_trip(spark, sf, "csv")
 
 
 @query("read_json", EVENTS)
@@ -137,7 +137,7 @@ def calendar(spark, sf):
 
 @query("time_parts", sql("SELECT ts, years, months, days, hours, week_num FROM feat"))
 def time_parts(spark, sf):
-    return B.airings(spark, sf).select("ts", *[c.alias(n) for n, c in S.time_parts("ts").items()])
+    return B.slots(spark, sf).select("ts", *[c.alias(n) for n, c in S.time_parts("ts").items()])
 
 
 @query("weekday_name", sql("SELECT ts, dayname(ts) AS weekdays FROM items"))
@@ -147,32 +147,32 @@ def weekday_name(spark, sf):
 
 @query("hours_inweek", sql("SELECT ts, hours_inweek FROM feat"))
 def hours_inweek(spark, sf):
-    return B.airings(spark, sf).select("ts", S.hours_in_week("ts").alias("hours_inweek"))
+    return B.slots(spark, sf).select("ts", S.hours_in_week("ts").alias("hours_inweek"))
 
 
 @query("holidays", sql("SELECT ts, holidays FROM feat"))
 def holidays(spark, sf):
-    return B.airings(spark, sf).select("ts", S.holiday("ymd", B.HOLIDAYS).alias("holidays"))
+    return B.slots(spark, sf).select("ts", S.holiday("ymd", B.HOLIDAYS).alias("holidays"))
 
 
 @query("red_days", sql("SELECT ts, red FROM feat"))
 def red_days(spark, sf):
-    return B.airings(spark, sf).select("ts", S.red_day("ymd", B.HOLIDAYS).alias("red"))
+    return B.slots(spark, sf).select("ts", S.red_day("ymd", B.HOLIDAYS).alias("red"))
 
 
 @query("weekends", sql("SELECT ts, weekends FROM feat"))
 def weekends(spark, sf):
-    return B.airings(spark, sf).select("ts", S.weekend("ymd", B.HOLIDAYS).alias("weekends"))
+    return B.slots(spark, sf).select("ts", S.weekend("ymd", B.HOLIDAYS).alias("weekends"))
 
 
 @query("min_start", sql("SELECT ts, CAST((minute(ts) // 20) * 20 AS INTEGER) AS min_start FROM feat"))
 def min_start(spark, sf):
-    return B.airings(spark, sf).select("ts", S.minute_start("ts").alias("min_start"))
+    return B.slots(spark, sf).select("ts", S.minute_start("ts").alias("min_start"))
 
 
 @query("rounded_hour", sql("SELECT ts, japp FROM feat"))
 def rounded_hour(spark, sf):
-    return B.airings(spark, sf).select("ts", S.rounded_hour("ts").alias("japp"))
+    return B.slots(spark, sf).select("ts", S.rounded_hour("ts").alias("japp"))
 
 
 @query(
@@ -182,7 +182,7 @@ def rounded_hour(spark, sf):
 def rounded_hour_coarse(spark, sf):
     """Rounded from the 20-minute start instead of the minute."""
     coarse = S.rounded_hour("ts", S.minute_start("ts"))
-    return B.airings(spark, sf).select("ts", coarse.alias("japp"))
+    return B.slots(spark, sf).select("ts", coarse.alias("japp"))
 
 
 @query(
@@ -190,7 +190,7 @@ def rounded_hour_coarse(spark, sf):
     sql("SELECT ts, CASE WHEN exposed < 25 THEN 20 WHEN exposed >= 25 THEN 30 END AS exposed_t FROM gaps"),
 )
 def round_exposed(spark, sf):
-    return B.airings_with_gaps(spark, sf).select("ts", S.rounded_exposure("exposed").alias("exposed_t"))
+    return B.airings_with_gaps(spark, sf, B.slots).select("ts", S.rounded_exposure("exposed").alias("exposed_t"))
 
 
 @query(
@@ -331,7 +331,7 @@ def select_common(spark, sf):
     sql("SELECT ts, CAST(ts - INTERVAL 1 HOUR - INTERVAL 1 MICROSECOND AS DATE) AS broadcast_day FROM airings"),
 )
 def broadcast_day(spark, sf):
-    return B.airings(spark, sf).select("ts", S.broadcast_day("ts").alias("broadcast_day"))
+    return B.slots(spark, sf).select("ts", S.broadcast_day("ts").alias("broadcast_day"))
 
 
 @query("day_hour", sql("SELECT ts, CAST(days AS VARCHAR) || '/' || CAST(hours AS VARCHAR) AS day_hour FROM feat"))
@@ -392,12 +392,12 @@ def growth_adjust(spark, sf):
 
 @query("clamp_negative", sql("SELECT ts, " + rs("greatest(sales - 50, 0)", "prediction") + " FROM airings"))
 def clamp_negative(spark, sf):
-    return B.airings(spark, sf).select("ts", r(S.clamp_negative(F.col("sales") - 50), "prediction"))
+    return B.slots(spark, sf).select("ts", r(S.clamp_negative(F.col("sales") - 50), "prediction"))
 
 
 @query("scale_profit", sql("SELECT ts, " + rs("sales * 3", "profit") + " FROM airings"))
 def scale_profit(spark, sf):
-    return B.airings(spark, sf).select("ts", r(S.scaled_profit("sales"), "profit"))
+    return B.slots(spark, sf).select("ts", r(S.scaled_profit("sales"), "profit"))
 
 
 @query(
@@ -409,7 +409,7 @@ def scale_profit(spark, sf):
     ),
 )
 def null_counts(spark, sf):
-    return T.null_counts(B.airings_with_gaps(spark, sf).select("exposed", "sales", "ts"))
+    return T.null_counts(B.airings_with_gaps(spark, sf, B.slots).select("exposed", "sales", "ts"))
 
 
 @query("write_report", sql("SELECT CAST(ts AS DATE) AS ymd, category, " + rs("sum(sales)", "sales", 7) + ", count(*) AS n FROM airings GROUP BY 1, 2"))

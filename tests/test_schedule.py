@@ -65,8 +65,17 @@ def test_groups_match_enumeration(spark, slots, items):
     df = spark.createDataFrame(rows, EDGE).repartition(3)
     want = {g: brute(t) for g, t in enumerate(tables)}
     got = P.assign(df, ["g"], "slot", "item").collect()
-    assert len({(r.g, r.slot) for r in got}) == len(got) == len({(r.g, r.item) for r in got})
-    assert {g: sum(r.profit for r in got if r.g == g) for g in want} == want
+    filled = [r for r in got if r.item is not None]
+    assert len({(r.g, r.slot) for r in got}) == len(got) == len(tables) * slots  # empty slots stay
+    assert len(filled) == len({(r.g, r.item) for r in filled}) == len(tables) * min(slots, items)
+    assert all((r.item is None) == (r.profit is None) for r in got)
+    assert {g: sum(r.profit for r in filled if r.g == g) for g in want} == want
+
+
+def test_an_edge_given_twice_is_refused(spark):
+    df = spark.createDataFrame([(0, 0, 0, 1.0), (0, 0, 0, 3.0)], EDGE)
+    with pytest.raises(Exception, match="duplicate entries"):
+        P._solver(["g"], "slot", "item", None)(df.toPandas())
 
 
 def test_contenders_keep_the_optimum(spark):
@@ -87,7 +96,8 @@ def test_categories_are_used_as_often_as_drawn(spark):
     got = P.assign_categories(p, d).collect()
     table = {(h, c): v for _, h, c, v in profits}
     matrix = [[table[h, c] for c in "aaab"] for h in range(5)]
-    assert sum(r.profit for r in got) == brute(matrix)
+    assert sum(r.profit for r in got if r.category) == brute(matrix)
+    assert len(got) == 5 and sum(r.category is None for r in got) == 1  # four draws for five slots
     used = [r.category for r in got]
     assert (used.count("a"), used.count("b"), used.count("c")) == (3, 1, 0)
 
