@@ -1,9 +1,9 @@
 """Secret scans: fixed patterns, and character Markov models of random and ordinary strings.
 
 Two first-order models over characters are trained from strings labelled by the fixed patterns:
-what the patterns find is random, other words of a sample are ordinary.  Long strings with letters
-and digits that no pattern covers are secrets if the mean log-likelihood ratio per character step
-favours the random model.  All of it is built-in functions.
+what the patterns find is random, all other words of all documents are ordinary.  Long strings with
+letters and digits that no pattern covers are secrets if the mean log-likelihood ratio per character
+step favours the random model.  All of it is built-in functions.
 """
 
 from __future__ import annotations
@@ -24,8 +24,7 @@ WORD = r"[A-Za-z][A-Za-z0-9_]{5,}"
 #: Character classes of the models: digits, lower case, upper case, and the rest as one.
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SIZE = len(ALPHABET) + 1
-#: Documents of the ordinary sample (expected number), and the limit of the mean log ratio.
-SAMPLE = 2000
+#: Limit of the mean log ratio.
 LIMIT = 0.5
 
 SPAN = "array<struct<start:bigint,stop:bigint,rank:int,value:string>>"
@@ -66,31 +65,30 @@ def _class(char: Column) -> Column:
 
 
 def _steps(strings: DataFrame, label: str) -> DataFrame:
-    """(label, a, b, n): how often character class b follows a, summed before the shuffle."""
+    """(label, a, b, n): how often character class b follows a in the strings ``s``.
+
+    Equal strings are counted before they are shuffled and taken apart only once.
+    """
+    counted = strings.where(F.length("s") >= 2).groupBy("s").agg(F.count(F.lit(1)).alias("w"))
     chars = F.split("s", "")
-    after = F.slice(chars, F.lit(2), F.length("s") - 1)
+    before, after = F.slice(chars, F.lit(1), F.length("s") - 1), F.slice(chars, F.lit(2), F.length("s") - 1)
     return (
-        strings.where(F.length("s") >= 2)
-        .select(F.explode(F.arrays_zip(F.slice(chars, F.lit(1), F.length("s") - 1).alias("a"), after.alias("b"))).alias("x"))
-        .select(_class(F.col("x.a")).alias("a"), _class(F.col("x.b")).alias("b"))
-        .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).withColumn("label", F.lit(label))
+        counted.select("w", F.explode(F.arrays_zip(before.alias("a"), after.alias("b"))).alias("x"))
+        .select("w", _class(F.col("x.a")).alias("a"), _class(F.col("x.b")).alias("b"))
+        .groupBy("a", "b").agg(F.sum("w").alias("n")).withColumn("label", F.lit(label))
     )
 
 
-def train_models(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> list[float]:
+def train_models(docs: DataFrame, text_col: str = "text") -> list[float]:
     """Log ratio (random over ordinary) of each step between two character classes, row by row.
 
-    Random strings come from all documents; ordinary words from about ``sample`` documents, chosen
-    by a hash of the id.  The driver receives at most 2 * SIZE^2 sums.
+    Both kinds of strings come from all documents; without any, all ratios are 0.  The driver
+    receives at most 2 * SIZE^2 sums.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    share = min(1.0, sample / max(1, docs.count()))
-    spans = docs.select(F.explode(base_spans(text)).alias("x"))
-    random = spans.select(F.col("x.value").alias("s"))
-    chosen = docs.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
-    words = chosen.select(
-        F.explode(F.regexp_extract_all(F.regexp_replace(F.regexp_replace(text, ASSIGN, " "), HEX, " "), F.lit(WORD), F.lit(0))).alias("s")
-    )
+    random = docs.select(F.explode(base_spans(text)).alias("x")).select(F.col("x.value").alias("s"))
+    rest = F.regexp_replace(F.regexp_replace(text, ASSIGN, " "), HEX, " ")
+    words = docs.select(F.explode(F.regexp_extract_all(rest, F.lit(WORD), F.lit(0))).alias("s"))
     counts = {"random": [[1.0] * SIZE for _ in range(SIZE)], "ordinary": [[1.0] * SIZE for _ in range(SIZE)]}
     for row in _steps(random, "random").unionByName(_steps(words, "ordinary")).collect():
         counts[row.label][row.a][row.b] += row.n
@@ -126,7 +124,7 @@ def scan(
     Offsets are code points.  Added spans have a letter and a digit and overlap no base span.  Null
     and empty texts have none.
     """
-    ratios = train_models(docs, id_col, text_col) if ratios is None else ratios
+    ratios = train_models(docs, text_col) if ratios is None else ratios
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = docs.select(
         F.col(id_col), base_spans(text).alias("base"), _found(text, CANDIDATE, 3, 20).alias("_more")
