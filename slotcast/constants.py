@@ -37,7 +37,6 @@ GROWTH_FACTORS = {
 }
 
 # --- fixed values: category mix of the two-level schedule, categories in sorted order ----------
-CATEGORY_MIX = (0.025, 0.115, 0.009, 0.217, 0.12, 0.121, 0.093, 0.107, 0.069, 0.113, 0.009)
 DRAWS_PER_DAY = 22
 
 # --- fixed values: column groups ---------------------------------------------------------------
@@ -83,6 +82,8 @@ MODEL_PARAMS = {
     ("weekday", "top"): {"stepSize": 0.0025, "minInstancesPerNode": 70, "maxIter": 4000},
     ("weekend", "top"): {"stepSize": 0.0025, "minInstancesPerNode": 30, "maxIter": 3500},
 }
+#: Rounds that models are fitted with unless told otherwise; the step grows to match.
+ROUNDS = 20
 TOP_SLICES = {"weekday": (4004, 2013), "weekend": (2206, 999), "schedule": (5500, 2500)}
 MIX_TOP = {
     "test": {"weekday": 727, "weekend": 249},

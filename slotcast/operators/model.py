@@ -11,37 +11,52 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import constants as K
-from ..session import shared_dir
+from ..session import settle, shared_dir
+from . import ordered as O
 from .encode import stack
 from .evaluate import metrics, mix_predictions, month_holdout, time_split, top_slice
 
 KEYS = ["ts", "product_code"]
 
 
-_IN, _SET = "_in", "_set"
+_IN, _SET, _NULL = "_in", "_set", "_null"
+#: Columns that are null where there is no past; a flag tells that from a zero.
+FLAGGED = "lag_sales"
+
+
+def input_names(columns: Sequence[str]) -> list[str]:
+    flags = [f"{c}{_NULL}" for c in columns if c.startswith(FLAGGED)]
+    return [f"{c}{_IN}" for c in columns] + flags
 
 
 def with_inputs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Add the numeric model inputs ``<name>_in``: doubles, nulls as 0."""
-    return df.withColumns(
-        {f"{c}{_IN}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns}
-    )
+    """Add the numeric model inputs: ``<name>_in`` with nulls as 0, and ``<name>_null`` for sales lags."""
+    values = {f"{c}{_IN}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns}
+    flags = {f"{c}{_NULL}": F.col(c).isNull().cast("double") for c in columns if c.startswith(FLAGGED)}
+    return df.withColumns({**values, **flags})
 
 
 def train_model(
     train: DataFrame, features: Sequence[str], params: dict, label: str = "sales",
     categorical: Sequence[str] = (), max_bins: int = 256, seed: int = K.SEED,
 ) -> PipelineModel:
-    """Boosted regression trees on named features; ``categorical`` ones are split as sets."""
+    """Boosted regression trees on named features; ``categorical`` ones are split as sets.
+
+    A column with more values than ``max_bins`` raises the number of bins to match.
+    """
     shared_dir(train.sparkSession)
     numeric = [f for f in features if f not in categorical]
-    stages = [
-        StringIndexer(
+    rows = with_inputs(train.select(*dict.fromkeys([*numeric, *categorical, label])), numeric)
+    stages = []
+    if categorical:
+        indexer = StringIndexer(
             inputCols=list(categorical), outputCols=[f"{c}{_SET}" for c in categorical],
             stringOrderType="alphabetAsc", handleInvalid="keep",
-        )
-    ] if categorical else []
-    assembled = [f"{c}{_IN}" for c in numeric] + [f"{c}{_SET}" for c in categorical]
+        ).fit(rows)
+        stages.append(indexer)
+        # one more value stands for what was not seen
+        max_bins = max(max_bins, 1 + max(len(values) for values in indexer.labelsArray))
+    assembled = input_names(numeric) + [f"{c}{_SET}" for c in categorical]
     stages.append(VectorAssembler(inputCols=assembled, outputCol="features"))
     stages.append(
         GBTRegressor(
@@ -49,7 +64,6 @@ def train_model(
             checkpointInterval=10, **params,
         )
     )
-    rows = with_inputs(train.select(*dict.fromkeys([*numeric, *categorical, label])), numeric)
     return Pipeline(stages=stages).fit(rows)
 
 
@@ -72,8 +86,8 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def scaled_params(part: str, tier: str, rounds: int | None = None) -> dict:
-    """Parameter table entry; ``rounds`` replaces the number of trees (and the step to match)."""
+def scaled_params(part: str, tier: str, rounds: int | None = K.ROUNDS) -> dict:
+    """Parameter table entry with ``rounds`` trees and a step to match; None keeps the table's own."""
     params = dict(K.MODEL_PARAMS[(part, tier)])
     if rounds is not None:
         params["stepSize"] = min(0.3, params["stepSize"] * params["maxIter"] / rounds)
@@ -83,7 +97,7 @@ def scaled_params(part: str, tier: str, rounds: int | None = None) -> dict:
 
 def fit_two_tier(
     df: DataFrame, features: Sequence[str], part: str, month: int = 8,
-    sizes: tuple[int, int] | None = None, rounds: int | None = None,
+    sizes: tuple[int, int] | None = None, rounds: int | None = K.ROUNDS,
     categorical: Sequence[str] = (), keys: Sequence[str] = KEYS,
 ) -> tuple[PipelineModel, PipelineModel]:
     """Base model on the rows up to ``month`` and top model on the best-selling rows."""
@@ -106,7 +120,7 @@ def score_two_tier(
 
 def robust_check(
     df: DataFrame, features: Sequence[str], part: str, month: int = 8, holdout: int = 12,
-    sizes: tuple[int, int] | None = None, rounds: int | None = None, **options,
+    sizes: tuple[int, int] | None = None, rounds: int | None = K.ROUNDS, **options,
 ) -> DataFrame:
     """Metrics of the mixed model on one held-out month."""
     sizes = sizes or K.TOP_SLICES[part]
@@ -119,25 +133,27 @@ def robust_check(
 
 def expanding_cv(
     df: DataFrame, features: Sequence[str], part: str, months: Sequence[int] = K.CV_MONTHS,
-    shares: Sequence[tuple[int, int]] | None = None, rounds: int | None = None, **options,
+    shares: Sequence[tuple[int, int]] | None = None, rounds: int | None = K.ROUNDS,
+    categorical: Sequence[str] = (), keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """Metrics per validation month: base model, and mixed model for each top size."""
-    rows = []
-    shares = K.CV_TOP_SHARES[part] if shares is None else shares
+    """Metrics per validation month: base model, and mixed model for each top size.
+
+    Top models do not depend on the month, so each is fitted once.
+    """
+    rows, tops, keys = [], [], list(keys)
+    for n_train, n_val in K.CV_TOP_SHARES[part] if shares is None else shares:
+        best = settle(O.top_positions(df, "mean_sales_origin", keys, n_train + n_val))
+        own, _ = top_slice(df, n_train, n_val, keys, best=best)
+        top = train_model(own, features, scaled_params(part, "top", rounds), categorical=categorical)
+        tops.append((n_train + n_val, best, top))
     for month in months:
-        train, val = time_split(df, month, list(options.get("keys", KEYS)))
-        cat = options.get("categorical", ())
-        base = train_model(train, features, scaled_params(part, "all", rounds), categorical=cat)
-        scored = predict(base, val, features, "pred_base", cat)
+        train, val = time_split(df, month, keys)
+        base = train_model(train, features, scaled_params(part, "all", rounds), categorical=categorical)
+        scored = predict(base, val, features, "pred_base", categorical)
         rows.append((month, "base", 0, metrics(scored, pred="pred_base")))
-        for n_train, n_val in shares:
-            top_train, _ = top_slice(df, n_train, n_val, list(options.get("keys", KEYS)))
-            top = train_model(top_train, features, scaled_params(part, "top", rounds), categorical=cat)
-            mixed = mix_predictions(
-                predict(top, scored, features, "pred_top", cat), n_train + n_val,
-                keys=list(options.get("keys", KEYS)), ranked=df,
-            )
-            rows.append((month, "mixed", n_train + n_val, metrics(mixed)))
+        for n, best, top in tops:
+            both = predict(top, scored, features, "pred_top", categorical)
+            rows.append((month, "mixed", n, metrics(mix_predictions(both, n, keys=keys, best=best))))
     return stack(
         [
             m.select(
@@ -150,11 +166,12 @@ def expanding_cv(
 
 
 def feature_importance(spark: SparkSession, model: PipelineModel, k: int = 30) -> DataFrame:
-    """The ``k`` most important features (one row per model input)."""
-    names = [c.removesuffix(_IN).removesuffix(_SET) for c in model.stages[-2].getInputCols()]
+    """The ``k`` most important features; a null flag counts for its column."""
+    names = [c.removesuffix(_IN).removesuffix(_SET).removesuffix(_NULL) for c in model.stages[-2].getInputCols()]
     values = model.stages[-1].featureImportances.toArray()
-    rows = [(n, float(v)) for n, v in zip(names, values)]
-    table = spark.createDataFrame(rows, "feature string, importance double")
+    rows = [(n, float(v)) for n, v in zip(names, values)]  # as many as the model has inputs
+    parts = spark.createDataFrame(rows, "feature string, importance double")
+    table = parts.groupBy("feature").agg(F.sum("importance").alias("importance"))
     return table.orderBy(F.desc("importance"), "feature").limit(k)
 
 

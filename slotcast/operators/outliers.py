@@ -105,9 +105,12 @@ def flag_outliers(
     df: DataFrame, columns: list[str], keys: list[str], share: float = K.OUTLIER_SHARE,
     trees: int = K.OUTLIER_TREES, samples: int = K.OUTLIER_SAMPLES, seed: int = K.SEED,
 ) -> DataFrame:
-    """Add ``score`` and ``outlier``: 1 for the ``share`` most isolated rows."""
+    """Add ``score`` and ``outlier``: 1 for the ``share`` most isolated rows.
+
+    The scored rows are stored: the cut and the flag both need them.
+    """
     nodes = settle(fit_forest(df, columns, keys, trees, samples, seed))
-    scored = df.withColumn("score", anomaly_score(nodes, columns, samples))
+    scored = settle(df.withColumn("score", anomaly_score(nodes, columns, samples)))
     cut = O.quantiles(scored, "score", [1.0 - share]).select("q0").scalar()
     return scored.withColumn("outlier", (F.col("score") > cut).cast("int"))
 

@@ -187,16 +187,19 @@ def sales_history_columns(
     return df if side.forecast is None else external.add_forecast(df, side.forecast)
 
 
-def run_all(rows: DataFrame, side: SideTables, config: FeatureConfig = FeatureConfig()) -> Features:
-    """Full feature set of normalised schedule rows (train or test)."""
+def stage(rows: DataFrame, side: SideTables, config: FeatureConfig) -> DataFrame:
+    """Schedule rows with calendar, shows and categories, stored."""
     df = shows.fill_exposed(calendar_columns(rows, config))
     df = shows.show_sequence(df, config.run_key, config.carry_key)
     df = encode.drop_rows(df, config.mode)
     if side.tree is not None:
         columns = [c for c in side.tree.columns if c not in ("ts", "product_code")]
         df = external.add_categories(df, side.tree, columns)
-    base = settle(df)
+    return settle(df)
 
+
+def finish(base: DataFrame, side: SideTables, config: FeatureConfig) -> Features:
+    """All other features of staged rows."""
     fitted = fit_lists(base, config) if config.mode == "train" else side.lists
     df = apply_lists(item_columns(base, config), fitted)
     if config.mode == "train":
@@ -209,6 +212,11 @@ def run_all(rows: DataFrame, side: SideTables, config: FeatureConfig = FeatureCo
     return Features(sales_history_columns(df, base, side, config), fitted)
 
 
+def run_all(rows: DataFrame, side: SideTables, config: FeatureConfig = FeatureConfig()) -> Features:
+    """Full feature set of normalised schedule rows (train or test)."""
+    return finish(stage(rows, side, config), side, config)
+
+
 def run_candidates(grid: DataFrame, side: SideTables, config: FeatureConfig) -> DataFrame:
     """Reduced feature set of a candidate grid that already carries its category columns."""
     if config.mode not in GRID_MODES:

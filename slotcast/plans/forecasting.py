@@ -13,14 +13,14 @@ from ..operators import encode, model
 from ..operators.evaluate import metrics, time_split
 from ..operators.schedule import submission
 from ..session import settle
-from .features import FeatureConfig, SideTables, run_all
+from .features import FeatureConfig, SideTables, finish, stage
 
 PARTS = {"weekday": 0, "weekend": 1}
 KEYS = ("ts", "product_code")
 CODED = ("product_no", "category", "weekdays", "small_c", "middle_c", "big_c", "original_c", "pay", "exposed_t")
-SETS = ("weekdays",)
+SETS = ("weekdays", "small_c", "middle_c", "big_c")
 NOT_INPUTS = (*K.USELESS_COLUMNS, *KEYS, "sales", "show_id", "broadcast_day", "k")
-CANDIDATE_DROPS = ("product_no", "original_c")
+CANDIDATE_DROPS = ("product_no", "original_c", "min_start")  # the reduced chain has no start minute
 Models = Mapping[str, tuple[PipelineModel, PipelineModel]]
 
 
@@ -49,7 +49,7 @@ def input_columns(df: DataFrame, part: str | None = None, shared: Sequence[str]
 
 def train_parts(
     train: DataFrame, month: int = 8, sizes: Mapping[str, tuple[int, int]] | None = None,
-    rounds: int | None = None, shared: Sequence[str] | None = None,
+    rounds: int | None = K.ROUNDS, shared: Sequence[str] | None = None,
 ) -> Models:
     """Base and top model for weekdays and weekends on encoded features."""
     sizes = sizes or K.TOP_SLICES
@@ -116,7 +116,7 @@ def forecast(
 def score_candidates(
     train: DataFrame, candidates: DataFrame, month: int = 8,
     sizes: tuple[int, int] = K.TOP_SLICES["schedule"], n_top: int = K.MIX_TOP["schedule"],
-    rounds: int | None = None,
+    rounds: int | None = K.ROUNDS,
 ) -> DataFrame:
     """Candidate rows with the base model's value ``pred`` and the mixed one ``pred_mixed``.
 
@@ -141,8 +141,10 @@ def counterfactual(
     The models are fitted again on the columns that each test set has.
     """
     results = {}
+    config = replace(config, mode="test")
+    staged = stage(raw_test, side, config)  # shows and categories are the same in both runs
     for off in (False, True):
-        test = run_all(raw_test, side, replace(config, mode="test", counterfactual=off)).frame
+        test = finish(staged, side, replace(config, counterfactual=off)).frame
         results[off] = _predicted(train, settle(test), n_top, **options)
     normal = results[False].select(*KEYS, F.col("sales").alias("sales_normal"))
     without = results[True]

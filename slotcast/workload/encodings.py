@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..operators import encode, evaluate, history, lags, model, outliers, reports
 from ..session import new_path, settle
 from ..sources import bindings as B
@@ -94,8 +95,9 @@ def one_hot_vectors(spark, sf):
 
 
 FEATURES = ("hours", "hours_inweek", "japp", "weekends", "unit_price", "exposed", "rolling_mean_7", "mean_sales_origin", "lag_sales_1")
-CATEGORICAL = ("category", "big_c")
-ROUNDS = 5
+CATEGORICAL = ("weekdays", "small_c", "middle_c", "big_c")
+INPUTS = (*FEATURES, *CATEGORICAL)
+PARTS = ((0, "weekday"), (1, "weekend"))
 
 
 def modelled(spark, sf):
@@ -106,10 +108,20 @@ def modelled(spark, sf):
     return settle(rows.withColumn("months", F.floor((F.col("days") - 1) / 5).cast("int") + 5))
 
 
+OUTLIER_COLUMNS, OUTLIER_KEYS = ["unit_price", "sales"], ["ts", "product_code"]
+
+
 @query("remove_outliers")
 def remove_outliers(spark, sf):
-    rows = B.airings(spark, sf).select("ts", "product_code", "unit_price", "sales")
-    return outliers.flag_outliers(rows, ["unit_price", "sales"], ["ts", "product_code"]).groupBy("outlier").agg(
+    """The rows that the isolation forest keeps."""
+    rows = B.airings(spark, sf).select(*OUTLIER_KEYS, *OUTLIER_COLUMNS)
+    return outliers.remove_outliers(rows, OUTLIER_COLUMNS, OUTLIER_KEYS)
+
+
+@query("outlier_flags")
+def outlier_flags(spark, sf):
+    rows = B.airings(spark, sf).select(*OUTLIER_KEYS, *OUTLIER_COLUMNS)
+    return outliers.flag_outliers(rows, OUTLIER_COLUMNS, OUTLIER_KEYS).groupBy("outlier").agg(
         F.count(F.lit(1)).alias("n"), r(F.avg("score"), "mean_score"), r(F.avg("sales"), "mean_sales")
     )
 
@@ -119,37 +131,64 @@ def two_tier_model(spark, sf):
     """Train base and top model per partition, save, load, score and mix."""
     rows = modelled(spark, sf)
     parts = []
-    for flag, part in ((0, "weekday"), (1, "weekend")):
+    for flag, part in PARTS:
         own = rows.where(F.col("weekends") == flag)
-        sizes = (1000, 500)
-        models = model.fit_two_tier(own, FEATURES, part, 8, sizes, ROUNDS, CATEGORICAL)
+        models = model.fit_two_tier(own, INPUTS, part, 8, categorical=CATEGORICAL)
         paths = [model.save_model(m, new_path(spark, f"{part}-model")) for m in models]
         loaded = tuple(model.load_model(p) for p in paths)
         _, val = evaluate.time_split(own, 8)
-        mixed = model.score_two_tier(loaded, val, FEATURES, sum(sizes), CATEGORICAL, ranked=own)
+        n = K.MIX_TOP["validation"][part]
+        mixed = model.score_two_tier(loaded, val, INPUTS, n, CATEGORICAL, ranked=own)
         parts.append(evaluate.metrics(mixed).withColumn("part", F.lit(part)))
     return encode.stack(parts)
 
 
 @query("expanding_cv")
 def expanding_cv(spark, sf):
-    rows = modelled(spark, sf).where("weekends = 0")
-    return model.expanding_cv(rows, FEATURES, "weekday", (7, 8), ((500, 200),), 3, categorical=CATEGORICAL)
+    """Both partitions, all months and top sizes."""
+    rows = modelled(spark, sf)
+    return encode.stack(
+        [
+            model.expanding_cv(rows.where(F.col("weekends") == flag), INPUTS, part, categorical=CATEGORICAL)
+            for flag, part in PARTS
+        ]
+    )
 
 
 @query("month_holdout")
 def month_holdout(spark, sf):
-    rows = modelled(spark, sf).where("weekends = 0")
-    return model.robust_check(rows, FEATURES, "weekday", 8, 10, (1000, 500), 3, categorical=CATEGORICAL)
+    """Both partitions on the half month named 10."""
+    rows = modelled(spark, sf)
+    return encode.stack(
+        [
+            model.robust_check(rows.where(F.col("weekends") == flag), INPUTS, part, 8, 10, categorical=CATEGORICAL)
+            for flag, part in PARTS
+        ]
+    )
 
 
 @query("feature_importance")
 def feature_importance(spark, sf):
     rows = modelled(spark, sf)
-    fitted = model.train_model(rows, FEATURES, model.scaled_params("weekday", "all", ROUNDS), categorical=CATEGORICAL)
+    fitted = model.train_model(rows, INPUTS, model.scaled_params("weekday", "all"), categorical=CATEGORICAL)
     return model.feature_importance(spark, fitted, 30)
 
 
+@query(
+    "predict",
+    sql("SELECT ts, product_code, sales, TRUE AS same_row, TRUE AS is_finite FROM airings"),
+)
+def predict(spark, sf):
+    """Every row gets one finite value from a stored model and keeps its own columns."""
+    rows = modelled(spark, sf)
+    fitted = model.train_model(rows, INPUTS, model.scaled_params("weekday", "all"), categorical=CATEGORICAL)
+    loaded = model.load_model(model.save_model(fitted, new_path(spark, "model")))
+    scored = model.predict(loaded, rows, INPUTS, "value", CATEGORICAL)
+    same = F.lit(scored.columns == [*rows.columns, "value"])
+    finite = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
+    return scored.select("ts", "product_code", "sales", same.alias("same_row"), finite.alias("is_finite"))
+
+
 @query("kmeans_report")
 def kmeans_report(spark, sf):
     rows = feat(spark, sf).select("unit_price", "sales", "exposed")

@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..functions import scalar as S
 from ..operators import reports, schedule
 from ..operators.encode import stack
@@ -268,6 +269,32 @@ RAW = [
 ]
 
 
+UNDIVIDED = replace(CONFIG, divided=False)
+
+
+@query("train_features_undivided")
+def train_features_undivided(spark, sf):
+    """Full training feature set with sales lags over all days."""
+    rows = _base_rows(spark, sf)
+    return FE.run_all(rows.select(*RAW), _side(spark, sf, rows), UNDIVIDED).frame
+
+
+@query(
+    "undivided_lags",
+    sql(
+        "SELECT ts, " + ", ".join(rs(f"lag_sales_{n}", f"lag_sales_{n}", 7) for n in K.UNDIVIDED_LAGS)
+        + " FROM kept LEFT JOIN (SELECT ymd, hours, "
+        + ", ".join(f"lag(s, {n}) OVER (PARTITION BY hours ORDER BY ymd) AS lag_sales_{n}" for n in K.UNDIVIDED_LAGS)
+        + " FROM (SELECT ymd, hours, sum(sales) AS s FROM kept GROUP BY ALL)) USING (ymd, hours)",
+        "kept AS (SELECT ts, ymd, hour(ts) AS hours, sales FROM gaps WHERE sales IS NOT NULL AND sales <> 50000)",
+    ),
+)
+def undivided_lags(spark, sf):
+    """The undivided sales lags of the full feature set."""
+    made = train_features_undivided(spark, sf)
+    return made.select("ts", *[r(f"lag_sales_{n}", f"lag_sales_{n}", 7) for n in K.UNDIVIDED_LAGS])
+
+
 @query("train_features")
 def train_features(spark, sf):
     """Full training feature set, written and read back."""
@@ -277,25 +304,12 @@ def train_features(spark, sf):
     return FE.read_features(spark, folder)
 
 
-_STORED: dict[tuple[str, str], tuple] = {}
-
-
-def _years(spark, sf):
-    """Training features of days 1-20 moved into June and December, and the later test rows.
-
-    The stored stage is shared by the queries of one application.
-    """
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _STORED:
-        _STORED[key] = _make_years(spark, sf)
-    return _STORED[key]
-
-
-def _make_years(spark, sf):
+def _years(spark, sf, config=CONFIG):
+    """Training features of days 1-20 moved into June and December, and the later test rows."""
     rows = _base_rows(spark, sf)
     past, late = rows.where(F.dayofmonth("ymd") <= 20), rows.where(F.dayofmonth("ymd") > 20)
     side = _side(spark, sf, rows)
-    made = FE.run_all(past.select(*RAW), side, CONFIG)
+    made = FE.run_all(past.select(*RAW), side, config)
     train = settle(made.frame)
     month = F.when(F.col("days") <= 8, 6).when(F.col("days") <= 14, 8).otherwise(12)
     return rows, late, train.withColumns({"months": month, "days": F.col("days") + 10}), made.lists, side
@@ -309,16 +323,16 @@ def test_features(spark, sf):
     return FE.run_all(late.select(*RAW), side, replace(CONFIG, mode="test")).frame
 
 
-def _candidates(spark, sf, mode):
+def _candidates(spark, sf, mode, config=CONFIG):
     """Features of the product-by-slot grid, with training features and raw rows."""
-    rows, _, train, fitted, side = _years(spark, sf)
+    rows, _, train, fitted, side = _years(spark, sf, config)
     catalogue = rows.groupBy("product_code").agg(
         *[F.min(c).alias(c) for c in ("mother_code", "product_name", "unit_price", "exposed", *TREE)],
         F.min("category").alias("category"),
     )
     cells = schedule.cross_schedule(catalogue, *_bounds(spark, sf)).withColumn("ymd", F.to_date("ts"))
     side = replace(side, lists=fitted, history=train)
-    made = FE.run_candidates(cells, side, replace(CONFIG, mode=mode))
+    made = FE.run_candidates(cells, side, replace(config, mode=mode))
     return rows, train, made
 
 
@@ -328,6 +342,12 @@ def candidate_features(spark, sf):
     return _candidates(spark, sf, "hungarian")[2]
 
 
+@query("candidate_features_undivided")
+def candidate_features_undivided(spark, sf):
+    """The grid with sales lags over all days, as the scheduler takes them."""
+    return _candidates(spark, sf, "hungarian", UNDIVIDED)[2]
+
+
 @query("candidate_features_per_slot")
 def candidate_features_per_slot(spark, sf):
     """Reduced features of the grid where every slot is its own show."""
@@ -336,14 +356,18 @@ def candidate_features_per_slot(spark, sf):
 
 @query("model_schedule")
 def model_schedule(spark, sf):
-    """Grid features, models on the reduced columns, scores, two-level schedule with item names."""
-    rows, train, made = _candidates(spark, sf, "hungarian")
+    """Undivided grid features, models on the reduced columns, scores, two-level schedule with item names.
+
+    Categories are drawn with their shares of the shows seen in training.
+    """
+    rows, train, made = _candidates(spark, sf, "hungarian", UNDIVIDED)
     scored = settle(
-        forecasting.score_candidates(train, settle(made), sizes=(1000, 500), n_top=8000, rounds=3).select(
+        forecasting.score_candidates(train, settle(made)).select(
             "ts", "product_code", "category", "pred", "pred_mixed"
         )
     )
-    mix = [(c, 0.2) for c in ("click", "error", "purchase", "signup", "view")]
+    shares = reports.category_mix(train, include_margin=False).where("category IS NOT NULL AND category != 'All'")
+    mix = [tuple(row) for row in shares.orderBy("category").select("category", "mix").collect()]  # one per category
     plan = scheduling.two_level(scored, rows, mix, LATE)
     items = rows.select("product_code", "product_name").distinct()
     prices = rows.groupBy("product_code").agg(F.min("unit_price").alias("unit_price"))
@@ -351,9 +375,6 @@ def model_schedule(spark, sf):
     return named.withColumn("value", S.scaled_profit("profit"))
 
 
-SMALL = {"sizes": {"weekday": (600, 300), "weekend": (300, 150)}, "rounds": 3}
-
-
 @query("forecast")
 def forecast(spark, sf):
     """Train four models, predict the later days, add unpriced rows."""
@@ -362,11 +383,19 @@ def forecast(spark, sf):
     raw = late.withColumn("unit_price", price).select(*RAW)
     side = replace(side, lists=fitted, history=train)
     test = settle(FE.run_all(raw, side, replace(CONFIG, mode="test")).frame)
-    return forecasting.forecast(train, raw, test, **SMALL)
+    return forecasting.forecast(train, raw, test)
+
+
+@query("validate_parts")
+def validate_parts(spark, sf):
+    """Error of the mixed models of both parts on the rows after the training months."""
+    train = _years(spark, sf)[2]
+    coded = settle(forecasting.encoded([train])[0])
+    return forecasting.validate_parts(forecasting.train_parts(coded), coded)
 
 
 @query("counterfactual")
 def counterfactual(spark, sf):
     _, late, train, fitted, side = _years(spark, sf)
     side = replace(side, lists=fitted, history=train)
-    return forecasting.counterfactual(train, late.select(*RAW), side, CONFIG, **SMALL)
+    return forecasting.counterfactual(train, late.select(*RAW), side, CONFIG)
