@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -77,6 +79,15 @@ def predict(
     return scored.select(*df.columns, F.col("prediction").alias(name))
 
 
+def fit_side_by_side(spark: SparkSession, fits: Sequence[Callable], most: int = 4) -> list:
+    """Results of independent fits, at most ``most`` of which run at a time.
+
+    A boosting round is a chain of short jobs, so one fit leaves most of a cluster idle.
+    """
+    with ThreadPool(min(most, len(fits))) as pool:
+        return pool.map(lambda fit: fit(), [inheritable_thread_target(spark)(f) for f in fits], chunksize=1)
+
+
 def save_model(model: PipelineModel, path: str) -> str:
     model.write().save(path)
     return path
@@ -103,9 +114,13 @@ def fit_two_tier(
     """Base model on the rows up to ``month`` and top model on the best-selling rows."""
     train, _ = time_split(df, month, list(keys))
     top_train, _ = top_slice(df, *(sizes or K.TOP_SLICES[part]), list(keys))
-    base = train_model(train, features, scaled_params(part, "all", rounds), categorical=categorical)
-    top = train_model(top_train, features, scaled_params(part, "top", rounds), categorical=categorical)
-    return base, top
+    fits = [
+        lambda rows=rows, tier=tier: train_model(
+            rows, features, scaled_params(part, tier, rounds), categorical=categorical
+        )
+        for rows, tier in ((train, "all"), (top_train, "top"))
+    ]
+    return tuple(fit_side_by_side(df.sparkSession, fits))
 
 
 def score_two_tier(
@@ -140,15 +155,20 @@ def expanding_cv(
 
     Top models do not depend on the month, so each is fitted once.
     """
-    rows, tops, keys = [], [], list(keys)
-    for n_train, n_val in K.CV_TOP_SHARES[part] if shares is None else shares:
-        best = settle(O.top_positions(df, "mean_sales_origin", keys, n_train + n_val))
-        own, _ = top_slice(df, n_train, n_val, keys, best=best)
-        top = train_model(own, features, scaled_params(part, "top", rounds), categorical=categorical)
-        tops.append((n_train + n_val, best, top))
-    for month in months:
-        train, val = time_split(df, month, keys)
-        base = train_model(train, features, scaled_params(part, "all", rounds), categorical=categorical)
+    rows, keys = [], list(keys)
+    shares = K.CV_TOP_SHARES[part] if shares is None else shares
+    ranks = [settle(O.top_positions(df, "mean_sales_origin", keys, sum(s))) for s in shares]
+    slices = [top_slice(df, *s, keys, best=best)[0] for s, best in zip(shares, ranks)]
+    splits = [time_split(df, month, keys) for month in months]
+    fits = [
+        lambda own=own, tier=tier: train_model(
+            own, features, scaled_params(part, tier, rounds), categorical=categorical
+        )
+        for own, tier in [*((t, "all") for t, _ in splits), *((s, "top") for s in slices)]
+    ]
+    models = fit_side_by_side(df.sparkSession, fits)
+    tops = [(sum(s), best, top) for s, best, top in zip(shares, ranks, models[len(splits):])]
+    for month, (_, val), base in zip(months, splits, models):
         scored = predict(base, val, features, "pred_base", categorical)
         rows.append((month, "base", 0, metrics(scored, pred="pred_base")))
         for n, best, top in tops:

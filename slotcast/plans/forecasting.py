@@ -53,13 +53,15 @@ def train_parts(
 ) -> Models:
     """Base and top model for weekdays and weekends on encoded features."""
     sizes = sizes or K.TOP_SLICES
-    models = {}
-    for part, flag in PARTS.items():
-        own = train.where(F.col("weekends") == flag)
+
+    def fit(part: str) -> tuple[PipelineModel, PipelineModel]:
+        own = train.where(F.col("weekends") == PARTS[part])
         names = input_columns(own, part, shared)
         sets = [c for c in names if c in SETS]
-        models[part] = model.fit_two_tier(own, names, part, month, sizes[part], rounds, sets)
-    return models
+        return model.fit_two_tier(own, names, part, month, sizes[part], rounds, sets)
+
+    fits = [lambda part=part: fit(part) for part in PARTS]
+    return dict(zip(PARTS, model.fit_side_by_side(train.sparkSession, fits)))
 
 
 def _score(models, rows, part, n, shared, ranked=None):
