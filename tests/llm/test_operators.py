@@ -371,6 +371,32 @@ def test_fingerprints(docs, spark):
         assert int(fp) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def test_stage_joins_similar_texts(spark, sf_dir, docs):
+    rng = random.Random(12)
+    texts = list(docs.text) + [None, "", "one two", "One  two", "three"]
+    for n in (60, 120, 400):  # edited copies, among them a large group, and a passage that all share
+        for group in range(4):
+            base = [f"v{rng.randrange(3000)}" for _ in range(n)]
+            for _ in range(40 if group == 0 else 4):
+                copy = list(base)
+                for _ in range(rng.randrange(n // 30 + 2)):
+                    copy[rng.randrange(n)] = "Edit" + str(rng.randrange(9999))
+                texts.append(" ".join(copy) + " this passage is shared by very many of the texts")
+    sets = []
+    for text in texts:
+        words = BLANKS.findall(lower(text or ""))
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r.doc_id for r in near_duplicates.keep_one_each(df).select("doc_id").collect())
+    assert got == sorted(set(label)) and len(got) < len(texts)
+
+
 # op 10
 def test_packing_is_whole_and_fits(spark):
     rng = random.Random(8)
