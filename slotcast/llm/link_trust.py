@@ -7,12 +7,13 @@ pages gives distrust, and a host is blocked if its distrust exceeds its trust.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import settle
+from ..session import new_path, settle
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -70,36 +71,47 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 
 def spread(
-    links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20,
+    links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None,
     tolerance: float = 1e-6,
 ) -> DataFrame:
     """(host, mass): personalised PageRank over ``links`` (src, dst, n) from ``seeds`` (host, seed).
 
     Seeds sum to one.  Mass of hosts without links out is lost, which scales all others alike.
-    Every round is stored; rounds end when the ranks move by less than ``tolerance``.
+    Every round is stored.  Rounds end when no host is reached anew and no mass grows by more than
+    ``tolerance`` of itself.  Masses only grow, in round k by at most (1 - damping) * damping^k in all,
+    so once all hosts are reached the least mass bounds the rounds that are left; to pass that bound,
+    or ``rounds`` if given, is an error.
     """
     total = links.groupBy("src").agg(F.sum("n").alias("_out"))
     shares = settle(links.join(total, "src").select("src", "dst", (F.col("n") / F.col("_out")).alias("w")))
     start = seeds.select("host", ((1 - damping) * F.col("seed")).alias("_start"))
     rank = settle(start.select("host", F.col("_start").alias("mass")))
-    for _ in range(rounds):
+    done, bound = 0, math.inf
+    while True:
+        done += 1
         moved = rank.join(shares, rank.host == shares.src).groupBy(F.col("dst").alias("host")).agg(
             (damping * F.sum(F.col("mass") * F.col("w"))).alias("_in")
         )
         old = rank.withColumnRenamed("mass", "_old")
         zero = F.lit(0.0)
-        both = settle(
-            start.join(moved, "host", "full").join(old, "host", "full").select(
-                "host",
-                (F.coalesce("_start", zero) + F.coalesce("_in", zero)).alias("mass"),
-                F.coalesce("_old", zero).alias("_old"),
-            )
+        both = start.join(moved, "host", "full").join(old, "host", "full").select(
+            "host", (F.coalesce("_start", zero) + F.coalesce("_in", zero)).alias("mass"), "_old"
         )
-        change = both.agg(F.sum(F.abs(F.col("mass") - F.col("_old")))).first()[0] or 0.0
+        # a checkpoint would keep the planner's size estimate, whose digits double with each round
+        path = new_path(links.sparkSession, "ranks")
+        both.write.parquet(path)
+        both = links.sparkSession.read.parquet(path)
+        moves = F.col("mass") - F.col("_old") > tolerance * F.col("mass")
+        new, moving, least = both.agg(
+            F.count_if(F.col("_old").isNull()), F.count_if(moves), F.min(F.when(F.col("mass") > 0, F.col("mass")))
+        ).first()
         rank = both.select("host", "mass")
-        if change < tolerance:
-            break
-    return rank
+        if not new and not moving:
+            return rank
+        if not new and bound == math.inf:
+            bound = done + 2 + max(0, math.ceil(math.log(tolerance * least / (1 - damping)) / math.log(damping)))
+        if done >= (bound if rounds is None else rounds):
+            raise RuntimeError(f"ranks still move after {done} rounds")
 
 
 def judge_urls(

@@ -223,6 +223,21 @@ def test_trust_follows_links(spark):
     assert got[2].trust > 0 and got[5].distrust > 0
 
 
+def test_trust_goes_all_the_way(spark):
+    chain = [(f"h{i}", f"h{i + 1}", 1) for i in range(23)]
+    ring = [(f"r{i}", f"r{(i + 1) % 3}", 1) for i in range(3)]
+    links = spark.createDataFrame(chain + ring, "src string, dst string, n long").coalesce(1)
+    seeds = spark.createDataFrame([("h0", 0.5), ("r0", 0.5)], "host string, seed double").coalesce(1)
+    got = dict(link_trust.spread(links, seeds, damping=0.5).collect())
+    assert len(got) == 27
+    for i in range(24):
+        assert got[f"h{i}"] == pytest.approx(0.25 * 0.5**i)
+    for i in range(3):  # once around the ring gives 0.5^3 of what was there
+        assert got[f"r{i}"] == pytest.approx(0.25 * 0.5**i / (1 - 0.5**3), rel=1e-5)
+    with pytest.raises(RuntimeError):
+        link_trust.spread(links, seeds, rounds=2)
+
+
 # op 5
 @pytest.mark.parametrize("hot", [0, 400])
 def test_shards_are_even_and_gapless(spark, hot):
