@@ -2,8 +2,9 @@
 
 Items with equal lengths are alike, so the plan is made on the histogram of lengths, which has at
 most as many entries as the longest bin has tokens.  Groups of bins with equal contents are filled
-together: each step puts one item of a length into every bin of a group.  The plan lists, for each
-length, which ranks go to which bins; rows get their rank among rows of their length and look it up.
+together: each step fills the bins of a group one after another with as many items of a length as
+each holds, just as best fit does item by item.  The plan lists, for each length, which ranks go to
+which bins; rows get their rank among rows of their length and look it up.
 
 Lengths are placed in falling order into the fullest bins that still fit.  If none fits, a bin of
 the least-cost size is opened.  Which size that is depends on all lengths, so a plan is made for
@@ -29,12 +30,13 @@ BIN_COST = 16
 
 @dataclass
 class Plan:
-    """Steps: items of ``length`` with ranks from ``rank`` go to bins from ``bin`` at ``offset``."""
+    """Steps: items of ``length`` with ranks from ``rank`` go to bins from ``bin`` at ``offset``, ``per`` in each."""
 
     length: list[int] = field(default_factory=list)
     rank: list[int] = field(default_factory=list)
     bin: list[int] = field(default_factory=list)
     offset: list[int] = field(default_factory=list)
+    per: list[int] = field(default_factory=list)
     group_bin: list[int] = field(default_factory=list)  # first bin of each group of equal bins
     group_capacity: list[int] = field(default_factory=list)
     cost: int = 0
@@ -78,15 +80,20 @@ def _pack(histogram: dict[int, int], capacities: tuple[int, ...], preferred: int
                 room, used, first = _opened(length, capacities, preferred), 0, next_bin
                 bins = max(1, -(-left // (room // length)))  # as many as these items fill
                 next_bin += bins
-            taken = min(bins, left)
+            per = room // length
+            taken = min(bins * per, left)
+            full, some = divmod(taken, per)
             plan.length.append(length)
             plan.rank.append(rank)
             plan.bin.append(first)
             plan.offset.append(used)
+            plan.per.append(per)
             rank, left = rank + taken, left - taken
-            put_back(room - length, (first, taken, used + length))
-            if bins > taken:
-                put_back(room, (first + taken, bins - taken, used))
+            filled = 0
+            for n, held in ((full, per), (min(some, 1), some), (bins - full - min(some, 1), 0)):
+                if n:
+                    put_back(room - held * length, (first + filled, n, used + held * length))
+                    filled += n
     for group in [*closed, *(g for room in groups.values() for g in room)]:
         first, bins, used = group
         capacity = next(c for c in capacities if c >= used) if used else 0
@@ -148,24 +155,25 @@ def pack(
     by_bin = np.argsort(plan.group_bin)
     shared = docs.sparkSession.sparkContext.broadcast(  # bounded by the number of lengths
         [np.array(x, np.int64)[o] for x, o in (
-            (plan.length, order), (plan.rank, order), (plan.bin, order), (plan.offset, order),
+            (plan.length, order), (plan.rank, order), (plan.bin, order), (plan.offset, order), (plan.per, order),
             (plan.group_bin, by_bin), (plan.group_capacity, by_bin),
         )]
     )
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, ranks, bins, offsets_, group_bin, group_capacity = shared.value
+        lengths, ranks, bins, offsets_, per, group_bin, group_capacity = shared.value
         # (length, rank) pairs as one sorted number: ranks stay below 2^50 for 2^12 tokens
         bits = np.int64(50)
         keys = (lengths << bits) + ranks
         for batch in batches:
             rank = batch.column(3).to_numpy()
             step = np.searchsorted(keys, (batch.column(2).to_numpy() << bits) + rank, "right") - 1
-            bin_ = bins[step] + rank - ranks[step]
+            more, place_ = np.divmod(rank - ranks[step], per[step])
+            bin_ = bins[step] + more
             group = np.searchsorted(group_bin, bin_, "right") - 1
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), pa.array(bin_),
-                 pa.array(offsets_[step]), pa.array(group_capacity[group])],
+                 pa.array(offsets_[step] + place_ * lengths[step]), pa.array(group_capacity[group])],
                 names=[id_col, "piece", "n_tokens", "bin", "start", "capacity"],
             )
 

@@ -428,6 +428,30 @@ def test_packing_is_whole_and_fits(spark):
     assert packing.make_plan({60: 234, 100: 466}).cost == min(p.cost for p in plans)
 
 
+def test_plan_is_best_fit_item_by_item():
+    rng = random.Random(9)
+    histograms = [{300: 10, 100: 10, 60: 15}]
+    histograms += [{rng.randint(1, 512): rng.randint(1, 40) for _ in range(12)} for _ in range(40)]
+    for histogram in histograms:
+        free = []  # one bin after another
+        for length in sorted(histogram, reverse=True):
+            for _ in range(histogram[length]):
+                fitting = [i for i, room in enumerate(free) if room >= length]
+                if not fitting:
+                    free.append(512)
+                    fitting = [len(free) - 1]
+                free[min(fitting, key=lambda i: free[i])] -= length
+        plan = packing._pack(histogram, (512,), 512)
+        ends = {}
+        for length, n in histogram.items():
+            steps = [s for s in zip(plan.length, plan.rank, plan.bin, plan.per) if s[0] == length]
+            for rank in range(n):
+                _, first, bin_, per = max(s for s in steps if s[1] <= rank)
+                at = bin_ + (rank - first) // per
+                ends[at] = ends.get(at, 0) + length
+        assert sorted(512 - used for used in ends.values()) == sorted(free)
+
+
 # the pipeline
 def test_pipeline_stages_do_their_work(spark, sf_dir, docs):
     import corpus_pipeline
