@@ -104,20 +104,25 @@ def _mix(x: int) -> int:
     return x ^ (x >> 31)
 
 
-_BASE = _mix(7) | 1
-_BYTE = np.array([_mix(1000 + i) | 1 for i in range(256)], np.uint64)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, at least n of them."""
-    if len(_POWERS[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            out = np.full(size, base, np.uint64)
-            out[0] = 1
-            _POWERS[k] = np.cumprod(out)
-    return _POWERS[0][:n], _POWERS[1][:n]
+#: Two primes below 2^31, so that a product of two residues and a sum of 2^32 of them fit 64 bits.
+_PRIMES = (2147483647, 2147483629)
+_BASES = tuple(_mix(7 + i) % (p - 2) + 2 for i, p in enumerate(_PRIMES))
+_BYTES = [np.array([_mix(1000 * i + b) % (p - 1) + 1 for b in range(256)], np.uint64) for i, p in enumerate(_PRIMES)]
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(1, np.uint64),) * 2] * 2
+
+
+def _powers(i: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the i-th base and of its inverse modulo the i-th prime, at least n of them."""
+    if len(_POWERS[i][0]) < n:
+        prime, both = _PRIMES[i], []
+        for base in (_BASES[i], pow(_BASES[i], -1, _PRIMES[i])):
+            out = np.ones(1, np.uint64)
+            while len(out) < max(n, CHUNK_BYTES + 1):
+                step = np.uint64(pow(base, len(out), prime))
+                out = np.concatenate([out, out * step % np.uint64(prime)])
+            both.append(out)
+        _POWERS[i] = (both[0], both[1])
+    return _POWERS[i][0][:n], _POWERS[i][1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -130,15 +135,26 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Spans:
-    """64-bit hashes of any byte spans of one array, by prefix sums of a polynomial."""
+    """Hashes of any byte spans of one array, by prefix sums of two polynomials modulo primes.
+
+    Two different spans of n bytes are equal in both with a chance of at most (n / 2^31)^2 over the
+    choice of bases, also where their bytes follow a pattern.
+    """
 
     def __init__(self, data: np.ndarray):
-        power, self.inverse = _powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * power[:-1], out=self.sums[1:])
+        self.parts = []
+        for i, prime in enumerate(_PRIMES):
+            power, inverse = _powers(i, len(data) + 1)
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(_BYTES[i][data] * power[:-1] % np.uint64(prime), out=sums[1:])
+            self.parts.append((sums, inverse))
 
     def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
+        one, two = (
+            (sums[ends] - sums[starts]) % np.uint64(prime) * inverse[starts] % np.uint64(prime)
+            for (sums, inverse), prime in zip(self.parts, _PRIMES)
+        )
+        return mix(one << np.uint64(31) ^ two)
 
 
 def word_bounds(blank: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -6,25 +6,20 @@ and their bits).  Inside a bucket fingerprints are sorted by Gray rank; runs of
 node that holds the bits common to all, and runs of nodes share a node again.  A search goes down
 level by level, adds up differences in the bits that a level fixes, and drops whole nodes beyond
 the limit.  A fingerprint has at most 2,080 others within two bits, so links stay linear.
-
-The pipeline's stage asks for more than few bits can tell: all pairs of texts whose sets of five-word
-shingles have a Jaccard similarity of 0.8 or more.  Two such sets share a shingle among the first
-n - ceil(0.8 n) + 1 of each in any fixed order, so these prefixes find every pair, and whole sets
-confirm it.  Shingles that a sample shows to be common come last in the order, which costs no pair.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import settle, ship
-from .common import BLANK, CHUNK_BYTES, Spans, Texts, mix, numbered, slices, word_bounds
+from .common import BLANK, Texts, numbered, slices, word_bounds
 
 SEED = 42
 SHINGLE = 3
@@ -36,13 +31,6 @@ MAX_BUCKET = 20_000
 SEARCHES = 1 << 16
 #: Shingles whose bits are summed together.
 VOTES = 1 << 16
-#: Words per shingle and least similarity (as a fraction) of the pipeline's stage.
-STAGE_SHINGLE = 5
-SIMILAR = (4, 5)
-#: Rows looked at for common shingles, and how many of them make one common.
-SAMPLE_ROWS, COMMON = 8_000, 6
-#: Sets to be fetched that are broadcast at most.
-FETCH_ROWS = 200_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -291,222 +279,6 @@ def component_of_prints(prints: DataFrame, smallest: str, max_bits: int = MAX_BI
     return _least_of(own, "fp", near_links(own.select("fp"), max_bits))
 
 
-_FACTORS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-
-
-def shingle_sets(texts: Texts, size: int = STAGE_SHINGLE) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; a shorter text is one shingle."""
-    data = _LOWER[texts.data]
-    starts, ends = word_bounds(BLANK[data], texts.borders)
-    words = np.empty(len(starts), np.uint64)
-    begin = 0
-    while begin < len(starts):  # block by block, since prefix sums take room
-        end = max(begin + 1, int(np.searchsorted(ends, starts[begin] + CHUNK_BYTES, "right")))
-        low = starts[begin]
-        words[begin:end] = Spans(data[low : ends[end - 1]]).hash(starts[begin:end] - low, ends[begin:end] - low)
-        begin = end
-    borders = np.searchsorted(starts, texts.borders).tolist()
-    out = []
-    for begin, end in zip(borders, borders[1:]):
-        own = words[begin:end]
-        k = min(size, len(own))
-        n = len(own) - k + 1 if k else 0
-        sums = np.full(n, k, np.uint64)
-        for i in range(k):
-            sums += own[i : i + n] * _FACTORS[i]
-        out.append(np.unique(mix(sums)))
-    return out
-
-
-def set_id(hashes: np.ndarray) -> int:
-    """Name of a set as a signed long; the empty set is 0."""
-    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED) if len(hashes) else 0).astype(np.int64))
-
-
-def _sets(texts: DataFrame, schema: str, rows) -> DataFrame:
-    """``rows(sets, batch)`` of each slice of a table whose last column is a text."""
-    ship(texts.sparkSession)
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            for a, b in slices(column):
-                yield rows(shingle_sets(Texts(column.slice(a, b - a))), batch.slice(a, b - a))
-
-    return texts.mapInArrow(apply, schema)
-
-
-def _longs(*columns: tuple[str, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.asarray(c).astype(np.int64)) for _, c in columns], names=[n for n, _ in columns]
-    )
-
-
-def common_shingles(texts: DataFrame, most: int = 1 << 18) -> np.ndarray:
-    """Shingles that several rows of a sample hold, the most frequent last.
-
-    They only set the order in which prefixes are taken, so the sample decides cost and not results.
-    """
-    share = min(1.0, SAMPLE_ROWS / max(texts.count(), 1))
-    some = texts.where(F.pmod(F.xxhash64(F.col(texts.columns[0])), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    hashes = _sets(some, "h long", lambda sets, _: _longs(("h", np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))))
-    found = (
-        hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
-        .orderBy(F.desc("n"), "h").limit(most).select("h").toArrow()
-    )
-    return found.column("h").to_numpy()[::-1].view(np.uint64)
-
-
-def prefixes(sets: list[np.ndarray], common: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Shingle, set, size and place of the first shingles of each set, common ones last."""
-    order = np.argsort(common)
-    known = common[order]
-    part, whole = SIMILAR
-    out = []
-    for hashes in sets:
-        n = len(hashes)
-        if not n:
-            continue
-        rank = np.zeros(n, np.int64)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-            rank = np.where(known[at] == hashes, order[at] + 1, 0)
-        first = hashes[np.lexsort((hashes, rank))[: n + part * n // -whole + 1]]
-        places = np.arange(len(first))
-        out.append((first.view(np.int64), np.full(len(first), set_id(hashes)), np.full(len(first), n), places))
-    empty = (np.zeros(0, np.int64),) * 4
-    return tuple(np.concatenate(c) for c in zip(empty, *out))
-
-
-def _may_reach(n: np.ndarray, at: np.ndarray, n_other, at_other) -> np.ndarray:
-    """Whether sets whose first common shingle has these places can be similar enough."""
-    part, whole = SIMILAR
-    most = 1 + np.minimum(n - at, n_other - at_other) - 1
-    return (whole + part) * most >= part * (n + n_other)
-
-
-def _runs(placed: DataFrame, schema: str, found) -> DataFrame:
-    """``found(columns, first)`` of whole runs of equal ``h``; ``first`` are their first places."""
-    names = placed.columns
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        rows = 0
-
-        def joined() -> list[np.ndarray]:
-            return [np.concatenate([h[k] for h in held]) for k in range(len(names))]
-
-        def runs(columns: list[np.ndarray]) -> pa.RecordBatch:
-            return found(columns, np.flatnonzero(np.append(True, columns[0][1:] != columns[0][:-1])))
-
-        for batch in batches:
-            held.append([c.to_numpy() for c in batch.columns])
-            rows += batch.num_rows
-            if rows < SEARCHES:
-                continue
-            columns = joined()
-            last = int(np.flatnonzero(columns[0] == columns[0][-1])[0])  # rows come sorted by h
-            if last:
-                yield runs([c[:last] for c in columns])
-            held, rows = [[c[last:] for c in columns]], len(columns[0]) - last
-        if rows:
-            yield runs(joined())
-
-    return placed.repartition("h").sortWithinPartitions("h", "sid").mapInArrow(look, schema)
-
-
-def _shared(columns: list[np.ndarray], first: np.ndarray) -> pa.RecordBatch:
-    """Rows of shingles that several sets have, each set once, with the first set as leader."""
-    h, sid, n, at = columns
-    new = np.append(True, (h[1:] != h[:-1]) | (sid[1:] != sid[:-1]))
-    run = np.cumsum(np.isin(np.arange(len(h)), first, assume_unique=True)) - 1
-    several = new & (np.bincount(run, new)[run] > 1)
-    return _longs(*[(k, c[several]) for k, c in zip(("h", "sid", "n", "at", "leader"), (h, sid, n, at, sid[first][run]))])
-
-
-def _across(columns: list[np.ndarray], first: np.ndarray) -> pa.RecordBatch:
-    """Pairs of sets in one run that are in different components and may be similar.
-
-    Members of a run's largest component are only met by the others.
-    """
-    _, sid, n, at, root = columns
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for begin, end in zip(first, np.append(first[1:], len(sid))):
-        own = slice(begin, end)
-        _, kind, sizes = np.unique(root[own], return_inverse=True, return_counts=True)
-        if len(sizes) == 1:
-            continue
-        large = kind == np.argmax(sizes)
-        for i in np.flatnonzero(~large):
-            met = (kind != kind[i]) & (large | (np.arange(end - begin) > i))
-            met &= _may_reach(n[own], at[own], n[begin + i], at[begin + i])
-            others = sid[own][met]
-            a.append(np.maximum(others, sid[begin + i]))
-            b.append(np.minimum(others, sid[begin + i]))
-    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-    return _longs(("a", pairs[0]), ("b", pairs[1]))
-
-
-def _confirmed(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The pairs (a, b) of sets whose Jaccard similarity is high enough.
-
-    ``fetch`` gives (sid, text) for a table of ``sid``.
-    """
-    pairs = settle(pairs)
-    wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    sets = settle(
-        _sets(fetch(wanted), "sid long, s binary", lambda sets, batch: pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], names=["sid", "s"]
-        ))
-    )
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, whole = SIMILAR
-        for batch in batches:
-            near = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                near.append((whole + part) * both >= part * (len(x) + len(y)))
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    return (
-        pairs.join(sets.select(F.col("sid").alias("a"), F.col("s").alias("x")), "a")
-        .join(sets.select(F.col("sid").alias("b"), F.col("s").alias("y")), "b")
-        .select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
-    )
-
-
-def similar_links(texts: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links (a > b) that join all sets of shingles of a table of texts with a high Jaccard similarity.
-
-    Each set is first held against the leader with which it shares most
-    of its prefix, so that large groups of copies are joined by as many links as they have members.
-    Then all pairs are compared that share a shingle of their prefixes and are not yet joined.
-    """
-    spark = texts.sparkSession
-    common = spark.sparkContext.broadcast(common_shingles(texts))  # bounded by ``most``
-    names = ("h", "sid", "n", "at")
-    placed = _sets(
-        texts, ", ".join(f"{k} long" for k in names),
-        lambda sets, _: _longs(*zip(names, prefixes(sets, common.value))),
-    )
-    shared = settle(_runs(placed, ", ".join(f"{k} long" for k in (*names, "leader")), _shared))
-    led = (
-        shared.where("sid != leader").groupBy("sid", "leader").agg(F.count(F.lit(1)).alias("k"))
-        .groupBy("sid").agg(F.max_by("leader", F.struct("k", "leader")).alias("leader"))
-    )
-    first = settle(
-        _confirmed(led.select(F.greatest("sid", "leader").alias("a"), F.least("sid", "leader").alias("b")).distinct(), fetch)
-    )
-    roots = settle(components(first))
-    labelled = shared.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select(
-        *names, F.coalesce("root", "sid").alias("root")
-    )
-    more = _confirmed(_runs(labelled, "a long, b long", _across).distinct(), fetch)
-    return first.unionByName(more)
-
-
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS
 ) -> DataFrame:
@@ -523,41 +295,26 @@ def near_duplicates(
     )
 
 
-def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS
+) -> DataFrame:
     """One row of each component, with all columns: the smallest id, null ids last.
 
-    Components join texts with ``SIMILAR`` sets of ``STAGE_SHINGLE`` words; texts without words are
-    one component.  Rows with the same id and text count as one row, so one of them stays.
+    Components are those of ``near_duplicates``.  Rows with the same id and text count as one row,
+    so one of them stays; they are reduced before the shuffle.
     """
     one, two = F.xxhash64(id_col, text_col), F.hash(text_col, id_col)
     rank = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), one.alias("x"), two.alias("y"))
-    plain = numbered(docs)
-    narrow = docs.select(rank.alias("_rank"), F.col(text_col).alias("_t"))
-    type_ = narrow.schema["_rank"].dataType.simpleString()
-    prints = settle(
-        _sets(narrow, f"_rank {type_}, sid long", lambda sets, batch: pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([set_id(x) for x in sets], pa.int64())], names=["_rank", "sid"]
-        ))
-    )
-    own = settle(prints.groupBy("sid").agg(F.min("_rank").alias("_own")))
-
-    def fetch(wanted: DataFrame) -> DataFrame:
-        """(sid, text) from the row that ``own`` names for each set."""
-        rows = settle(own.join(wanted, "sid").select("sid", F.col("_own.x").alias("_one"), F.col("_own.y").alias("_two")))
-        small = rows.count() <= FETCH_ROWS
-        keyed = narrow.select("_t", F.col("_rank.x").alias("_one"), F.col("_rank.y").alias("_two"))
-        return keyed.join(F.broadcast(rows) if small else rows, ["_one", "_two"]).select("sid", "_t").dropDuplicates(["sid"])
-
-    keep = _least_of(own, "sid", similar_links(narrow.select("_t"), fetch)).select(
+    prints = settle(fingerprints(docs, text_col, {"_rank": rank}))
+    keep = component_of_prints(prints, "_rank", max_bits).select(
         F.col("_least.x").alias("_one"), F.col("_least.y").alias("_two")
     ).distinct()
-    same = Window.partitionBy("_one", "_two").orderBy(F.lit(0))
+    plain = numbered(docs)
     ids, texts = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
     return (
         plain.withColumns({"_one": F.xxhash64(ids, texts), "_two": F.hash(texts, ids)})
+        .dropDuplicates(["_one", "_two"])
         .join(keep, ["_one", "_two"], "left_semi")
-        .withColumn("_n", F.row_number().over(same))
-        .where("_n = 1")
         .select(*plain.columns)
         .toDF(*docs.columns)
     )
