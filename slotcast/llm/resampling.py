@@ -48,12 +48,12 @@ def words(text: Column) -> Column:
 
 def features(words: Column, n_gram: int) -> Column:
     """All runs of 1 to ``n_gram`` consecutive words, joined by spaces."""
-    runs = [words]
-    for n in range(2, n_gram + 1):
+    def runs(n: int) -> Column:
         places = F.sequence(F.lit(1), F.size(words) - (n - 1))
-        joined = F.transform(places, lambda i, n=n: F.array_join(F.slice(words, i, n), " "))
-        runs.append(F.when(F.size(words) >= n, joined).otherwise(F.array().cast("array<string>")))
-    return runs[0] if n_gram == 1 else F.flatten(F.array(*runs))
+        joined = F.transform(places, lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(F.size(words) >= n, joined).otherwise(F.array().cast("array<string>"))
+
+    return words if n_gram == 1 else F.flatten(F.array(words, *[runs(n) for n in range(2, n_gram + 1)]))
 
 
 def bucket(feature: Column, buckets: int) -> Column:
