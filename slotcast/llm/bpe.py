@@ -34,7 +34,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..session import ship
+from ..session import settle, ship
 from .common import map_rows, slices
 
 RANK_BUCKETS = 1 << 13
@@ -209,7 +209,7 @@ class Coder:
 
     path: str
     pattern: str
-    frequent: int = 1 << 18
+    frequent: int = 1 << 17
     frequent_bytes: int = 32
     sample_rows: int = 1 << 14
     long_bytes: int = 128
@@ -247,7 +247,8 @@ class Coder:
             some.select(F.explode(words).alias("word")).where(F.octet_length("word") <= self.frequent_bytes)
             .groupBy("word").agg(F.count(F.lit(1)).alias("n"))
         )
-        top = counted.orderBy(F.desc("n"), "word").limit(self.frequent).repartition(4)
+        # stored first, so that the plan with the large literals is one stage and is planned once
+        top = settle(counted.orderBy(F.desc("n"), "word").limit(self.frequent).select("word").repartition(4))
         found = self.word_ids(top).toArrow()  # bounded by ``frequent`` and ``frequent_bytes``
         return {w: _packed(ids) for w, ids in zip(found["word"].to_pylist(), found["ids"].to_pylist())}
 
