@@ -13,12 +13,15 @@ from ..operators.reports import slot_category_profit
 from ..session import settle
 
 
-def flat(grid: DataFrame, pred: str = "pred") -> DataFrame:
-    """One product per slot within each planning week, each product once a week."""
-    edges = grid.select(
+def flat_edges(grid: DataFrame, pred: str = "pred") -> DataFrame:
+    return grid.select(
         week_start(F.to_date("ts")).alias("week"), "ts", "product_code", F.col(pred).alias("profit")
     )
-    return schedule.assign_flat(edges)
+
+
+def flat(grid: DataFrame, pred: str = "pred") -> DataFrame:
+    """One product per slot within each planning week, each product once a week."""
+    return schedule.assign_flat(flat_edges(grid, pred))
 
 
 def two_level(
@@ -37,5 +40,5 @@ def two_level(
     edges = settle(schedule.product_edges(grid, categories, candidates, pred=pred))
     return {
         "profits": profits, "draws": drawn, "categories": categories,
-        "products": schedule.assign_products(edges),
+        "products": schedule.assign_products(edges, categories=categories), "edges": edges,
     }

@@ -139,6 +139,61 @@ def assign_products(spark, sf):
     return _two_level(spark, sf)["products"]
 
 
+def _proven(edges, keys, slot, item, copies=None, slots=None):
+    """Counts of each group and whether the prices prove its schedule, up to rounding."""
+    edges = settle(edges)
+    solved = settle(schedule.solve_groups(edges, keys, slot, item, copies, slots))
+    checked = schedule.proof(edges, solved, keys, slot, item)
+    proven = (F.col("gap") < 1e-9) & (F.col("above") < 1e-6)
+    return checked.select(*keys, "n_slots", "n_filled", "n_repeated", proven.alias("proven"))
+
+
+@query(
+    "assign_flat_proof",
+    sql(
+        """SELECT CAST(date_trunc('week', ts) AS DATE) AS week, count(DISTINCT ts) AS n_slots,
+                  least(count(DISTINCT ts), count(DISTINCT product_code)) AS n_filled, 0 AS n_repeated, true AS proven
+           FROM grid GROUP BY 1""", GRID,
+    ),
+)
+def assign_flat_proof(spark, sf):
+    """The weekly schedules are whole, and no other is worth more."""
+    return _proven(scheduling.flat_edges(scored_grid(spark, sf)), ["week"], "ts", "product_code")
+
+
+DRAWN = SCORED_GRID + f""",
+drawn AS (SELECT broadcast_day, category, count(*) AS draws FROM (
+    SELECT broadcast_day, {_pick_sql()} AS category FROM (
+      SELECT broadcast_day, {u_sql('127', "CAST(broadcast_day AS VARCHAR) || '|' || CAST(d AS VARCHAR)")} AS u
+      FROM (SELECT DISTINCT broadcast_day FROM grid), range(1, 23) t(d))) GROUP BY ALL)
+"""
+
+
+@query(
+    "assign_categories_proof",
+    sql(
+        """SELECT p.broadcast_day, n_slots, least(n_slots, coalesce(n_draws, 0)) AS n_filled, 0 AS n_repeated, true AS proven
+           FROM (SELECT broadcast_day, count(DISTINCT ts) AS n_slots FROM profits GROUP BY 1) p
+           LEFT JOIN (SELECT broadcast_day, CAST(sum(draws) AS BIGINT) AS n_draws FROM drawn SEMI JOIN profits USING (broadcast_day, category)
+                      GROUP BY 1) USING (broadcast_day)""", DRAWN,
+    ),
+)
+def assign_categories_proof(spark, sf):
+    """Every slot of a day is there, as many as drawn are filled, and no other choice is worth more."""
+    profits = settle(reports.slot_category_profit(scored_grid(spark, sf), ("broadcast_day", "ts", "category")))
+    drawn = schedule.draw_category_mix(profits, MIX)
+    edges = profits.join(drawn, ["broadcast_day", "category"])
+    return _proven(edges, ["broadcast_day"], "ts", "category", "draws", schedule.calendar_slots(profits))
+
+
+@query("assign_products_proof")
+def assign_products_proof(spark, sf):
+    """Products of each day and category: whole, none twice, and none worth more."""
+    plan = _two_level(spark, sf)
+    slots = plan["categories"].where("category IS NOT NULL").select("broadcast_day", "category", "ts")
+    return _proven(plan["edges"], ["broadcast_day", "category"], "ts", "product_code", slots=slots)
+
+
 @query("two_level_profit")
 def two_level_profit(spark, sf):
     plan = _two_level(spark, sf)

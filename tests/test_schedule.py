@@ -5,6 +5,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from slotcast.operators import schedule as P
 from slotcast.operators.reports import triplet_wins
 
@@ -75,7 +77,7 @@ def test_groups_match_enumeration(spark, slots, items):
 def test_an_edge_given_twice_is_refused(spark):
     df = spark.createDataFrame([(0, 0, 0, 1.0), (0, 0, 0, 3.0)], EDGE)
     with pytest.raises(Exception, match="duplicate entries"):
-        P._solver(["g"], "slot", "item", None)(df.toPandas())
+        P._solver(["g"], "slot", "item")(df.withColumn("copies", F.lit(1)).toPandas())
 
 
 def test_contenders_keep_the_optimum(spark):
@@ -139,3 +141,44 @@ def test_triplet_wins_match_all_triplets(spark):
     wins = Counter(max(t, key=lambda c: (strength[c], [-ord(x) for x in c])) for t in combinations(sorted(strength), 3))
     df = spark.createDataFrame(list(strength.items()), "c string, s int")
     assert {r.c: r.wins for r in triplet_wins(df, "c", "s").collect()} == dict(wins)
+
+
+def test_prices_prove_the_assignment():
+    rng = random.Random(21)
+    for _ in range(200):
+        shape = rng.randint(1, 6), rng.randint(1, 7)
+        m = np.array([[rng.choice([float("nan"), rng.randint(-9, 30)]) for _ in range(shape[1])] for _ in range(shape[0])], float)
+        pairs, rows, columns, empty = P.priced_assignment(m)
+        allowed = ~np.isnan(m)
+        assert (columns >= -1e-9).all() and (rows >= empty - 1e-9).all()
+        assert ((m - rows[:, None] - columns)[allowed] <= 1e-9).all()
+        value = sum(m[r, c] for r, c in pairs) + empty * (shape[0] - len(pairs))
+        assert abs(value - rows.sum() - columns.sum()) < 1e-6
+        assert set(np.flatnonzero(columns > 1e-9)) <= {c for _, c in pairs}
+
+
+def test_slots_without_edges_stay(spark):
+    df = spark.createDataFrame(
+        [(0, 1, 7, 5.0), (0, 1, 8, float("nan")), (0, 2, 7, None), (1, 3, 7, float("nan"))], EDGE
+    )
+    slots = spark.createDataFrame([(0, 1), (0, 9), (2, 4)], "g int, slot int")
+    got = {(r.g, r.slot): (r.item, r.profit) for r in P.assign(df, ["g"], "slot", "item", slots=slots).collect()}
+    assert got == {(0, 1): (7, 5.0), **{k: (None, None) for k in ((0, 2), (0, 9), (1, 3), (2, 4))}}
+
+
+def test_nan_profits_push_out_no_edge(spark):
+    df = spark.createDataFrame([(0, 0, i, float("nan")) for i in range(3)] + [(0, 0, 9, 5.0)], EDGE)
+    assert [tuple(r) for r in P.assign(df, ["g"], "slot", "item").collect()] == [(0, 0, 9, 5.0)]
+
+
+def test_proof_holds_for_best_and_fails_for_others(spark):
+    rows = [row for g, m in enumerate(groups_of(22, 5, 30)) for row in edge_rows(m, g)]
+    df = spark.createDataFrame(rows, EDGE)
+    solved = P.solve_groups(df, ["g"], "slot", "item").cache()
+    good = P.proof(df, solved, ["g"], "slot", "item").collect()
+    assert all(r.gap < 1e-9 and r.above < 1e-9 and r.n_filled == 5 and not r.n_repeated for r in good)
+    kept = solved.where("kind = 'item' OR slot > 0")
+    first = df.where("slot = 0").groupBy("g").agg(F.min_by("item", "profit").alias("item"), F.min("profit").alias("profit"))
+    other = first.join(solved.where("kind = 'slot' AND slot = 0").drop("item", "profit"), "g")
+    bad = P.proof(df, kept.unionByName(other.select(kept.columns)), ["g"], "slot", "item").collect()
+    assert all(r.gap > 1e-6 for r in bad)
