@@ -84,6 +84,8 @@ MODEL_PARAMS = {
 }
 #: Rounds that models are fitted with unless told otherwise; the step grows to match.
 ROUNDS = 20
+#: Width of the bins of time in which broadcast times meet shows.
+BIN_MINUTES = 15
 TOP_SLICES = {"weekday": (4004, 2013), "weekend": (2206, 999), "schedule": (5500, 2500)}
 MIX_TOP = {
     "test": {"weekday": 727, "weekend": 249},

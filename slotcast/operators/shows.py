@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import constants as K
 from ..functions.scalar import minutes
-from ..session import settle, ship
+from ..session import settle
 from . import ordered as O
 from .lookup import lookup_join
 
-SHOW_SCHEMA = "ts timestamp_ntz, show_start timestamp_ntz"
-
 
 def slot_table(df: DataFrame, order: str = "product_code", ts: str = "ts") -> DataFrame:
     """One row per ``ts``; each column takes its first non-null value in ``order``."""
@@ -132,95 +129,54 @@ def slot_show_ids(slots: DataFrame) -> DataFrame:
     )
 
 
-def _sweep(chunk: pd.DataFrame) -> pd.DataFrame:
-    """Latest running show per query time.
+def _bin(ts: Column, width: int) -> Column:
+    """Number of the stretch of ``width`` minutes that holds a time, whatever the session's zone."""
+    day = F.unix_date(F.to_date(ts)) * 1440
+    return F.floor((day + F.hour(ts) * 60 + F.minute(ts)) / width)
 
-    Rows arrive with kind 0 (show) or 1 (query).  Shows that end no later than a newer one can
-    never win again once the newer one has begun, so the open shows form a stack.
-    """
-    chunk = chunk.sort_values(["ts", "kind", "ends"], kind="stable")
-    open_starts, open_ends, times, winners = [], [], [], []
-    for ts, kind, ends in zip(chunk["ts"], chunk["kind"], chunk["ends"]):
-        if kind == 0:
-            while open_ends and open_ends[-1] <= ends:
-                open_ends.pop()
-                open_starts.pop()
-            open_starts.append(ts)
-            open_ends.append(ends)
-        else:
-            while open_ends and open_ends[-1] <= ts:
-                open_ends.pop()
-                open_starts.pop()
-            times.append(ts)
-            winners.append(open_starts[-1] if open_starts else pd.NaT)
-    return pd.DataFrame({"ts": times, "show_start": pd.to_datetime(pd.Series(winners))})
-
-
-def running_show(
-    times: DataFrame, shows: DataFrame, chunks: int | None = None
-) -> DataFrame:
-    """For each distinct ``ts`` of ``times`` the latest start among the shows running then.
 
-    ``shows`` has unique ``start`` and ``min_range`` in minutes; a show runs in
-    [start, start + min_range).  Times and shows are range-partitioned together.  Each chunk also
-    receives the shows still open at its beginning, without those that a newer and longer one
-    hides, and is swept once.
+def _latest_running(times: DataFrame, shows: DataFrame, details: list[str], width: int) -> DataFrame:
+    """(ts, show_start, details) of the latest show running at each distinct ``ts`` that has one.
+
+    A range join by equal bins of time: a show takes a row in every bin that it touches, and a time
+    meets only the shows of its own bin.  A show that fills a whole bin hides all that began before
+    it, so what stays in a bin are the shows that begin there, those that end there, and one more.
     """
-    ship(times.sparkSession)
-    events = times.select(
-        "ts", F.lit(1).alias("kind"), F.lit(None).cast("timestamp_ntz").alias("ends")
-    ).distinct().unionByName(
-        shows.select(
-            F.col("start").alias("ts"),
-            F.lit(0).alias("kind"),
-            (F.col("start") + minutes("min_range")).alias("ends"),
-        )
-    )
-    placed = O.in_order(events, "ts", "kind", chunks=chunks)
-    # newest first, so that the frame only grows
-    later = Window.partitionBy(O.CHUNK).orderBy(F.desc(O.PLACE)).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    visible = placed.withColumn("_later", F.max("ends").over(later)).where(
-        (F.col("kind") == 0) & (F.col("_later").isNull() | (F.col("ends") > F.col("_later")))
-    )
-    # one row per partition in both small tables
-    begins = settle(placed.groupBy(O.CHUNK).agg(F.min("ts").alias("_begins")))
-    borders = begins.select(
-        O.CHUNK, F.lead("_begins").over(Window.orderBy(O.CHUNK)).alias("_border")
-    )
-    crossing = visible.join(F.broadcast(borders), O.CHUNK).where(F.col("ends") > F.col("_border"))
-    targets = begins.withColumnRenamed(O.CHUNK, "_target")
-    reaches = crossing.select(O.CHUNK, "ts", "ends").join(
-        F.broadcast(targets),
-        (F.col("_target") > F.col(O.CHUNK)) & (F.col("ends") > F.col("_begins")),
-    )
-    newer = Window.partitionBy("_target").orderBy(F.desc("ts")).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    carried = (
-        reaches.withColumn("_later", F.max("ends").over(newer))
-        .where(F.col("_later").isNull() | (F.col("ends") > F.col("_later")))
-        .select(F.col("_target").alias(O.CHUNK), "ts", F.lit(0).alias("kind"), "ends")
-    )
+    start, ends = F.col("start"), F.col("ends")
+    touched = F.explode(F.sequence(_bin(start, width), _bin(ends, width))).alias("_bin")
+    placed = (
+        shows.select("start", *details, (start + minutes("min_range")).alias("ends"))
+        .where(ends > start).select("*", touched)
+    )
+    fills = (F.col("_bin") > _bin(start, width)) & (F.col("_bin") < _bin(ends, width))
+    newest = F.max(F.when(fills, start)).over(Window.partitionBy("_bin"))
+    visible = placed.withColumn("_newest", newest).where(F.col("_newest").isNull() | (start >= F.col("_newest")))
+    winner = F.max(F.struct("start", *details)).alias("_show")
     return (
-        placed.select(O.CHUNK, "ts", "kind", "ends")
-        .unionByName(carried)
-        .groupBy(O.CHUNK)
-        .applyInPandas(_sweep, SHOW_SCHEMA)
+        times.select("ts").distinct().withColumn("_bin", _bin(F.col("ts"), width))
+        .join(visible, "_bin").where((start <= F.col("ts")) & (F.col("ts") < ends))
+        .groupBy("ts").agg(winner)
+        .select("ts", F.col("_show.start").alias("show_start"), *[F.col(f"_show.{d}") for d in details])
     )
 
 
-def assign_show(df: DataFrame, shows: DataFrame, chunks: int | None = None) -> DataFrame:
+def running_show(times: DataFrame, shows: DataFrame, width: int = K.BIN_MINUTES) -> DataFrame:
+    """For each distinct ``ts`` of ``times`` the latest start among the shows running then, or null.
+
+    ``shows`` has unique ``start`` and ``min_range`` in minutes; a show runs in
+    [start, start + min_range), and never if its range is null.
+    """
+    found = _latest_running(times, shows, [], width)
+    return times.select("ts").distinct().join(found, "ts", "left")
+
+
+def assign_show(df: DataFrame, shows: DataFrame, width: int = K.BIN_MINUTES) -> DataFrame:
     """Add ``show_id`` and ``min_range`` of the latest show running at ``ts``.
 
     ``shows``: start, show_id, min_range.  Rows outside every show get the empty id.
     """
-    found = running_show(df, shows, chunks).where(F.col("show_start").isNotNull())
-    details = found.join(
-        shows.withColumnRenamed("start", "show_start"), "show_start"
-    ).select("ts", "show_id", "min_range")
-    joined = df.join(details, "ts", "left")
+    found = _latest_running(df, shows, ["show_id", "min_range"], width).drop("show_start")
+    joined = df.join(found, "ts", "left")
     return joined.withColumn("show_id", F.coalesce("show_id", F.lit("")))
 
 
@@ -240,5 +196,5 @@ def show_sequence(
     seq = show_numbers(runs(slots, run_key, chunks))
     seq = settle(seq.select("ts", "parttime", "starts", "show_id", "min_range"))
     shows = seq.where("starts = 1").select(F.col("ts").alias("start"), "show_id", "min_range")
-    per_slot = assign_show(seq.select("ts", "parttime"), shows, chunks)
+    per_slot = assign_show(seq.select("ts", "parttime"), shows)
     return df.join(per_slot, "ts", "left")  # the only shuffle of the full rows
