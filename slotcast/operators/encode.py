@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.ml.feature import OneHotEncoder
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import constants as K
 from ..session import settle
@@ -116,3 +116,38 @@ def one_hot_vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
     prepared = coded.withColumns({i: F.col(i).cast("double") for i in indexed})
     return encode.fit(prepared).transform(prepared).drop(*indexed)
+
+
+def one_hot_names(df: DataFrame, columns: Sequence[str] = K.ONE_HOT_COLUMNS) -> DataFrame:
+    """All 0/1 columns of a one-hot encoding: (position, column_name, value).
+
+    Values count as text; positions go by the order of ``columns`` and then by value.
+    """
+    codes = settle(code_tables(df.select(*[F.col(c).cast("string").alias(c) for c in columns]), columns))
+    place = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(i))])
+    sizes = codes.groupBy("column_name").agg(F.count(F.lit(1)).alias("_n"))  # one row per column
+    before = Window.orderBy(place[F.col("column_name")]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("column_name", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return codes.join(F.broadcast(offsets), "column_name").select(
+        (F.col("_base") + F.col("code")).cast("int").alias("position"), "column_name", "value"
+    )
+
+
+def one_hot_rows(
+    df: DataFrame, columns: Sequence[str] = K.ONE_HOT_COLUMNS, names: DataFrame | None = None,
+    output: str = "hot",
+) -> DataFrame:
+    """Replace the columns by the sorted positions of their ones, a sparse row of all 0/1 columns.
+
+    ``names`` are stored names of another table, else they are taken from ``df``.  Nulls and values without
+    a name have no one.
+    """
+    names = settle(one_hot_names(df, columns)) if names is None else names
+    others, found = [c for c in df.columns if c not in columns], []
+    for i, c in enumerate(columns):
+        own = names.where(F.col("column_name") == c).select(
+            F.col("value").alias(f"_v{i}"), F.col("position").alias(f"_p{i}")
+        )
+        df = lookup_join(df.withColumn(f"_v{i}", F.col(c).cast("string")), own, f"_v{i}", stored=True)
+        found.append(F.col(f"_p{i}"))
+    return df.select(*others, F.array_sort(F.array_compact(F.array(*found))).alias(output))

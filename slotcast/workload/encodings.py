@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..operators import encode, evaluate, history, lags, model, outliers, reports
+from ..functions import scalar as S
+from ..operators import encode, evaluate, history, lags, model, outliers, reports, shows
 from ..session import new_path, settle
 from ..sources import bindings as B
-from .base import feat, query, r, rs, sql
+from .base import feat, query, r, rs, slots, sql
 from .lagging import split_history
 from .ranking import SCORED, scored
 
@@ -94,6 +95,46 @@ def one_hot_vectors(spark, sf):
     return rows.select("ts", (F.array_position(vector_to_array("small_c_vec"), 1.0) - 1).cast("int").alias("hot"))
 
 
+HOT_SQL = (
+    "(minute(ts) // 20) * 20", "japp", "parttime",
+    """CASE WHEN weekends = 1 AND hours IN (7, 8, 9) THEN 1 WHEN weekends = 1 AND hours IN (13, 15, 16, 17) THEN 2
+         WHEN holidays = 0 AND hours IN (9, 10, 11) THEN 1 WHEN holidays = 0 AND hours IN (16, 17, 18) THEN 2 ELSE 0 END""",
+    "CASE WHEN exposed < 25 THEN 20 WHEN exposed >= 25 THEN 30 END", "f.category", "weekdays", "small_c", "middle_c",
+    "big_c",
+    """CASE WHEN contains(product_name, 'red') OR contains(product_name, 'small') THEN 'ilsibul'
+         WHEN contains(product_name, 'ring') OR contains(product_name, 'hot') THEN 'muiza' ELSE 'none' END""",
+    "CASE WHEN f.category IN ('view', 'click', 'purchase') AND contains(product_name, 'red') THEN 1 ELSE 0 END",
+)
+
+
+@query(
+    "one_hot_all",
+    sql(
+        """SELECT ts, string_agg(CAST(position AS VARCHAR), ',' ORDER BY position) AS hot
+           FROM hot_cells JOIN hot_names USING (i, v) GROUP BY n, ts""",
+        f"""hot_cells AS (SELECT ts, n, unnest(range({len(HOT_SQL)})) AS i, unnest(cells) AS v FROM (
+                SELECT ts, row_number() OVER () AS n, [{', '.join(f'CAST({e} AS VARCHAR)' for e in HOT_SQL)}] AS cells
+                FROM feat f JOIN (SELECT ts, parttime FROM slot_seq) q USING (ts))),
+            hot_names AS (SELECT i, v, row_number() OVER (ORDER BY i, v) - 1 AS position
+              FROM (SELECT DISTINCT i, v FROM hot_cells WHERE v IS NOT NULL))""",
+    ),
+)
+def one_hot_all(spark, sf):
+    """All twelve columns of the one-hot encoding: which of its 0/1 columns are 1 in each row."""
+    parts = shows.runs(slots(spark, sf), "category").select("ts", "parttime")
+    rows = feat(spark, sf).join(parts, "ts").withColumns(
+        {
+            "min_start": S.minute_start("ts"),
+            "primetime": S.prime_time("hours", "red", "holidays"),
+            "exposed_t": S.rounded_exposure("exposed"),
+            "pay": S.keyword_class("product_name", (("ilsibul", ("red", "small")), ("muiza", ("ring", "hot")))),
+            "men": S.keyword_flag("category", "product_name", ("view", "click", "purchase"), "red"),
+        }
+    )
+    made = encode.one_hot_rows(settle(rows.select("ts", *K.ONE_HOT_COLUMNS)))
+    return made.select("ts", F.array_join(F.col("hot").cast("array<string>"), ",").alias("hot"))
+
+
 FEATURES = ("hours", "hours_inweek", "japp", "weekends", "unit_price", "exposed", "rolling_mean_7", "mean_sales_origin", "lag_sales_1")
 CATEGORICAL = ("weekdays", "small_c", "middle_c", "big_c")
 INPUTS = (*FEATURES, *CATEGORICAL)

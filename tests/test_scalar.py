@@ -138,3 +138,15 @@ def test_split_puts_the_border_row_into_validation(spark):
     df = spark.createDataFrame(rows, "ts timestamp_ntz, product_code string, months int")
     train, val = evaluate.time_split(df, 8)
     assert (train.count(), val.count()) == (1, 2)
+
+
+def test_one_hot_rows_keep_positions_of_all_columns(spark):
+    rows = [(1, "b", 10), (2, "a", None), (3, None, 9), (4, "a", 10)]
+    df = spark.createDataFrame(rows, "k int, p string, q int")
+    names = {(r.column_name, r.value): r.position for r in encode.one_hot_names(df, ["q", "p"]).collect()}
+    assert names == {("q", "10"): 0, ("q", "9"): 1, ("p", "a"): 2, ("p", "b"): 3}
+    got = {r.k: r.hot for r in encode.one_hot_rows(df, ["q", "p"]).collect()}
+    assert got == {1: [0, 3], 2: [2], 3: [1], 4: [0, 2]}
+    later = spark.createDataFrame([(5, "c", 9)], "k int, p string, q int")
+    assert encode.one_hot_rows(later, ["q", "p"], encode.one_hot_names(df, ["q", "p"]).cache()).first().hot == [1]
+    assert encode.one_hot_rows(df.where("1 = 0"), ["q", "p"]).count() == 0
