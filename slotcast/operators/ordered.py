@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import settle
 
 CHUNK, PLACE, POSITION = "_chunk", "_place", "_position"
-_SKETCH = 10_000
+BINS = 4096
 _PLACE_BITS = 33  # monotonically_increasing_id keeps the row number in its lower 33 bits
 
 
@@ -110,22 +110,47 @@ def top_rows(df: DataFrame, order: list[Column], first: int, last: int) -> DataF
     return df.orderBy(*order).offset(first - 1).limit(last - first + 1)
 
 
-def _near_top(rows: DataFrame, score: str, n: int) -> DataFrame:
-    """Rows above an approximate cut that is sure to keep the ``n`` highest scores."""
-    total = rows.count()
-    share = max(2.0 * n / total, 4.0 / _SKETCH) if total else 1.0
-    if share >= 0.5:
-        return rows
-    cut = rows.select(F.percentile_approx(score, 1.0 - share, _SKETCH)).scalar()
-    near = rows.where(F.col(score) >= cut)
-    return near if near.count() >= n else rows
+def _near_top(rows: DataFrame, score: str, n: int, bins: int = BINS, spare: int = 2) -> DataFrame:
+    """Rows at or above the bin of equal width that holds the ``n``-th highest score.
+
+    One scan takes the range of the scores, a second counts rows per bin (``bins`` numbers reach the
+    driver).  If the bin holds more than ``spare`` times ``n`` rows it is divided again, until it
+    holds one value.  Infinite scores count as the largest numbers, NaN as the highest of all.
+    """
+    far = F.lit(1.7e308)
+    value = F.greatest(F.least(F.nullif(F.col(score).cast("double"), F.lit(float("nan"))), far), -far) / 4
+    known = F.col(score).isNotNull()
+    no_number = known & F.isnan(F.col(score).cast("double"))
+    ends = rows.agg(
+        F.min(value).alias("low"), F.max(value).alias("high"), F.count_if(no_number).alias("odd"), F.count(score).alias("n")
+    ).first()
+    left, low, high = n - ends["odd"], ends["low"], ends["high"]
+    if left <= 0:
+        return rows.where(no_number)
+    if n > ends["n"]:
+        return rows  # scores that are null are needed too
+    above, inside = no_number, known & ~no_number
+    while high > low:
+        place = F.least(F.floor((value - low) / (high - low) * bins), F.lit(bins - 1))
+        counts = {
+            r.place: r.n for r in rows.where(inside).groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n")).collect()
+        }
+        for at in sorted(counts, reverse=True):
+            if counts[at] >= left:
+                break
+            left -= counts[at]
+        above, inside = above | (inside & (place > at)), inside & (place == at)
+        step = (high - low) / bins
+        if counts[at] <= spare * n or len(counts) == 1:
+            break
+        low, high = low + at * step, low + (at + 1) * step
+    return rows.where(above | inside)
 
 
 def top_positions(df: DataFrame, score: str, keys: list[str], n: int) -> DataFrame:
     """Keys and 0-based position of the ``n`` rows with the highest score (ties by key).
 
-    A sketch of the scores cuts off the bulk first, so only few narrow rows are sorted; the count
-    of the rest is checked, and all rows are sorted if it falls short.
+    Exact counts of the scores cut off the bulk first, so only few narrow rows are sorted.
     """
     near = _near_top(df.select(*keys, score), score, n)
     placed = with_position(in_order(near, F.desc_nulls_last(score), *map(F.col, keys)))

@@ -43,6 +43,21 @@ def test_top_positions_after_a_cut(spark):
     assert got == {x.id for x in rows}
 
 
+@pytest.mark.parametrize("bins", [2, 7, 4096])
+def test_cut_keeps_the_top_and_little_else(spark, bins):
+    rng = random.Random(40)
+    odd = [float("inf"), float("-inf"), float("nan"), None, 0.0, -0.0]
+    values = [rng.choice([rng.gauss(0, 1), 10.0 ** rng.randint(-5, 9), 3.0, rng.choice(odd)]) for _ in range(2000)]
+    df = spark.createDataFrame(list(enumerate(values)), "k int, s double")
+    for n in (1, 40, 700, 1990):
+        near = O._near_top(df, "s", n, bins)
+        assert near.count() >= n
+        got = [r.k for r in near.orderBy(O.F.desc_nulls_last("s"), "k").limit(n).collect()]
+        assert got == [r.k for r in df.orderBy(O.F.desc_nulls_last("s"), "k").limit(n).collect()]
+    plain = spark.range(60_000).selectExpr("id", "cast(pmod(id * 7919, 50021) as double) as s")
+    assert O._near_top(plain, "s", 9, 4096).count() <= 27
+
+
 def test_top_positions_with_nulls(spark):
     df = spark.createDataFrame([(i, float(i) if i < 5 else None) for i in range(200)], "k int, s double")
     got = O.top_positions(df, "s", ["k"], 8).collect()
