@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import constants as K
 from ..functions.scalar import safe_divide
+from ..session import settle
 from ..sources.tables import read_table, write_table
 from . import ordered as O
 from .lookup import lookup_join
@@ -79,9 +80,10 @@ def fit_steady(
 
 def fit_brand_power(df: DataFrame, key: str = "mother_code", q: float = K.BRAND_QUANTILE):
     """Keys with a row above the quantile of both sales power and unit price."""
-    power = O.quantiles(df, "sales_power", [q]).select("q0").scalar()
-    price = O.quantiles(df, "unit_price", [q]).select("q0").scalar()
-    return df.where((F.col("sales_power") > power) & (F.col("unit_price") > price)).select(key).distinct()
+    rows = settle(df.select(key, "sales_power", "unit_price"))
+    cuts = O.quantiles_of(rows, {"sales_power": [q], "unit_price": [q]}, stored=True)
+    above = [F.col(c) > F.lit(cut).cast("double") for c, (cut,) in cuts.items()]
+    return rows.where(above[0] & above[1]).select(key).distinct()
 
 
 def per_show(value: str) -> Column:

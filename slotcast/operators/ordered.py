@@ -7,12 +7,17 @@ row per chunk across the borders; the summaries hold at most one row per partiti
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import settle
 
 CHUNK, PLACE, POSITION = "_chunk", "_place", "_position"
 BINS = 4096
+#: Rows of one bin that may be returned whole to the driver.
+FEW = 10_000
 _PLACE_BITS = 33  # monotonically_increasing_id keeps the row number in its lower 33 bits
 
 
@@ -157,31 +162,124 @@ def top_positions(df: DataFrame, score: str, keys: list[str], n: int) -> DataFra
     return placed.where(F.col(POSITION) < n).select(*keys, POSITION)
 
 
-def quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
-    """Exact, linearly interpolated quantiles: one row with columns q0, q1, … as in ``shares``.
+def order_statistics(
+    df: DataFrame, wanted: Mapping[str, Callable[[int], Sequence[int]]], bins: int = BINS, few: int = FEW
+) -> dict[str, tuple[int, dict[int, float]]]:
+    """Exact values at 0-based ranks of several columns: for each column its known rows and {rank: value}.
 
-    Equal values are counted first, then sorted in range partitions; no task holds the column.
+    ``wanted`` gives a column's ranks from its number of known rows.  One scan takes the ends of all
+    columns, the next ones count rows per bin of equal width for all ranks at once.  The bin that
+    holds a rank is divided again until it holds one value, or at most ``few`` rows, which are
+    returned whole.  What reaches the driver is bounded by ranks, ``bins`` and ``few``.  NaN ranks
+    above all numbers.
     """
-    counts = (
-        df.where(F.col(column).isNotNull())
-        .groupBy(F.col(column).cast("double").alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    ranked = with_running_sum(in_order(counts, "_value"), "_n", "_upto")
-    ranked = ranked.withColumn("_total", ranked.select(F.max("_upto")).scalar())
-    picks = []
-    for i, share in enumerate(shares):
-        rank = F.lit(float(share)) * (F.col("_total") - 1)
-        low, high = F.floor(rank), F.ceil(rank)
-        at = lambda k: F.min(F.when(F.col("_upto") > k, F.col("_value")))
-        picks += [at(low).alias(f"_low{i}"), at(high).alias(f"_high{i}")]
-        picks.append(F.max(rank - low).alias(f"_part{i}"))
-    found = ranked.agg(*picks)
-    return found.select(
+    columns = list(wanted)
+    number = {c: F.col(c).cast("double") for c in columns}
+    finite = {c: F.abs(number[c]) < F.lit(float("inf")) for c in columns}  # NaN is above infinity
+    ends = df.agg(
         *[
-            (
-                F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * F.col(f"_part{i}")
-            ).alias(f"q{i}")
-            for i in range(len(shares))
+            made.alias(f"{name}{i}")
+            for i, c in enumerate(columns)
+            for name, made in (
+                ("n", F.count(c)), ("odd", F.count_if(F.isnan(number[c]))),
+                ("less", F.count_if(number[c] == F.lit(float("-inf")))), ("some", F.count_if(finite[c])),
+                ("low", F.min(F.when(finite[c], number[c]))), ("high", F.max(F.when(finite[c], number[c]))),
+            )
         ]
+    ).first()
+    found = {c: (ends[f"n{i}"], {}) for i, c in enumerate(columns)}
+    open_: list[tuple[str, float, float, int, dict[int, int]]] = []  # column, ends, rows, {rank: rank inside}
+    for i, c in enumerate(columns):
+        less, some, inside = ends[f"less{i}"], ends[f"some{i}"], {}
+        for rank in wanted[c](ends[f"n{i}"]):
+            if rank < less:
+                found[c][1][rank] = float("-inf")
+            elif rank < less + some:
+                inside[rank] = rank - less
+            else:
+                found[c][1][rank] = float("inf") if rank < ends[f"n{i}"] - ends[f"odd{i}"] else float("nan")
+        if inside:
+            open_.append((c, ends[f"low{i}"], ends[f"high{i}"], some, inside))
+    few_left = []
+    while open_:
+        wide = []
+        for part in open_:
+            c, low, high, rows, inside = part
+            if low == high:
+                found[c][1].update(dict.fromkeys(inside, low))
+            else:
+                (few_left if rows <= few else wide).append(part)
+        open_ = _divided(df, wide, number, bins) if wide else []
+    if few_left:
+        values: dict[int, list[float]] = {}
+        for row in _unfolded(df, few_left, number, lambda *_: F.lit(0)).collect():
+            values.setdefault(row.part, []).append(row.value)
+        for i, (c, *_, inside) in enumerate(few_left):
+            values[i].sort()
+            found[c][1].update({rank: values[i][place] for rank, place in inside.items()})
+    return found
+
+
+def _unfolded(df, parts, number, place) -> DataFrame:
+    """(part, place, value) of the rows between the ends of each part."""
+    cells = [
+        F.when(
+            number[c].between(low, high),
+            F.struct(F.lit(i).alias("part"), place(number[c], low, high).alias("place"), number[c].alias("value")),
+        )
+        for i, (c, low, high, *_) in enumerate(parts)
+    ]
+    return df.select(F.inline(F.filter(F.array(*cells), lambda cell: cell.isNotNull())))
+
+
+def _divided(df, parts, number, bins):
+    """The bins that hold the wanted ranks of each part, as parts of their own."""
+
+    def place(value, low, high):
+        unit = 1.0 if high - low < float("inf") else 4.0  # the width of the widest range is no number
+        share = (value / unit - low / unit) / (high / unit - low / unit)
+        return F.least(F.floor(share * bins), F.lit(bins - 1))
+
+    counted = (
+        _unfolded(df, parts, number, place).groupBy("part", "place")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        .collect()  # at most ``bins`` rows per part
     )
+    smaller = []
+    for i, (c, *_, inside) in enumerate(parts):
+        before = 0
+        for row in sorted((r for r in counted if r.part == i), key=lambda r: r.place):
+            own = {rank: at - before for rank, at in inside.items() if before <= at < before + row.n}
+            if own:
+                smaller.append((c, row.low, row.high, row.n, own))
+            before += row.n
+    return smaller
+
+
+def quantiles_of(df: DataFrame, shares: Mapping[str, Sequence[float]], stored: bool = False) -> dict[str, list]:
+    """Exact, linearly interpolated quantiles of several columns; None for a column without values.
+
+    The columns are stored once, unless ``df`` is a ``stored`` table already.
+    """
+
+    def ranks(share, n):
+        rank = float(share) * (n - 1)
+        return math.floor(rank), math.ceil(rank), rank - math.floor(rank)
+
+    kept = df if stored else settle(df.select(*shares))
+    wanted = {c: (lambda n, own=own: {k for s in own for k in ranks(s, n)[:2]} if n else ()) for c, own in shares.items()}
+    out = {}
+    for c, (n, values) in order_statistics(kept, wanted).items():
+        picks = [ranks(s, n) for s in shares[c]] if n else []
+        out[c] = [
+            values[low] if values[low] == values[high] else values[low] + (values[high] - values[low]) * part
+            for low, high, part in picks
+        ] or [None] * len(shares[c])
+    return out
+
+
+def quantiles(df: DataFrame, column: str, shares: Sequence[float], stored: bool = False) -> DataFrame:
+    """Exact, linearly interpolated quantiles: one row with columns q0, q1, … as in ``shares``."""
+    found = quantiles_of(df, {column: shares}, stored)[column]
+    values = [F.lit(v).cast("double").alias(f"q{i}") for i, v in enumerate(found)]
+    return df.sparkSession.range(1).select(*values)

@@ -111,7 +111,7 @@ def flag_outliers(
     """
     nodes = settle(fit_forest(df, columns, keys, trees, samples, seed))
     scored = settle(df.withColumn("score", anomaly_score(nodes, columns, samples)))
-    cut = O.quantiles(scored, "score", [1.0 - share]).select("q0").scalar()
+    cut = O.quantiles(scored, "score", [1.0 - share], stored=True).select("q0").scalar()
     return scored.withColumn("outlier", (F.col("score") > cut).cast("int"))
 
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import ship
 from . import ordered as O
 from .lists import dup_times, per_show
 
@@ -147,22 +150,75 @@ def triplet_wins(df: DataFrame, key: str, strength: str) -> DataFrame:
     return placed.select(key, wins.alias("wins")).where(F.col("wins") > 0)
 
 
+MOMENTS = "col_a string, col_b string, n double, odd double, mx double, my double, cxx double, cyy double, cxy double"
+
+
+def pair_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Count, means and centred products of each pair of columns, one row per pair and partition.
+
+    A pair counts the rows where both are known; ``odd`` are those with a NaN or infinite value, which
+    the sums leave out.  A batch of rows is a matrix with zeros for nulls, and the sums of all pairs are
+    four products of such matrices, so no row is unfolded.
+    """
+    columns, pairs = list(columns), list(combinations(range(len(columns)), 2))
+
+    def moments(batches):
+        start, sums = np.full(len(columns), np.nan), None
+        for batch in batches:
+            raw = [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]
+            known = np.array([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns], dtype=float)
+            fine = np.isfinite(raw) & (known > 0)
+            for i in np.flatnonzero(np.isnan(start) & fine.any(axis=1)):
+                start[i] = raw[i][fine[i].argmax()]  # values are taken from the first one, against cancellation
+            x = np.where(fine, np.array(raw) - start[:, None], 0.0)
+            good, odd = fine.astype(float), known * ~fine
+            part = np.array([good @ good.T, x @ good.T, (x * x) @ good.T, x @ x.T, odd @ known.T])
+            sums = part if sums is None else sums + part
+        if sums is None:
+            return
+        n, s, q, p, odd = sums
+        rows = []
+        for a, b in pairs:
+            m = max(n[a, b], 1.0)
+            x, y = s[a, b] / m, s[b, a] / m
+            rows.append(
+                (columns[a], columns[b], n[a, b], odd[a, b] + odd[b, a], start[a] + x if n[a, b] else 0.0,
+                 start[b] + y if n[a, b] else 0.0, q[a, b] - m * x * x, q[b, a] - m * y * y, p[a, b] - m * x * y)
+            )
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in zip(*rows)], names=[f.split()[0] for f in MOMENTS.split(", ")])
+
+    if not pairs:
+        return df.sparkSession.createDataFrame([], MOMENTS)
+    ship(df.sparkSession)
+    return df.select([F.col(c).cast("double").alias(c) for c in columns]).mapInArrow(moments, MOMENTS)
+
+
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of each pair of columns over the rows where both are known.
 
-    Each row unfolds into its pairs inside the task, where they are combined at once; only one
-    partial result per pair is shuffled.
+    Null for fewer than two rows or a column that does not vary (a spread below 1e-14 of its mean),
+    NaN if a row holds NaN or infinity.  Only one row per pair and partition is shuffled.
     """
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                F.col(a).cast("double").alias("_x"), F.col(b).cast("double").alias("_y"),
-            )
-            for a, b in combinations(columns, 2)
-        ]
+    parts = pair_moments(df, columns)
+    pair = Window.partitionBy("col_a", "col_b")  # one row per partition of the data
+    n = F.sum("n").over(pair)
+    means = {f"_{m}": F.try_divide(F.sum(F.col("n") * F.col(m)).over(pair), n) for m in ("mx", "my")}
+
+    def merged(product, left, right):
+        return F.sum(F.col(product) + F.col("n") * (F.col(left) - F.col(f"_{left}")) * (F.col(right) - F.col(f"_{right}")))
+
+    sums = parts.withColumns(means).groupBy("col_a", "col_b").agg(
+        F.sum("n").alias("n"), F.sum("odd").alias("odd"), F.first("_mx").alias("mx"), F.first("_my").alias("my"),
+        merged("cxx", "mx", "mx").alias("cxx"), merged("cyy", "my", "my").alias("cyy"),
+        merged("cxy", "mx", "my").alias("cxy"),
+    )
+    varies = F.lit(True)
+    for c, m in (("cxx", "mx"), ("cyy", "my")):
+        varies &= (F.col(c) > 0) & (F.col(c) > F.lit(1e-28) * F.col("n") * F.col(m) * F.col(m))
+    corr = F.when(F.col("odd") > 0, F.lit(float("nan"))).when(
+        (F.col("n") > 1) & varies, F.col("cxy") / F.sqrt("cxx") / F.sqrt("cyy")
     )
-    return df.select(F.inline(cells)).groupBy("col_a", "col_b").agg(F.corr("_x", "_y").alias("corr"))
+    return sums.select("col_a", "col_b", corr.alias("corr"))
 
 
 def daily_means(df: DataFrame, value: str = "sales") -> DataFrame:

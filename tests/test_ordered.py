@@ -75,6 +75,30 @@ def test_quantiles_match_interpolation(spark):
     assert np.allclose(list(got), np.quantile(values, shares))
 
 
+@pytest.mark.parametrize("bins, few", [(2, 1), (7, 3), (4096, 10_000)])
+def test_order_statistics_of_odd_values(spark, bins, few):
+    rng = random.Random(77)
+    inf = float("inf")
+    wild = [inf, -inf, float("nan"), None, 0.0, -0.0, 5e-324, -1.7e308, 1.7e308, 1e-300]
+    a = [rng.choice([rng.gauss(0, 1), 3.0, 10.0 ** rng.randint(-9, 9), rng.choice(wild)]) for _ in range(700)]
+    b = [rng.choice([1, 1, 1, rng.randint(-5, 50), None]) for _ in a]
+    df = spark.createDataFrame([(*x, None) for x in zip(a, b)], "a double, b int, c double").repartition(3)
+    got = O.order_statistics(df, {c: lambda n: range(0, n, 13) for c in "abc"}, bins, few)
+    high = lambda v: (v != v, v if v == v else 0.0)  # NaN above all numbers
+    for name, values in (("a", a), ("b", b), ("c", [])):
+        right = sorted((float(v) for v in values if v is not None), key=high)
+        n, found = got[name]
+        assert n == len(right) and sorted(found) == list(range(0, n, 13))
+        assert all(found[k] == right[k] or (found[k] != found[k] and right[k] != right[k]) for k in found)
+
+
+def test_quantiles_of_nothing_and_of_one_row(spark):
+    df = spark.createDataFrame([(None, 4.5)], "x double, y double")
+    assert O.quantiles_of(df, {"x": [0.5, 1.0], "y": [0.0, 0.3]}) == {"x": [None, None], "y": [4.5, 4.5]}
+    assert tuple(O.quantiles(df, "x", [0.5]).first()) == (None,)
+    assert O.quantiles(df.where("false"), "y", [0.5, 0.1]).dtypes == [("q0", "double"), ("q1", "double")]
+
+
 def test_empty_input(spark):
     df = spark.createDataFrame([], "k int, v int")
     assert O.with_running(O.in_order(df, "k"), {"t": "v"}).count() == 0
