@@ -8,11 +8,12 @@ row per chunk across the borders; the summaries hold at most one row per partiti
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import settle
+from ..session import new_path, settle
 
 CHUNK, PLACE, POSITION = "_chunk", "_place", "_position"
 BINS = 4096
@@ -21,22 +22,41 @@ FEW = 10_000
 _PLACE_BITS = 33  # monotonically_increasing_id keeps the row number in its lower 33 bits
 
 
-def in_order(df: DataFrame, *order: Column | str, chunks: int | None = None) -> DataFrame:
-    """Sort ``df`` by ``order`` (which must end in a unique key) and number chunks and places."""
+def _numbered(df: DataFrame, order: Sequence[Column | str], chunks: int | None) -> DataFrame:
     if chunks is None:
         ranged = df.orderBy(*order)
     else:
         ranged = df.repartitionByRange(chunks, *order).sortWithinPartitions(*order)
     numbered = ranged.withColumn("_id", F.monotonically_increasing_id())
-    return settle(
-        numbered.select(
-            *df.columns,
-            F.shiftright("_id", _PLACE_BITS).cast("int").alias(CHUNK),
-            F.col("_id").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).alias(PLACE),
-        )
+    return numbered.select(
+        *df.columns,
+        F.shiftright("_id", _PLACE_BITS).cast("int").alias(CHUNK),
+        F.col("_id").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).alias(PLACE),
     )
 
 
+def in_order(df: DataFrame, *order: Column | str, chunks: int | None = None) -> DataFrame:
+    """Sort ``df`` by ``order`` (which must end in a unique key) and number chunks and places."""
+    return settle(_numbered(df, order, chunks))
+
+
+def in_buckets(df: DataFrame, *order: Column | str, chunks: int | None = None) -> DataFrame:
+    """Like ``in_order``, as a table in the shared folder that is bucketed by chunk.
+
+    Windows and groups by chunk then read it without any exchange, so the sort is the only one.
+    There are as many buckets as the sort has partitions at most.  The catalog needs the table's
+    name only until the files are listed, so it is dropped here; the files stay.
+    """
+    spark = df.sparkSession
+    name = f"slotcast_{uuid.uuid4().hex}"
+    buckets = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = _numbered(df, order, chunks).write.format("parquet").option("path", new_path(spark, "ordered"))
+    writer.bucketBy(buckets, CHUNK).sortBy(PLACE).saveAsTable(name)
+    kept = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return kept
+
+
 def _inside() -> Window:
     return Window.partitionBy(CHUNK).orderBy(PLACE)
 
@@ -103,6 +123,35 @@ def with_previous(ordered: DataFrame, columns: list[str], name: str = "prev") ->
     )
 
 
+def with_stretches(
+    ordered: DataFrame, stretch: str, sums: Mapping[str, str], place: str, position: str = POSITION
+) -> DataFrame:
+    """Add sums over each stretch of rows and the row's 1-based ``place`` in it.
+
+    ``stretch`` numbers the stretches, rising along the order, so only the first and the last one of
+    a chunk can go on in another: these two rows per chunk are added up and broadcast.
+    """
+    own = Window.partitionBy(CHUNK, stretch)
+    first = f"_{position}"
+    parts = ordered.groupBy(CHUNK, stretch).agg(
+        *[F.sum(c).alias(n) for n, c in sums.items()], F.min(position).alias(first)
+    )
+    part = F.struct(stretch, *sums, first)
+    ends = parts.groupBy(CHUNK).agg(F.min_by(part, stretch).alias("_low"), F.max_by(part, stretch).alias("_high"))
+    both = F.when(F.col(f"_low.{stretch}") == F.col(f"_high.{stretch}"), F.array("_low")).otherwise(F.array("_low", "_high"))
+    crossing = (
+        ends.select(F.inline(both)).groupBy(stretch)
+        .agg(*[F.sum(n).alias(f"_all_{n}") for n in sums], F.min(first).alias(first), F.count(F.lit(1)).alias("_parts"))
+        .where("_parts > 1").drop("_parts")
+    )
+    found = ordered.withColumns(
+        {**{n: F.sum(c).over(own) for n, c in sums.items()}, "_own": F.min(position).over(own)}
+    ).join(F.broadcast(crossing), stretch, "left")
+    whole = {n: F.when(F.col(first).isNull(), F.col(n)).otherwise(F.col(f"_all_{n}")) for n in sums}
+    whole[place] = (F.col(position) - F.coalesce(first, "_own") + 1).cast("int")
+    return found.withColumns(whole).drop("_own", first, *[f"_all_{n}" for n in sums])
+
+
 def without_order(df: DataFrame) -> DataFrame:
     return df.drop(CHUNK, PLACE)
 

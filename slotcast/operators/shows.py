@@ -85,24 +85,23 @@ def runs(
     """Add the run number, the place in the run and the run's length in minutes.
 
     A run is a stretch of slots with the same ``key``.  Added columns: ``starts`` (1 on the first
-    slot of a run), ``run_no``, ``parttime`` (1, 2, 3 … inside the run), ``min_range``.
+    slot of a run), ``run_no``, ``parttime`` (1, 2, 3 … inside the run), ``min_range``.  After the
+    sort no slot is exchanged any more.
     """
-    seq = O.with_previous(O.in_order(slots, "ts", chunks=chunks), [key], "_prev")
-    seq = seq.withColumn(
-        "starts", F.when(F.col(key).eqNullSafe(F.col(f"_prev.{key}")), 0).otherwise(1)
-    )
-    first = F.col("_prev").isNull()
-    seq = seq.withColumn("starts", F.when(first, 1).otherwise(F.col("starts"))).drop("_prev")
-    seq = O.without_order(O.with_running(seq, {"run_no": "starts"}))
-    totals = seq.groupBy("run_no").agg(
-        F.sum("exposed").alias("min_range"), F.min(O.POSITION).alias("_from")
-    )
-    place = (F.col(O.POSITION) - F.col("_from") + 1).cast("int")
-    return seq.join(totals, "run_no").withColumn("parttime", place).drop("_from", O.POSITION)
+    seq = O.with_previous(O.in_buckets(slots, "ts", chunks=chunks), [key], "_prev")
+    goes_on = F.col("_prev").isNotNull() & F.col(key).eqNullSafe(F.col(f"_prev.{key}"))
+    seq = seq.withColumn("starts", F.when(goes_on, 0).otherwise(1)).drop("_prev")
+    seq = O.with_running(seq, {"run_no": "starts"})
+    seq = O.with_stretches(seq, "run_no", {"min_range": "exposed"}, "parttime")
+    return O.without_order(seq).drop(O.POSITION)
 
 
 def show_numbers(run_slots: DataFrame) -> DataFrame:
-    """Add ``show_id``: show day and running count of run starts within that day."""
+    """Add ``show_id``: show day and running count of run starts within that day.
+
+    The rows are stored, since the days and the slots are both read from them.
+    """
+    run_slots = settle(run_slots)
     base = run_slots.groupBy("show_day").agg(
         F.min(F.col("run_no") - F.col("starts")).alias("_base")
     )
@@ -193,8 +192,8 @@ def show_sequence(
     needed = ("ts", "product_code", "ymd", "exposed", run_key, carry_key)
     narrow = df.select(*dict.fromkeys(needed))
     slots = with_show_day(slot_table(narrow), carry_key)
-    seq = show_numbers(runs(slots, run_key, chunks))
-    seq = settle(seq.select("ts", "parttime", "starts", "show_id", "min_range"))
+    kept = ("ts", "show_day", "run_no", "starts", "parttime", "min_range")
+    seq = show_numbers(runs(slots, run_key, chunks).select(*kept))
     shows = seq.where("starts = 1").select(F.col("ts").alias("start"), "show_id", "min_range")
     per_slot = assign_show(seq.select("ts", "parttime"), shows)
-    return df.join(per_slot, "ts", "left")  # the only shuffle of the full rows
+    return lookup_join(df, per_slot, "ts")

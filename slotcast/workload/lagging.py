@@ -71,7 +71,7 @@ def min_range(spark, sf):
 @query("show_id", sql("SELECT ts, show_id FROM slot_seq"))
 def show_id(spark, sf):
     seq = shows.runs(shows.with_show_day(slots(spark, sf), "category"), "category")
-    return shows.show_numbers(seq).select("ts", "show_id")
+    return shows.show_numbers(seq.select("ts", "show_day", "run_no", "starts")).select("ts", "show_id")
 
 
 @query("show_id_hourly", sql("SELECT ts, show_id, 60 AS min_range, 1 AS parttime FROM feat"))

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from slotcast.operators import ordered as O
 
@@ -29,6 +30,26 @@ def test_running_and_previous(numbers, chunks):
         prev = (row.v, row.s)
 
 
+@pytest.mark.parametrize("chunks", [None, 1, 3, 7])
+def test_buckets_keep_the_order(spark, numbers, chunks):
+    seq = O.in_buckets(numbers, "k", chunks=chunks)
+    out = O.with_previous(O.with_running(seq, {"total": "v"}), ["v"]).collect()
+    rows = sorted(out, key=lambda x: x.k)
+    assert [x[O.POSITION] for x in rows] == list(range(500))
+    assert all(b.total == a.total + b.v and b.prev.v == a.v for a, b in zip(rows, rows[1:]))
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("slotcast_")]
+
+
+@pytest.mark.parametrize("length", [1, 60, 500])
+def test_stretches_over_many_chunks(numbers, length):
+    rows = numbers.withColumn("run", F.floor(F.col("k") / length)).withColumn("w", F.when(F.col("v") > 1, F.col("v")))
+    seq = O.with_position(O.in_buckets(rows, "k", chunks=9))
+    out = sorted(O.with_stretches(seq, "run", {"total": "w"}, "place").collect(), key=lambda x: x.k)
+    for row in out:
+        own = [x.w for x in out[row.k // length * length:][:length] if x.w is not None]
+        assert (row.total, row.place) == (sum(own) if own else None, row.k % length + 1)
+
+
 @pytest.mark.parametrize("n", [1, 50, 499, 600])
 def test_top_positions(numbers, n):
     got = O.top_positions(numbers, "v", ["k"], n).collect()

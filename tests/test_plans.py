@@ -51,6 +51,17 @@ def test_carry_is_limited_before_the_shuffle(spark, sf_dir):
     assert plan.count("WindowGroupLimit") >= 2
 
 
+def test_slots_are_not_exchanged_after_their_sort(spark, sf_dir):
+    runs = shows.runs(slots(spark, sf_dir), "category")
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    # no slot moves by chunk: one row per chunk goes to one partition, and up to two rows per chunk,
+    # the runs at its ends, meet by run number
+    moved = [line for line in plan.splitlines() if "Exchange" in line and "BroadcastExchange" not in line]
+    assert len([line for line in moved if "hashpartitioning(run_no" in line]) == 1
+    assert all("SinglePartition" in line or "hashpartitioning(run_no" in line for line in moved)
+    assert "Bucketed: true" in plan and "SortMergeJoin" not in plan
+
+
 def test_contenders_are_limited_before_the_shuffle(spark):
     edges = spark.createDataFrame([(0, 1, 2, 3.0)], "g int, slot int, item int, profit double")
     assert "WindowGroupLimit" in plan_of(schedule.keep_contenders(edges, ["g"], "slot", "item"))
