@@ -228,25 +228,75 @@ def sample_silhouettes(df: DataFrame, features: Sequence[str], cluster: str = "c
     return rows.withColumn("silhouette", value).drop("_t", "_n", "_a", "_b")
 
 
-def cluster(df: DataFrame, features: Sequence[str], k: int, seed: int = 10) -> DataFrame:
-    """Add the k-means ``cluster`` of each row."""
+#: Lloyd's rounds at most, and the movement of the centres at which they stop.
+CLUSTER_ROUNDS, CLUSTER_MOVE = 300, 1e-6
+
+
+def _clustered(df: DataFrame, features: Sequence[str], k: int, seed: int) -> tuple[DataFrame, list[list[float]]]:
+    """Rows with ``cluster``, and the k centres."""
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip")
     points = assembler.transform(df)
-    model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster").fit(points)
-    return model.transform(points).drop("_features")
+    fitted = KMeans(
+        k=k, seed=seed, maxIter=CLUSTER_ROUNDS, tol=CLUSTER_MOVE, featuresCol="_features", predictionCol="cluster"
+    ).fit(points)
+    return fitted.transform(points).drop("_features"), [[float(v) for v in c] for c in fitted.clusterCenters()]
+
+
+def cluster(df: DataFrame, features: Sequence[str], k: int, seed: int = 10) -> DataFrame:
+    """Add the k-means ``cluster`` of each row; rows with a null or NaN feature go."""
+    return _clustered(df, features, k, seed)[0]
+
+
+def cluster_proof(df: DataFrame, features: Sequence[str], k: int, seed: int = 10) -> DataFrame:
+    """Check that a clustering stands still, from its rows and centres alone; one row.
+
+    ``misplaced`` counts rows that are nearer to another centre than to their own, ``off_centre``
+    clusters whose centre is not the mean of their rows.  Both are 0 at a fixed point.
+    """
+    rows, centres = _clustered(df, features, k, seed)
+    gaps = [sum((F.pow(F.col(f) - F.lit(v), F.lit(2)) for f, v in zip(features, c)), F.lit(0.0)) for c in centres]
+    own = F.element_at(F.array(*gaps), F.col("cluster") + 1)
+    slack = F.lit(1 + 1e-9)  # rounding of a squared distance
+    per = rows.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(own > F.array_min(F.array(*gaps)) * slack + F.lit(1e-9)).alias("misplaced"),
+        *[F.avg(f).alias(f"_m{i}") for i, f in enumerate(features)],
+    )
+    table = F.array(*[F.array(*map(F.lit, c)) for c in centres])
+    centre = F.element_at(table, F.col("cluster") + 1)
+    shift = F.greatest(F.lit(0.0), *[F.abs(F.col(f"_m{i}") - centre[i]) / (1 + F.abs(centre[i])) for i in range(len(features))])
+    return per.agg(
+        F.sum("n").alias("n"), F.sum("misplaced").alias("misplaced"),
+        F.count_if(shift > 10 * CLUSTER_MOVE).alias("off_centre"),
+    )
+
+
+def _per_pair(df: DataFrame, pairs, ks, table) -> DataFrame:
+    """``table(rows, pair, k)`` of each feature pair and k, over rows that are stored once."""
+    rows = settle(df.select(*dict.fromkeys(f for pair in pairs for f in pair)))
+
+    def one(pair, k):
+        made = table(rows, pair, k)
+        return made.select(F.lit("+".join(pair)).alias("features"), F.lit(k).alias("k"), *made.columns)
+
+    runs = [lambda pair=pair, k=k: one(pair, k) for pair in pairs for k in ks]
+    return stack(fit_side_by_side(df.sparkSession, runs))
 
 
 def kmeans_report(
     df: DataFrame, pairs: Sequence[tuple[str, str]], ks: Sequence[int] = (4, 5, 6), seed: int = 10
 ) -> DataFrame:
     """Average silhouette and size per cluster for each feature pair and k."""
-    tables = []
-    for pair in pairs:
-        for k in ks:
-            rows = sample_silhouettes(cluster(df, pair, k, seed), pair)
-            tables.append(
-                rows.groupBy("cluster").agg(
-                    F.count(F.lit(1)).alias("n"), F.avg("silhouette").alias("silhouette")
-                ).select(F.lit("+".join(pair)).alias("features"), F.lit(k).alias("k"), "cluster", "n", "silhouette")
-            )
-    return stack(tables)
+
+    def table(rows, pair, k):
+        scored = sample_silhouettes(cluster(rows, pair, k, seed), pair)
+        return scored.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("silhouette").alias("silhouette"))
+
+    return _per_pair(df, pairs, ks, table)
+
+
+def kmeans_proof(
+    df: DataFrame, pairs: Sequence[tuple[str, str]], ks: Sequence[int] = (4, 5, 6), seed: int = 10
+) -> DataFrame:
+    """``cluster_proof`` of each clustering of ``kmeans_report``."""
+    return _per_pair(df, pairs, ks, lambda rows, pair, k: cluster_proof(rows, pair, k, seed))

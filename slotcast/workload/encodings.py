@@ -230,10 +230,29 @@ def predict(spark, sf):
     return scored.select("ts", "product_code", "sales", same.alias("same_row"), finite.alias("is_finite"))
 
 
+CLUSTER_PAIRS = [("unit_price", "sales"), ("exposed", "sales")]
+
+
 @query("kmeans_report")
 def kmeans_report(spark, sf):
     rows = feat(spark, sf).select("unit_price", "sales", "exposed")
-    return model.kmeans_report(rows, [("unit_price", "sales"), ("exposed", "sales")])
+    return model.kmeans_report(rows, CLUSTER_PAIRS)
+
+
+@query(
+    "kmeans_proof",
+    sql(
+        " UNION ALL ".join(
+            f"SELECT '{a}+{b}' AS features, {k} AS k, count(*) AS n, 0 AS misplaced, 0 AS off_centre"
+            f" FROM feat WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+            for a, b in CLUSTER_PAIRS for k in (4, 5, 6)
+        )
+    ),
+)
+def kmeans_proof(spark, sf):
+    """No row is nearer to another centre, and every centre is the mean of its rows."""
+    proof = model.kmeans_proof(feat(spark, sf), CLUSTER_PAIRS)
+    return proof.select("features", "k", "n", F.col("misplaced").cast("int"), F.col("off_centre").cast("int"))
 
 
 @query(

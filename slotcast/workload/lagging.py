@@ -467,3 +467,72 @@ def write_features(spark, sf):
     weekday, weekend = (FE.read_features(spark, folder, weekends=w) for w in (0, 1))
     both = encode.stack([weekday, weekend], outer=True)
     return both.select("ts", "weekends", r("lag_sales_wd_1", "lag_sales_wd_1", 7), r("lag_sales_wk_1", "lag_sales_wk_1", 7))
+
+
+RATES = {
+    "lag_mcode_price": _prev_week_sql("mother_code", "avg(unit_price)", "v"),
+    "lag_bigcat_price": _prev_week_sql("category", "avg(unit_price)", "v"),
+    "lag_small_c_price": _prev_week_sql("small_c", "avg(unit_price)", "v"),
+    "lag_bigcat_price_day": _prev_day_sql("avg(unit_price)", "v"),
+    "lag_all_price_show": "SELECT f.ts, p.v FROM feat f LEFT JOIN prev_show p USING (show_id)",
+    "lag_all_price_day": _prev_day_sql("avg(unit_price)", "v", None),
+}
+
+
+@query(
+    "price_to_rate_all",
+    sql(
+        "SELECT f.ts, " + ", ".join(rs(f"{name}.v / nullif(f.unit_price, 0)", name) for name in RATES)
+        + " FROM feat f " + " ".join(f"JOIN ({body}) {name} ON {name}.ts = f.ts" for name, body in RATES.items()),
+        PREV_SHOW,
+    ),
+)
+def price_to_rate_all(spark, sf):
+    """All six lag prices as ratios to the current price."""
+    rows = feat(spark, sf)
+    for key, short in (("mother_code", "mcode"), ("category", "bigcat"), ("small_c", "small_c")):
+        rows = lags.prev_week_mean_price(rows, key, f"lag_{short}_price")
+    rows = lags.prev_day_mean_price(rows, "lag_bigcat_price_day")
+    rows = lags.prev_day_mean_price_all(lags.prev_show_mean_price(rows))
+    return lags.price_to_rate(rows).select("ts", *[r(c, c) for c in K.PRICE_RATE_COLUMNS])
+
+
+#: Sets that are read back: weekend flag, lag columns, click columns.
+READ_SETS = {
+    "all": (None, True, True), "weekday": (0, True, True), "weekend": (1, True, True),
+    "no lags": (None, False, True), "weekday without clicks": (0, True, False), "bare weekend": (1, False, False),
+}
+CLICKS = (*FE.CLICK_NAMES.values(), *FE.AGES, *FE.DEVICES)
+
+
+def _kept_columns(side, with_lags, clicks):
+    """Names that a set holds, spelled out from the rule and not from the reader."""
+    names = ["ts", "ymd", "hours", "category", "sales", "weekends", "months"]
+    if with_lags:
+        names += [f"rolling_mean_{n}" for n in K.ROLLING_DAYS]
+        names += [f"lag_sales_wd_{n}" for n in K.WEEKDAY_LAGS] if side != 1 else []
+        names += [f"lag_sales_wk_{n}" for n in K.WEEKEND_LAGS] if side != 0 else []
+    return sorted(names + (list(CLICKS) if clicks else []))
+
+
+@query(
+    "read_features",
+    sql(
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS part, '{','.join(_kept_columns(*how))}' AS columns, count(*) AS n,"
+            f" {rs('sum(sales)', 'sales', 5)} FROM feat" + ("" if how[0] is None else f" WHERE weekends = {how[0]}")
+            for name, how in READ_SETS.items()
+        )
+    ),
+)
+def read_features(spark, sf):
+    """Columns, rows and sales of every set that can be read from stored features."""
+    rows = feat(spark, sf).select("ts", "ymd", "hours", "category", "sales", "weekends", "months", "k")
+    full = lags.rolling_means(lags.lag_sales_divided(rows)).withColumns({c: F.col("k") for c in CLICKS}).drop("k")
+    folder = FE.write_features(FE.Features(full, {}), new_path(spark, "features"))
+    parts = []
+    for name, (side, with_lags, clicks) in READ_SETS.items():
+        part = FE.read_features(spark, folder, side, with_lags, clicks)
+        columns = F.lit(",".join(sorted(part.columns))).alias("columns")
+        parts.append(part.agg(F.count(F.lit(1)).alias("n"), r(F.sum("sales"), "sales", 5)).select(F.lit(name).alias("part"), columns, "n", "sales"))
+    return encode.stack(parts)

@@ -35,6 +35,21 @@ def test_silhouette_matches_the_evaluator(points):
     assert own == pytest.approx(spark_value, abs=1e-9)
 
 
+def test_clusterings_stand_still_and_bad_ones_are_found(points, monkeypatch):
+    rows = points.withColumn("x", F.when(F.col("id") != 3, F.col("x")))
+    assert tuple(model.cluster_proof(rows, ["x", "y"], 3).first()) == (999, 0, 0)
+    both = model.kmeans_proof(rows, [("x", "y"), ("y", "id")], (2, 3)).collect()
+    assert sorted((r.features, r.k, r.n, r.misplaced, r.off_centre) for r in both) == [
+        ("x+y", 2, 999, 0, 0), ("x+y", 3, 999, 0, 0), ("y+id", 2, 1000, 0, 0), ("y+id", 3, 1000, 0, 0)
+    ]
+    monkeypatch.setattr(model, "CLUSTER_ROUNDS", 1)
+    bad = model.cluster_proof(points, ["x", "y"], 6).first()
+    assert bad.n == 1000 and bad.off_centre > 0
+    fitted = model._clustered
+    monkeypatch.setattr(model, "_clustered", lambda *a: (fitted(*a)[0].withColumn("cluster", F.lit(0)), fitted(*a)[1]))
+    assert model.cluster_proof(points, ["x", "y"], 3).first().misplaced > 0
+
+
 def test_model_beats_the_mean_and_survives_saving(spark, points, tmp_path):
     df = points.withColumn("sales", 3 * F.col("x") + F.col("y")).withColumn(
         "kind", F.when(F.col("id") % 2 == 0, "a").otherwise("b")
