@@ -40,7 +40,7 @@ class Training:
     other_rows: int = 2000
     max_bytes: int = 16_384  # longer texts are not trained on
     buckets: int = 1 << 20
-    support: float = 0.02  # n-grams in a smaller share of the texts keep a weight of zero
+    support: int = 4  # n-grams of fewer texts of the sample keep a weight of zero
     size: int = 4
     epochs: int = 6
     batch: int = 128
@@ -177,7 +177,7 @@ def fit(texts: Texts, toxic: np.ndarray, toxic_share: float, how: Training = Tra
     n_words = len(bag.n_grams)
     texts_of = np.unique(bag.passage_text[bag.passage] * n_words + bag.word) % n_words
     support = np.bincount(bag.gram, np.bincount(texts_of, minlength=n_words)[bag.gram_word], how.buckets)
-    trained = np.flatnonzero(support >= max(4, how.support * texts.n))
+    trained = np.flatnonzero(support >= how.support)
     dense = np.full(how.buckets, -1)
     dense[trained] = np.arange(len(trained))
     gram = dense[bag.gram]

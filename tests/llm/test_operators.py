@@ -119,6 +119,25 @@ def test_toxicity_learns_words_and_misspellings(spark):
 
 
 # op 2
+def test_toxicity_learns_many_rare_words(spark):
+    """300 words, each in about 1 % of the toxic texts: far below any share of the sample."""
+    rng = random.Random(1)
+    bad = ["".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(300)]
+    plain = ["".join(rng.choice("bcdfghjklmnprstvw") + rng.choice("aeiouy") for _ in range(rng.randint(2, 4))) for _ in range(3000)]
+    rows = []
+    for i in range(4000):
+        text = [rng.choice(plain) for _ in range(40)]
+        for _ in range(3 * (i % 4 == 0)):
+            text[rng.randrange(40)] = rng.choice(bad)
+        rows.append((i, " ".join(text), int(i % 4 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.score(df, toxicity.train(df, df)).join(df.select("doc_id", "toxic"), "doc_id").toPandas()
+    held = got[got.held_out]
+    rank, ones = held.score.rank(), held.toxic == 1
+    auc = (rank[ones].sum() - ones.sum() * (ones.sum() + 1) / 2) / (ones.sum() * (~ones).sum())
+    assert auc > 0.8  # 0.61 with a floor of 2 % of the sample
+
+
 def brute_repeats(rows, length):
     first = {}
     rows = sorted(set(rows))
