@@ -10,6 +10,7 @@ from .. import constants as K
 from ..functions import scalar as S
 from ..operators import reports, schedule
 from ..operators.encode import stack
+from ..operators.lookup import lookup_join
 from ..plans import features as FE, forecasting, scheduling
 from ..session import new_path, settle
 from ..sources import bindings as B
@@ -50,8 +51,12 @@ def scored_grid(spark, sf):
     rows = feat(spark, sf)
     item = rows.groupBy("product_code").agg(F.avg("sales").alias("_item"))
     hour = rows.groupBy(F.col("big_c").alias("category"), F.col("hours_inweek")).agg(F.avg("sales").alias("_hour"))
-    timed = grid(spark, sf).withColumn("hours_inweek", S.hours_in_week("ts"))
-    joined = timed.join(item, "product_code").join(hour, ["category", "hours_inweek"], "left")
+    # one row per product is joined, before it unfolds into all slots; the cells are never shuffled
+    known = products(spark, sf).join(item, "product_code")
+    cells = schedule.cross_schedule(known, *_bounds(spark, sf)).withColumns(
+        {"broadcast_day": S.broadcast_day("ts"), "hours_inweek": S.hours_in_week("ts")}
+    )
+    joined = lookup_join(cells, hour, ["category", "hours_inweek"])
     pred = F.col("_item") + F.coalesce(F.col("_hour"), F.lit(0.0))
     return joined.select("product_code", "category", "ts", "broadcast_day", pred.alias("pred"))
 

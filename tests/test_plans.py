@@ -76,3 +76,11 @@ def test_no_pairs_are_built(name, spark, sf_dir):
 def test_grid_needs_no_shuffle_of_cells(spark):
     products = spark.range(100).selectExpr("cast(id as string) as product_code")
     assert "Exchange" not in plan_of(schedule.cross_schedule(products, "2020-06-01", "2020-06-30"))
+
+
+def test_scored_cells_are_not_shuffled(spark, sf_dir):
+    from slotcast.workload.planning import scored_grid
+
+    plan = scored_grid(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Generate explode")]  # what happens to the unfolded rows
+    assert "BroadcastHashJoin" in above and "Exchange hashpartitioning" not in above and "SortMergeJoin" not in above
