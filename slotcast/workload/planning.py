@@ -52,7 +52,9 @@ def scored_grid(spark, sf):
     item = rows.groupBy("product_code").agg(F.avg("sales").alias("_item"))
     hour = rows.groupBy(F.col("big_c").alias("category"), F.col("hours_inweek")).agg(F.avg("sales").alias("_hour"))
     # one row per product is joined, before it unfolds into all slots; the cells are never shuffled
-    known = products(spark, sf).join(item, "product_code")
+    # (spread by number, since the planner would join few products into one task)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = products(spark, sf).join(item, "product_code").repartition(tasks, "product_code")
     cells = schedule.cross_schedule(known, *_bounds(spark, sf)).withColumns(
         {"broadcast_day": S.broadcast_day("ts"), "hours_inweek": S.hours_in_week("ts")}
     )
