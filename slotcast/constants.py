@@ -86,6 +86,8 @@ MODEL_PARAMS = {
 ROUNDS = 20
 #: Width of the bins of time in which broadcast times meet shows.
 BIN_MINUTES = 15
+#: Times that share a part of such a bin, about.
+PART_TIMES = 16
 TOP_SLICES = {"weekday": (4004, 2013), "weekend": (2206, 999), "schedule": (5500, 2500)}
 MIX_TOP = {
     "test": {"weekday": 727, "weekend": 249},
