@@ -128,10 +128,11 @@ def _powers(i: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values evenly."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 class Spans:
@@ -156,6 +157,21 @@ class Spans:
         )
         return mix(one << np.uint64(31) ^ two)
 
+    def sliding(self, width: int) -> np.ndarray:
+        """Hashes of all spans of ``width`` bytes, by start."""
+        n = max(0, len(self.parts[0][0]) - width)
+        both = []
+        for (sums, inverse), prime in zip(self.parts, _PRIMES):
+            part = sums[width:] - sums[:n]
+            part %= np.uint64(prime)  # in place: new arrays of this size cost more than the sums
+            part *= inverse[:n]
+            part %= np.uint64(prime)
+            both.append(part)
+        one, two = both
+        one <<= np.uint64(31)
+        one ^= two
+        return mix(one)
+
 
 def word_bounds(blank: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end offsets of the words, given which bytes are blank."""

@@ -39,13 +39,12 @@ def _stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def _windows(texts: Texts, length: int, gram: int):
-    """Hashes of all windows, first places, lengths in windows and anchor hashes of the segments."""
+    """Hashes of any spans, first places, lengths in windows and anchor hashes of the segments."""
     data, n = texts.data, len(texts.data)
     spans = Spans(data)
-    starts = np.arange(max(0, n - gram + 1))
-    hashes = spans.hash(starts, starts + gram)
+    hashes = spans.sliding(gram)
     # smallest hash first, then the leftmost place; both fit into one number
-    least = (hashes & np.uint64(0xFFFFFFFF00000000)) | starts.astype(np.uint64)
+    least = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
     width, grams = 1, length - gram + 1
     while 2 * width <= grams and len(least) > width:
         least = np.minimum(least[:-width], least[width:])
@@ -61,10 +60,25 @@ def _windows(texts: Texts, length: int, gram: int):
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(windows)))
     begins = windows[first]
-    doc = np.searchsorted(texts.borders, begins, "right") - 1
     anchor = hashes[anchors[first]] if len(first) else np.zeros(0, np.uint64)
-    whole = spans.hash(begins, begins + count + length - 1)
-    return spans, doc, begins - texts.borders[doc], count, anchor, whole
+    return spans, begins, count, anchor
+
+
+def anchor_counts(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int) -> DataFrame:
+    """(anchor, n): segments per anchor, already added up over the texts of a slice.
+
+    Neither the segments' own hashes nor their documents are needed to find the anchors that occur twice.
+    """
+    ship(docs.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(0)):
+                anchor, n = np.unique(_windows(Texts(batch.column(0).slice(a, b - a)), length, gram)[3], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(n)], names=["anchor", "n"])
+
+    texts = _keyed(docs, id_col, text_col).select("text")
+    return texts.mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
 
 
 def segments(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int) -> DataFrame:
@@ -76,8 +90,11 @@ def segments(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int
         for batch in batches:
             for a, b in slices(batch.column(2)):
                 part = batch.slice(a, b - a)
-                _, doc, start, count, anchor, whole = _windows(Texts(part.column(2)), length, gram)
-                at = pa.array(doc)
+                texts = Texts(part.column(2))
+                spans, begins, count, anchor = _windows(texts, length, gram)
+                whole = spans.hash(begins, begins + count + length - 1)
+                doc = np.searchsorted(texts.borders, begins, "right") - 1
+                start, at = begins - texts.borders[doc], pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).take(at), part.column(1).take(at),
@@ -235,10 +252,8 @@ def repeated_spans(
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     all_ = segments(docs, id_col, text_col, length, gram)
-    twice = _stored(
-        all_.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("anchor"),
-        "anchors",
-    )
+    counts = anchor_counts(docs, id_col, text_col, length, gram)
+    twice = _stored(counts.where("n > 1").select("anchor"), "anchors")
     members = _stored(all_.join(twice, "anchor"), "members")
     place = F.struct("d", "t", "start")
     distinct = members.groupBy("anchor", "seg").agg(

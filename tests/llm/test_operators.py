@@ -155,6 +155,17 @@ def brute_repeats(rows, length):
     return out
 
 
+def test_anchors_are_added_up_before_they_leave_a_slice(spark):
+    text = "".join(random.Random(8).choices("abcdef ", k=600))
+    df = spark.createDataFrame([(i, text if i < 40 else text[:350]) for i in range(50)] + [(50, None), (51, "short")], "doc_id long, text string").coalesce(1)
+    from_segments = {r.anchor: r["count"] for r in passages.segments(df, "doc_id", "text", 100, 32).groupBy("anchor").count().collect()}
+    counts = passages.anchor_counts(df, "doc_id", "text", 100, 32)
+    assert {r.anchor: r.n for r in counts.collect()} == from_segments and max(from_segments.values()) >= 50
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts = np.arange(len(data) - 31)
+    assert (Spans(data).sliding(32) == Spans(data).hash(starts, starts + 32)).all() and not len(Spans(data[:5]).sliding(32))
+
+
 @pytest.mark.parametrize("most", [4096, 2])
 def test_repeated_passages(spark, most):
     rng = random.Random(5)
