@@ -3,6 +3,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from slotcast.operators import lags
 from slotcast.plans import features as FE
@@ -71,3 +72,15 @@ def test_large_lookups_meet_narrow_rows(spark, tables, monkeypatch):
     assert places == sorted(places)
     assert made.select("ts", "product_code").exceptAll(base.select("ts", "product_code")).count() == 0
     assert made.count() == base.count()
+
+
+def test_products_are_spread_before_they_unfold(spark, tables, monkeypatch):
+    rows = planning._base_rows(spark, tables)[1]
+    monkeypatch.setattr(planning, "_years", lambda *_: (rows, None, None, {}, FE.SideTables()))
+    monkeypatch.setattr(FE, "run_candidates", lambda cells, *_: cells)
+    cells = planning._candidates(spark, tables, "hungarian")[2]
+    # the groups are exchanged by product, then their rows by number, which is never coalesced
+    assert "RoundRobinPartitioning" in physical(cells)
+    filled = cells.groupBy(F.spark_partition_id()).count().count()
+    assert filled == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert cells.count() == rows.select("product_code").distinct().count() * 30 * 24
