@@ -10,12 +10,14 @@ MAX_BROADCAST_ROWS = 200_000
 
 
 def sized(
-    table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, stored: bool = False
+    table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, stored: bool = False, rows: int | None = None
 ) -> DataFrame:
     """Mark ``table`` for broadcast only if its counted size allows that.
 
-    It is computed once and kept, unless it is a ``stored`` table already.
+    It is computed once and kept, unless it is a ``stored`` table already or its ``rows`` are known.
     """
+    if rows is not None:
+        return F.broadcast(table) if rows <= max_rows else table
     kept = table if stored else settle(table)
     return F.broadcast(kept) if kept.count() <= max_rows else kept
 
@@ -27,13 +29,14 @@ def lookup_join(
     how: str = "left",
     max_rows: int = MAX_BROADCAST_ROWS,
     stored: bool = False,
+    rows: int | None = None,
 ) -> DataFrame:
     """Join a table of narrow rows, unique on ``on``, to the facts.
 
     Small tables are broadcast after a count, so the facts keep their partitioning.  Larger ones
     take Spark's shuffled join, where adaptive execution splits hot keys.
     """
-    return facts.join(sized(table, max_rows, stored), on, how)
+    return facts.join(sized(table, max_rows, stored, rows), on, how)
 
 
 def member_flag(

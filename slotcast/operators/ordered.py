@@ -13,7 +13,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import new_path, settle
+from ..session import new_path, settle, swept
 
 CHUNK, PLACE, POSITION = "_chunk", "_place", "_position"
 BINS = 4096
@@ -50,8 +50,9 @@ def in_buckets(df: DataFrame, *order: Column | str, chunks: int | None = None) -
     spark = df.sparkSession
     name = f"slotcast_{uuid.uuid4().hex}"
     buckets = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = _numbered(df, order, chunks).write.format("parquet").option("path", new_path(spark, "ordered"))
-    writer.bucketBy(buckets, CHUNK).sortBy(PLACE).saveAsTable(name)
+    with swept(spark):
+        writer = _numbered(df, order, chunks).write.format("parquet").option("path", new_path(spark, "ordered"))
+        writer.bucketBy(buckets, CHUNK).sortBy(PLACE).saveAsTable(name)
     kept = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return kept
@@ -124,32 +125,37 @@ def with_previous(ordered: DataFrame, columns: list[str], name: str = "prev") ->
 
 
 def with_stretches(
-    ordered: DataFrame, stretch: str, sums: Mapping[str, str], place: str, position: str = POSITION
+    ordered: DataFrame, stretch: str, sums: Mapping[str, str], place: str, position: str = POSITION,
+    firsts: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Add sums over each stretch of rows and the row's 1-based ``place`` in it.
+    """Add sums over each stretch of rows, the row's 1-based ``place`` in it and values of its first row.
 
     ``stretch`` numbers the stretches, rising along the order, so only the first and the last one of
     a chunk can go on in another: these two rows per chunk are added up and broadcast.
     """
     own = Window.partitionBy(CHUNK, stretch)
-    first = f"_{position}"
+    first, firsts = f"_{position}", firsts or {}
+    made = {**{n: F.sum(c) for n, c in sums.items()}, **{n: F.min_by(c, position) for n, c in firsts.items()}}
     parts = ordered.groupBy(CHUNK, stretch).agg(
-        *[F.sum(c).alias(n) for n, c in sums.items()], F.min(position).alias(first)
+        *[c.alias(n) for n, c in made.items()], F.min(position).alias(first)
     )
-    part = F.struct(stretch, *sums, first)
+    part = F.struct(stretch, *made, first)
     ends = parts.groupBy(CHUNK).agg(F.min_by(part, stretch).alias("_low"), F.max_by(part, stretch).alias("_high"))
     both = F.when(F.col(f"_low.{stretch}") == F.col(f"_high.{stretch}"), F.array("_low")).otherwise(F.array("_low", "_high"))
     crossing = (
         ends.select(F.inline(both)).groupBy(stretch)
-        .agg(*[F.sum(n).alias(f"_all_{n}") for n in sums], F.min(first).alias(first), F.count(F.lit(1)).alias("_parts"))
+        .agg(
+            *[F.sum(n).alias(f"_all_{n}") for n in sums], *[F.min_by(n, first).alias(f"_all_{n}") for n in firsts],
+            F.min(first).alias(first), F.count(F.lit(1)).alias("_parts"),
+        )
         .where("_parts > 1").drop("_parts")
     )
     found = ordered.withColumns(
-        {**{n: F.sum(c).over(own) for n, c in sums.items()}, "_own": F.min(position).over(own)}
+        {**{n: c.over(own) for n, c in made.items()}, "_own": F.min(position).over(own)}
     ).join(F.broadcast(crossing), stretch, "left")
-    whole = {n: F.when(F.col(first).isNull(), F.col(n)).otherwise(F.col(f"_all_{n}")) for n in sums}
+    whole = {n: F.when(F.col(first).isNull(), F.col(n)).otherwise(F.col(f"_all_{n}")) for n in made}
     whole[place] = (F.col(position) - F.coalesce(first, "_own") + 1).cast("int")
-    return found.withColumns(whole).drop("_own", first, *[f"_all_{n}" for n in sums])
+    return found.withColumns(whole).drop("_own", first, *[f"_all_{n}" for n in made])
 
 
 def without_order(df: DataFrame) -> DataFrame:

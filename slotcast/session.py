@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_sweeping, _lock = {"depth": 0, "before": None}, threading.Lock()
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, name: str = "slotcast"):
@@ -66,17 +71,39 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the tables stored inside go when each is stored, not when the driver collects garbage.
+
+    Fits may store tables side by side, so the last one out puts the setting back.
+    """
+    with _lock:
+        if _sweeping["depth"] == 0:
+            _sweeping["before"] = spark.conf.get(SWEEP, None)
+        _sweeping["depth"] += 1
+        spark.conf.set(SWEEP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            _sweeping["depth"] -= 1
+            if _sweeping["depth"] == 0:
+                spark.conf.unset(SWEEP) if _sweeping["before"] is None else spark.conf.set(SWEEP, _sweeping["before"])
+
+
 def stored(df: DataFrame, label: str = "stored") -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back.
 
     For wide tables of many rows that are read again and again: each later pass reads its columns only.
     """
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with swept(df.sparkSession):
+        df.select("*").write.parquet(path)  # the new frame takes the setting
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and keep the result in the shared folder (survives lost executors)."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    with swept(df.sparkSession):
+        return df.select("*").checkpoint()  # the new frame takes the setting

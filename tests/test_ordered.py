@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +124,36 @@ def test_quantiles_of_nothing_and_of_one_row(spark):
 def test_empty_input(spark):
     df = spark.createDataFrame([], "k int, v int")
     assert O.with_running(O.in_order(df, "k"), {"t": "v"}).count() == 0
+
+
+def test_firsts_of_stretches_across_chunks(spark):
+    rows = [(i, i // 7, None if i % 7 == 0 and i % 2 else i * 10) for i in range(60)]
+    df = O.in_order(spark.createDataFrame(rows, "k int, run int, v int").repartition(3), "k", chunks=9)
+    got = O.with_stretches(O.with_position(df), "run", {"total": "v"}, "place", firsts={"head": "v", "at": "k"}).collect()
+    assert len(got) == 60
+    for r in got:
+        mine = [v for k, run, v in rows if run == r.run]
+        assert (r.at, r.head, r.total, r.place) == (r.run * 7, mine[0], sum(v for v in mine if v is not None), r.k % 7 + 1)
+
+
+def test_shuffle_files_go_with_each_stored_table(spark):
+    from slotcast import session
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        found = manager.getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    before = shuffled()
+    setting = spark.conf.get(session.SWEEP, None)
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    for make in (session.stored, session.settle, lambda x: O.in_buckets(x, "k", chunks=3)):
+        assert make(df).count() == 7
+        assert spark.conf.get(session.SWEEP, None) == setting
+    for _ in range(50):  # files are removed by messages
+        own = {n for n in shuffled() - before if n.endswith(".data")}
+        if len(own) <= 3:  # those of the three counts, which are no stored tables
+            break
+        time.sleep(0.1)
+    assert len(own) <= 3
