@@ -129,16 +129,25 @@ def apply_lists(df: DataFrame, fitted: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def lag_columns(df: DataFrame, base: DataFrame) -> DataFrame:
-    """Previous week per key, previous day per category, previous show."""
+    """Previous week per key, previous day per category, previous show.
+
+    The shows and the products' weeks may be too many for a broadcast, so both lookups may exchange all
+    rows.  They come first, while the rows are narrowest, and each is stored, so that only the exchange
+    of one of them lies on disk at a time.
+    """
+    first = df.columns
     price, count = lags.mean_of("unit_price"), lags.distinct_shows()
+    df = stored(lags.prev_show_mean_price(df, "lag_all_price_show", source=base), "shows")
     for short, key in LAG_KEYS:
         named = {f"lag_{short}_price": price, f"lag_{short}_count": count}
         df = lags.prev_week(df, key, named, source=base)
+        if key == "product_code":
+            df = stored(df, "weeks")
     named = {"lag_bigcat_price_day": price, "lag_bigcat_count_day": count}
     df = lags.prev_day(df, "category", named, source=base)
-    df = lags.prev_show_mean_price(df, "lag_all_price_show", source=base)
+    late = [c for c in df.columns if c not in (*first, "lag_all_price_show")]
     # the studied feature of this name is per show as well
-    return df.withColumn("lag_all_price_day", F.col("lag_all_price_show"))
+    return df.select(*first, *late, "lag_all_price_show", F.col("lag_all_price_show").alias("lag_all_price_day"))
 
 
 def external_columns(df: DataFrame, side: SideTables, config: FeatureConfig) -> DataFrame:
@@ -193,10 +202,12 @@ def stage(rows: DataFrame, side: SideTables, config: FeatureConfig) -> DataFrame
     """Schedule rows with calendar, shows and categories, stored.
 
     The calendar comes from each row alone, so it is added after the joins and is not shuffled.
+    Rows with shows are stored before they meet the categories, so that only the exchange for one of the
+    two lies on disk at a time.
     """
     first = calendar_columns(rows, config).columns
     df = shows.show_sequence(shows.fill_exposed(rows), config.run_key, config.carry_key)
-    df = encode.drop_rows(df, config.mode)
+    df = stored(encode.drop_rows(df, config.mode), "shown")
     if side.tree is not None:
         columns = [c for c in side.tree.columns if c not in ("ts", "product_code")]
         df = external.add_categories(df, side.tree, columns)

@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from slotcast import session
 from slotcast.operators import lags
 from slotcast.plans import features as FE
 from slotcast.workload import encodings, planning
@@ -90,3 +91,41 @@ def test_model_rows_are_read_by_column(spark, tables):
     rows = encodings.modelled(spark, tables)
     assert rows.count() == 600
     assert "ReadSchema: struct<unit_price:double,sales:double>" in physical(rows.select("unit_price", "sales"))
+
+
+def test_rows_with_shows_are_stored_before_the_categories(spark, tables, monkeypatch):
+    plans = {}
+
+    def watched(df, label="stored"):
+        plans[label] = physical(df)
+        return session.stored(df, label)
+
+    monkeypatch.setattr(FE, "stored", watched)
+    base = staged(spark, tables)[2]
+    assert list(plans) == ["shown", "stage"]
+    assert "small_c" not in plans["shown"] and "parttime" in plans["shown"]
+    # the categories' run reads rows with shows, and makes neither shows nor their windows
+    assert "Window" not in plans["stage"] and "/shown-" in plans["stage"]
+    rows = planning._base_rows(spark, tables)[1].where("sales IS NOT NULL AND sales != 50000")
+    named = ["ts", "product_code", "sales", *planning.TREE]
+    assert base.select(*named).exceptAll(rows.select(*named)).count() == 0
+    assert base.count() == rows.count()
+
+
+def test_large_lookups_are_stored_one_by_one(spark, tables, monkeypatch):
+    base, labels = staged(spark, tables)[2], []
+
+    def watched(df, label="stored"):
+        labels.append((label, [c for c in df.columns if c not in base.columns]))
+        return session.stored(df, label)
+
+    monkeypatch.setattr(FE, "stored", watched)
+    df = FE.lag_columns(base.select("ts", "ymd", "product_code", "mother_code", "category", "small_c", "show_id"), base)
+    assert labels == [("shows", ["lag_all_price_show"]), ("weeks", ["lag_all_price_show", "lag_scode_price", "lag_scode_count"])]
+    assert df.columns[7:10] == ["lag_scode_price", "lag_scode_count", "lag_mcode_price"]
+    assert df.columns[-3:] == ["lag_bigcat_count_day", "lag_all_price_show", "lag_all_price_day"]
+    # rows of a later show have the mean price of the show before, rows of the first one 0
+    shows = sorted((r.at, r.show_id, r.mean) for r in base.groupBy("show_id").agg(F.min("ts").alias("at"), F.avg("unit_price").alias("mean")).collect())
+    prices = {name: before[2] if before else 0.0 for before, (_, name, _) in zip([None, *shows], shows)}
+    got = df.collect()
+    assert len(got) == base.count() and all(r.lag_all_price_show == pytest.approx(prices[r.show_id]) for r in got)
