@@ -88,6 +88,9 @@ ROUNDS = 20
 BIN_MINUTES = 15
 #: Times that share a part of such a bin, about.
 PART_TIMES = 16
+#: Wide rows that are exchanged and stored at once, and into how many slices a table is cut at most.
+SLICE_ROWS = 500_000
+MAX_SLICES = 8
 TOP_SLICES = {"weekday": (4004, 2013), "weekend": (2206, 999), "schedule": (5500, 2500)}
 MIX_TOP = {
     "test": {"weekday": 727, "weekend": 249},

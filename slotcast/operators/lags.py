@@ -96,15 +96,19 @@ def prev_show_mean_price(
     df: DataFrame, name: str = "lag_all_price_show", show: str = "show_id",
     chunks: int | None = None, source: DataFrame | None = None,
 ) -> DataFrame:
-    """Mean unit price of the show before, in order of first appearance; 0 for the first show."""
+    """Mean unit price of the show before, in order of first appearance; 0 for the first show.
+
+    Shows may be almost as many as rows, so they are stored once, in order, and not as a lookup again.
+    """
     shows = (df if source is None else source).where(F.col(show).isNotNull()).groupBy(show).agg(
         F.min("ts").alias("_first"), F.avg("unit_price").alias("_price")
     )
-    seq = O.with_previous(O.in_order(shows, "_first", show, chunks=chunks), ["_price"], "_prev")
+    ordered = O.in_buckets(shows, "_first", show, chunks=chunks)
+    seq = O.with_previous(ordered, ["_price"], "_prev")
     before = O.without_order(seq).select(
         show, F.when(F.col("_prev").isNull(), F.lit(0.0)).otherwise(F.col("_prev._price")).alias(name)
     )
-    return lookup_join(df, before, show)
+    return lookup_join(df, before, show, rows=ordered.count())
 
 
 def lag_sales(

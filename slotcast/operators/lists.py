@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import constants as K
 from ..functions.scalar import safe_divide
-from ..session import settle
+from ..session import scratch, settle, stored
 from ..sources.tables import read_table, write_table
 from . import ordered as O
 from .lookup import lookup_join
@@ -80,10 +80,13 @@ def fit_steady(
 
 def fit_brand_power(df: DataFrame, key: str = "mother_code", q: float = K.BRAND_QUANTILE):
     """Keys with a row above the quantile of both sales power and unit price."""
-    rows = settle(df.select(key, "sales_power", "unit_price"))
-    cuts = O.quantiles_of(rows, {"sales_power": [q], "unit_price": [q]}, stored=True)
-    above = [F.col(c) > F.lit(cut).cast("double") for c, (cut,) in cuts.items()]
-    return rows.where(above[0] & above[1]).select(key).distinct()
+    with scratch(df.sparkSession) as made:
+        rows = stored(df.select(key, "sales_power", "unit_price"), "powered")
+        cuts = O.quantiles_of(rows, {"sales_power": [q], "unit_price": [q]}, stored=True)
+        above = [F.col(c) > F.lit(cut).cast("double") for c, (cut,) in cuts.items()]
+        found = settle(rows.where(above[0] & above[1]).select(key).distinct())
+        made.free()
+    return found
 
 
 def per_show(value: str) -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import new_path, settle, swept
+from ..session import CODEC, scratch_path, settle, swept
 
 CHUNK, PLACE, POSITION = "_chunk", "_place", "_position"
 BINS = 4096
@@ -51,7 +51,8 @@ def in_buckets(df: DataFrame, *order: Column | str, chunks: int | None = None) -
     name = f"slotcast_{uuid.uuid4().hex}"
     buckets = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     with swept(spark):
-        writer = _numbered(df, order, chunks).write.format("parquet").option("path", new_path(spark, "ordered"))
+        writer = _numbered(df, order, chunks).write.format("parquet").option("compression", CODEC)
+        writer = writer.option("path", scratch_path(spark, "ordered"))
         writer.bucketBy(buckets, CHUNK).sortBy(PLACE).saveAsTable(name)
     kept = spark.table(name)
     spark.sql(f"DROP TABLE {name}")

@@ -17,7 +17,7 @@ from .. import constants as K
 from ..functions import scalar as S
 from ..operators import encode, external, history, lags, lists, shows
 from ..operators.lookup import lookup_join, member_flag
-from ..session import settle, stored
+from ..session import discard, scratch, settle, sliced, stored
 from ..sources.tables import read_table, write_table
 
 GRID_MODES = ("hungarian", "hungarian_h1")
@@ -129,21 +129,43 @@ def apply_lists(df: DataFrame, fitted: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def lag_columns(df: DataFrame, base: DataFrame) -> DataFrame:
-    """Previous week per key, previous day per category, previous show.
+    """Previous week per key, previous day per category, previous show."""
+    return _small_lags(_large_lags(df, base), base, df.columns)
+
+
+def _large_lags(df: DataFrame, base: DataFrame, last: bool = False) -> DataFrame:
+    """Lags per show and per product and week, stored.
 
     The shows and the products' weeks may be too many for a broadcast, so both lookups may exchange all
-    rows.  They come first, while the rows are narrowest, and each is stored, so that only the exchange
-    of one of them lies on disk at a time.
+    rows.  They come first, while the rows are narrowest, and each is stored in slices, so that only the
+    exchange of one slice lies on disk at a time.  With ``last`` the rows have all that is read of
+    ``base`` from then on, so it goes when they are stored.
     """
-    first = df.columns
-    price, count = lags.mean_of("unit_price"), lags.distinct_shows()
-    df = stored(lags.prev_show_mean_price(df, "lag_all_price_show", source=base), "shows")
-    for short, key in LAG_KEYS:
-        named = {f"lag_{short}_price": price, f"lag_{short}_count": count}
+    rows = base.count()
+    with scratch(df.sparkSession) as made:
+        with sliced("show_id", rows):
+            df = stored(lags.prev_show_mean_price(df, "lag_all_price_show", source=base), "shows")
+        made.free(df)
+        if last:
+            discard(base)
+            base = df
+        with sliced("product_code", rows):
+            df = stored(_week_lags(df, base, LAG_KEYS[:1]), "weeks")
+        made.free(df)
+    return df
+
+
+def _week_lags(df: DataFrame, base: DataFrame, keys) -> DataFrame:
+    for short, key in keys:
+        named = {f"lag_{short}_price": lags.mean_of("unit_price"), f"lag_{short}_count": lags.distinct_shows()}
         df = lags.prev_week(df, key, named, source=base)
-        if key == "product_code":
-            df = stored(df, "weeks")
-    named = {"lag_bigcat_price_day": price, "lag_bigcat_count_day": count}
+    return df
+
+
+def _small_lags(df: DataFrame, base: DataFrame, first: list[str]) -> DataFrame:
+    """The other lags, and all of them in their order after the columns ``first``."""
+    df = _week_lags(df, base, LAG_KEYS[1:])
+    named = {"lag_bigcat_price_day": lags.mean_of("unit_price"), "lag_bigcat_count_day": lags.distinct_shows()}
     df = lags.prev_day(df, "category", named, source=base)
     late = [c for c in df.columns if c not in (*first, "lag_all_price_show")]
     # the studied feature of this name is per show as well
@@ -202,27 +224,38 @@ def stage(rows: DataFrame, side: SideTables, config: FeatureConfig) -> DataFrame
     """Schedule rows with calendar, shows and categories, stored.
 
     The calendar comes from each row alone, so it is added after the joins and is not shuffled.
-    Rows with shows are stored before they meet the categories, so that only the exchange for one of the
-    two lies on disk at a time.
+    Rows with shows are stored before they meet the categories, both in slices, so that only the exchange
+    for one slice of the two lies on disk at a time.
     """
     first = calendar_columns(rows, config).columns
-    df = shows.show_sequence(shows.fill_exposed(rows), config.run_key, config.carry_key)
-    df = stored(encode.drop_rows(df, config.mode), "shown")
-    if side.tree is not None:
-        columns = [c for c in side.tree.columns if c not in ("ts", "product_code")]
-        df = external.add_categories(df, side.tree, columns)
-    df = calendar_columns(df, config)
-    return stored(df.select(*first, *[c for c in df.columns if c not in first]), "stage")
+    n = rows.count()
+    with scratch(rows.sparkSession) as made:
+        df = shows.show_sequence(shows.fill_exposed(rows), config.run_key, config.carry_key)
+        with sliced("ts", n):
+            df = stored(encode.drop_rows(df, config.mode), "shown")
+        made.free(df)
+        if side.tree is not None:
+            columns = [c for c in side.tree.columns if c not in ("ts", "product_code")]
+            df = external.add_categories(df, side.tree, columns)
+        df = calendar_columns(df, config)
+        with sliced("ts", n):
+            df = stored(df.select(*first, *[c for c in df.columns if c not in first]), "stage")
+        made.free(df)
+    return df
 
 
-def finish(base: DataFrame, side: SideTables, config: FeatureConfig) -> Features:
+def finish(base: DataFrame, side: SideTables, config: FeatureConfig, last: bool = False) -> Features:
     """All other features of staged rows.
 
     Lags and sales power go by products and shows, whose tables may be too large for a broadcast.  They
-    are looked up first, while the rows lack the calendar, so what is shuffled is narrow.
+    are looked up first, while the rows lack the calendar, so what is shuffled is narrow.  With ``last``
+    the staged rows are not read again by anyone else, and go when these lags are stored.
     """
     fitted = fit_lists(base, config) if config.mode == "train" else side.lists
-    df = lag_columns(base.drop(*_calendar(config)), base)
+    narrow = base.drop(*_calendar(config))
+    df = _large_lags(narrow, base, last)
+    base = calendar_columns(df, config).select(*base.columns)  # the same rows, with their lags at hand
+    df = _small_lags(df, base, narrow.columns)
     lagged = [c for c in df.columns if c not in base.columns]
     power = ["sales_power"] if config.mode == "train" else []
     if power:
@@ -241,7 +274,8 @@ def finish(base: DataFrame, side: SideTables, config: FeatureConfig) -> Features
 
 def run_all(rows: DataFrame, side: SideTables, config: FeatureConfig = FeatureConfig()) -> Features:
     """Full feature set of normalised schedule rows (train or test)."""
-    return finish(stage(rows, side, config), side, config)
+    with scratch(rows.sparkSession):
+        return finish(stage(rows, side, config), side, config, last=True)
 
 
 def run_candidates(grid: DataFrame, side: SideTables, config: FeatureConfig) -> DataFrame:
@@ -261,8 +295,13 @@ def run_candidates(grid: DataFrame, side: SideTables, config: FeatureConfig) ->
 
 
 def write_features(features: Features, folder: str) -> str:
-    """Full set, partitioned by weekend flag and month, plus the fitted lists."""
-    write_table(features.frame, f"{folder}/features", partition_by=["weekends", "months"])
+    """Full set, partitioned by weekend flag and month, plus the fitted lists.
+
+    Many features go by day and category level, so files are sorted by these and hold their values as runs.
+    """
+    parts = ["weekends", "months"]
+    order = [c for c in (*parts, "ymd", "small_c", "middle_c", "big_c") if c in features.frame.columns]
+    write_table(features.frame.sortWithinPartitions(*order), f"{folder}/features", partition_by=parts)
     lists.save_lists(dict(features.lists), f"{folder}/lists")
     return folder
 

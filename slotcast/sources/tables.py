@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, types as T, functions as F
 
 from ..functions.scalar import safe_divide, zero_fill
+from ..session import CODEC
 
 SALES_SCHEMA = T.StructType(
     [
@@ -61,6 +62,8 @@ def write_table(
     writer = df.write.mode("errorifexists").format(fmt)
     if fmt != "parquet":
         writer = writer.options(**TEXT_OPTIONS, **({"header": True} if fmt == "csv" else {}))
+    else:
+        writer = writer.option("compression", CODEC)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)

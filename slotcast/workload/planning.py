@@ -12,7 +12,7 @@ from ..operators import reports, schedule
 from ..operators.encode import stack
 from ..operators.lookup import lookup_join
 from ..plans import features as FE, forecasting, scheduling
-from ..session import new_path, settle, stored
+from ..session import discard, new_path, scratch, settle, stored
 from ..sources import bindings as B
 from .base import feat, query, r, rs, sql, u_sql
 from .joining import LEVELS, forecast_table
@@ -336,11 +336,19 @@ RAW = [
 UNDIVIDED = replace(CONFIG, divided=False)
 
 
+def _train(spark, sf, config):
+    """Training features of all days; the airings go once the side tables are looked up."""
+    with scratch(spark):
+        aired, rows = _base_rows(spark, sf)
+        made = FE.run_all(rows.select(*RAW), _side(spark, sf, aired, rows), config)
+        discard(aired)
+    return made
+
+
 @query("train_features_undivided")
 def train_features_undivided(spark, sf):
     """Full training feature set with sales lags over all days."""
-    aired, rows = _base_rows(spark, sf)
-    return FE.run_all(rows.select(*RAW), _side(spark, sf, aired, rows), UNDIVIDED).frame
+    return _train(spark, sf, UNDIVIDED).frame
 
 
 @query(
@@ -362,9 +370,7 @@ def undivided_lags(spark, sf):
 @query("train_features")
 def train_features(spark, sf):
     """Full training feature set, written and read back."""
-    aired, rows = _base_rows(spark, sf)
-    made = FE.run_all(rows.select(*RAW), _side(spark, sf, aired, rows), CONFIG)
-    folder = FE.write_features(made, new_path(spark, "train"))
+    folder = FE.write_features(_train(spark, sf, CONFIG), new_path(spark, "train"))
     return FE.read_features(spark, folder)
 
 
@@ -373,8 +379,10 @@ def _years(spark, sf, config=CONFIG):
     aired, rows = _base_rows(spark, sf)
     past, late = rows.where(F.dayofmonth("ymd") <= 20), rows.where(F.dayofmonth("ymd") > 20)
     side = _side(spark, sf, aired, rows)
-    made = FE.run_all(past.select(*RAW), side, config)
-    train = stored(made.frame, "train")
+    with scratch(spark) as run:
+        made = FE.run_all(past.select(*RAW), side, config)
+        train = stored(made.frame, "train")
+        run.free(train)
     month = F.when(F.col("days") <= 8, 6).when(F.col("days") <= 14, 8).otherwise(12)
     return rows, late, train.withColumns({"months": month, "days": F.col("days") + 10}), made.lists, side
 

@@ -1,11 +1,12 @@
 """How the feature plan stores, orders and spreads its rows."""
 
 import datetime
+import pathlib
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameWriter, functions as F
 
-from slotcast import session
+from slotcast import constants as K, session
 from slotcast.operators import lags
 from slotcast.plans import features as FE
 from slotcast.workload import encodings, planning
@@ -129,3 +130,66 @@ def test_large_lookups_are_stored_one_by_one(spark, tables, monkeypatch):
     prices = {name: before[2] if before else 0.0 for before, (_, name, _) in zip([None, *shows], shows)}
     got = df.collect()
     assert len(got) == base.count() and all(r.lag_all_price_show == pytest.approx(prices[r.show_id]) for r in got)
+
+
+def test_tables_that_nobody_reads_again_are_gone(spark, tables, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    made = planning.train_features_undivided(spark, tables)
+    # airings, slots, rows with shows and the stage are read by no later step, the rows with large lags are
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert left == {"weeks"}
+    monkeypatch.undo()
+    rows = planning._base_rows(spark, tables)[1].where("sales IS NOT NULL AND sales != 50000")
+    assert made.select("ts", "product_code", "sales").exceptAll(rows.select("ts", "product_code", "sales")).count() == 0
+    assert made.count() == rows.count()
+
+
+def test_wide_joins_are_stored_in_slices(spark, tables, monkeypatch):
+    whole = planning.train_features_undivided(spark, tables)
+    seen, plain = [], DataFrameWriter.parquet
+
+    def watched(writer, path, *args, **more):
+        seen.append((path.rsplit("/", 1)[1].rsplit("-", 1)[0], writer._df.count()))
+        return plain(writer, path, *args, **more)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", watched)
+    monkeypatch.setattr(K, "SLICE_ROWS", 200)
+    cut = planning.train_features_undivided(spark, tables)
+    n = whole.count()
+    for label in ("shown", "stage", "shows", "weeks"):
+        own = [rows for name, rows in seen if name == label]
+        assert len(own) == 3 and sum(own) == n and max(own) < n, label
+    # what is not joined by the key is stored at once
+    assert [name for name, _ in seen].count("slots") == [name for name, _ in seen].count("airings") == 1
+    rounded = [F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in whole.dtypes]
+    assert cut.columns == whole.columns and cut.count() == n
+    assert cut.select(*rounded).exceptAll(whole.select(*rounded)).count() == 0
+
+
+def test_slices_hold_every_row_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(K, "SLICE_ROWS", 10)
+    rows = [(None if i % 5 == 0 else i % 7, i) for i in range(35)] + [(3, 1), (None, 0)]
+    df = spark.createDataFrame(rows, "k int, v int")
+    with session.sliced("k", len(rows)):
+        got = session.stored(df)
+        assert session.stored(df.where("false")).count() == 0
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.collect()))
+    with session.scratch(spark) as made:
+        first, second = session.stored(df), session.stored(df)
+        with session.scratch(spark):
+            third = session.stored(df, "third")
+        session.discard(got)  # not made inside, so it stays
+        made.free(second)
+    assert got.count() == second.count() == len(rows)
+    for gone in (first, third):
+        assert not pathlib.Path(gone.inputFiles()[0].removeprefix("file:")).exists()
+
+
+def test_written_features_are_sorted_by_day_and_level(spark, tables, tmp_path):
+    made = planning._train(spark, tables, planning.CONFIG)
+    FE.write_features(made, str(tmp_path / "out"))
+    for file in (tmp_path / "out/features").rglob("*.parquet"):
+        found = [(r.ymd, r.small_c, r.middle_c) for r in spark.read.parquet(str(file)).select("ymd", "small_c", "middle_c").coalesce(1).collect()]
+        assert found == sorted(found)
+    back = FE.read_features(spark, str(tmp_path / "out")).select("ts", "product_code", "show_id")
+    assert back.exceptAll(made.frame.select("ts", "product_code", "show_id")).count() == 0 and back.count() == made.frame.count()
