@@ -70,7 +70,7 @@ def test_bins_hold_about_equal_counts():
     assert list(boosting.thresholds(np.array([3.0, 3.0]), 10)) == []
 
 
-@pytest.mark.parametrize("run", ["forecast"])
+@pytest.mark.parametrize("run", ["forecast", "counterfactual"])
 def test_runs_take_all_rounds_of_the_table(run, rows, monkeypatch):
     asked = []
 
