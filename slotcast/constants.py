@@ -94,6 +94,8 @@ PART_TIMES = 16
 #: Wide rows that are exchanged and stored at once, and into how many slices a table is cut at most.
 SLICE_ROWS = 500_000
 MAX_SLICES = 8
+#: More partitions than any table has, so that ``session.apart`` joins none of them.
+MOST_PARTITIONS = 1_000_000
 TOP_SLICES = {"weekday": (4004, 2013), "weekend": (2206, 999), "schedule": (5500, 2500)}
 MIX_TOP = {
     "test": {"weekday": 727, "weekend": 249},

@@ -17,7 +17,7 @@ from .. import constants as K
 from ..functions import scalar as S
 from ..operators import encode, external, history, lags, lists, shows
 from ..operators.lookup import lookup_join, member_flag
-from ..session import discard, scratch, settle, sliced, stored
+from ..session import apart, discard, scratch, settle, sliced, stored
 from ..sources.tables import read_table, write_table
 
 GRID_MODES = ("hungarian", "hungarian_h1")
@@ -282,16 +282,29 @@ def run_candidates(grid: DataFrame, side: SideTables, config: FeatureConfig) ->
     """Reduced feature set of a candidate grid that already carries its category columns."""
     if config.mode not in GRID_MODES:
         raise ValueError(f"mode must be one of {GRID_MODES}")
-    df = calendar_columns(encode.drop_rows(grid, config.mode), config)
-    df = df.withColumns({"parttime": F.lit(1), "min_range": F.lit(60.0)})
+    df = encode.drop_rows(grid, config.mode)
+    # the lookups come before the columns that the row itself tells: with too many columns at hand the generated
+    # code of a join gets too long for the compiler, and every cell then takes many times as long
+    keys = {c: column for c, column in _calendar(config).items() if c in ("months", "days", "hours")}
+    first = [c for c in calendar_columns(df, config).columns if c not in ("parttime", "min_range", "show_id")]
+    flat = {"parttime": F.lit(1), "min_range": F.lit(60.0)}
+    shown = ["show_id"]
     if config.mode == "hungarian":
-        df = df.withColumn("show_id", shows.hourly_show_id("ts"))
+        flat["show_id"] = shows.hourly_show_id("ts")
     else:
         ids = shows.slot_show_ids(df.select("ts", "ymd").distinct())
+        shown = [c for c in ids.columns if c not in df.columns]
         df = lookup_join(df, ids, "ts", "inner")
-    df = apply_lists(item_columns(df, config), side.lists)
+    df = df.withColumns(keys)
+    known = df.columns
+    df = apply_lists(df, side.lists)
     df = external_columns(df, side, config)
-    return sales_history_columns(df, df, side, config)
+    df = sales_history_columns(df, df, side, config)
+    looked_up = [c for c in df.columns if c not in known]
+    df = apart(df).withColumns({**_calendar(config), **flat})
+    items = item_columns(df, config)
+    item = [c for c in items.columns if c not in df.columns]
+    return items.select(*first, "parttime", "min_range", *shown, *item, *looked_up)
 
 
 def write_features(features: Features, folder: str) -> str:

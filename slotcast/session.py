@@ -188,6 +188,14 @@ def stored(df: DataFrame, label: str = "stored") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """The same rows and partitions; code is generated for what comes before and what comes after on its own.
+
+    Long chains over many columns would otherwise become one method that the compiler of the JVM leaves alone.
+    """
+    return df.coalesce(K.MOST_PARTITIONS)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and keep the result in the shared folder (survives lost executors)."""
     shared_dir(df.sparkSession)
