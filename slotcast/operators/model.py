@@ -88,9 +88,10 @@ def predict(
     """``df`` with the model's value as ``name``; feature columns keep their own values."""
     numeric = [f for f in features if f not in categorical]
     ready = PipelineModel(model.stages[:-1]).transform(with_inputs(df, numeric))
-    # the assembler makes vectors sparse, in which each of the trees' thousands of looks is a search
-    dense = array_to_vector(vector_to_array("features"))
-    scored = model.stages[-1].transform(ready.withColumn("features", dense))
+    if model.stages[-1].getNumTrees >= K.MANY_ROUNDS:
+        # the assembler makes vectors sparse, in which each of the trees' thousands of looks is a search
+        ready = ready.withColumn("features", array_to_vector(vector_to_array("features")))
+    scored = model.stages[-1].transform(ready)
     return scored.select(*df.columns, F.col("prediction").alias(name))
 
 

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as K
 from ..operators import encode, model
-from ..operators.evaluate import metrics, time_split
+from ..operators.evaluate import metrics, mix_predictions, time_split
 from ..operators.schedule import submission
-from ..session import settle, stored
+from ..session import apart, settle, stored
 from .features import FeatureConfig, SideTables, finish, stage
 
 PARTS = {"weekday": 0, "weekend": 1}
@@ -31,7 +31,8 @@ def encoded(frames: Sequence[DataFrame], columns: Sequence[str] = CODED) -> list
     """
     frames = [f.withColumn("product_no", F.col("product_code")) for f in frames]
     columns = [c for c in columns if all(c in f.columns for f in frames)]
-    codes = settle(encode.code_tables(encode.stack([f.select(*columns) for f in frames]), columns))
+    values = [f.select(*columns).distinct() for f in frames]  # many rows have few of them
+    codes = settle(encode.code_tables(encode.stack(values), columns))
     return [encode.label_encode(encode.na_to_zeroes(f), columns, codes) for f in frames]
 
 
@@ -120,20 +121,34 @@ def forecast(
 def score_candidates(
     train: DataFrame, candidates: DataFrame, month: int = 8,
     sizes: tuple[int, int] = K.TOP_SLICES["schedule"], n_top: int = K.MIX_TOP["schedule"],
-    rounds: int | None = K.ROUNDS,
+    rounds: int | None = K.ROUNDS, kept: Sequence[str] = ("category",),
 ) -> DataFrame:
-    """Candidate rows with the base model's value ``pred`` and the mixed one ``pred_mixed``.
+    """Key and ``kept`` columns of candidates, the base model's value ``pred`` and the mixed one ``pred_mixed``, stored.
 
-    Both models are fitted on the columns that candidates have as well.
+    Both models are fitted on the columns that candidates have as well.  Candidates are many, so they are neither
+    stored nor joined with their scores: one pass makes, codes and scores them and stores narrow rows.
     """
     shared = [c for c in train.columns if c in candidates.columns and c not in CANDIDATE_DROPS]
-    coded_train, coded_grid = (stored(f, "coded") for f in encoded([train, candidates]))
+    own = {c: f"_own_{c}" for c in kept}
+    score = "mean_sales_origin"
+    named = candidates.where(F.col(KEYS[0]).isNotNull() & F.col(KEYS[1]).isNotNull()).withColumns(
+        {name: F.col(c) for c, name in own.items()}
+    )
+    needed = [c for c in named.columns if c in {*shared, *own.values(), *KEYS, *CODED, score}]
+    coded_train, coded_grid = encoded([train, apart(named.select(*needed))])
+    coded_train = stored(coded_train, "coded")
     names = input_columns(coded_train, None, shared)
     sets = [c for c in names if c in SETS]
-    models = model.fit_two_tier(coded_train, names, "weekday", month, sizes, rounds, sets)
-    scored = model.score_two_tier(models, coded_grid, names, n_top, sets)
-    found = scored.select(*KEYS, F.col("pred_base").alias("pred"), F.col("prediction").alias("pred_mixed"))
-    return candidates.join(settle(found), list(KEYS))
+    base, top = model.fit_two_tier(coded_train, names, "weekday", month, sizes, rounds, sets)
+    rows = apart(coded_grid.select(*KEYS, *own.values(), *dict.fromkeys([score, *names])))
+    for fitted, name in ((base, "pred_base"), (top, "pred_top")):
+        rows = apart(model.predict(fitted, rows, names, name, sets))
+    scored = stored(rows.select(*KEYS, *own.values(), score, "pred_base", "pred_top"), "scored")
+    mixed = mix_predictions(scored, n_top, keys=list(KEYS))
+    return mixed.select(
+        *KEYS, *[F.col(name).alias(c) for c, name in own.items()],
+        F.col("pred_base").alias("pred"), F.col("prediction").alias("pred_mixed"),
+    )
 
 
 def counterfactual(

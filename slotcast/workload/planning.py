@@ -436,11 +436,7 @@ def model_schedule(spark, sf):
     Categories are drawn with their shares of the shows seen in training.
     """
     rows, train, made = _candidates(spark, sf, "hungarian", UNDIVIDED)
-    scored = settle(
-        forecasting.score_candidates(train, stored(made, "grid")).select(
-            "ts", "product_code", "category", "pred", "pred_mixed"
-        )
-    )
+    scored = settle(forecasting.score_candidates(train, made))
     shares = reports.category_mix(train, include_margin=False).where("category IS NOT NULL AND category != 'All'")
     mix = [tuple(row) for row in shares.orderBy("category").select("category", "mix").collect()]  # one per category
     plan = scheduling.two_level(scored, rows, mix, LATE)

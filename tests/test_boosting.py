@@ -94,3 +94,34 @@ def test_runs_take_all_rounds_of_the_table(run, rows, monkeypatch):
         else:
             forecasting.counterfactual(frame, frame, None, forecasting.FeatureConfig())
     assert asked and all(p in K.MODEL_PARAMS.values() and p["maxIter"] > 2900 for p in asked)
+
+
+def test_candidates_are_scored_in_one_pass_of_narrow_rows(spark, monkeypatch):
+    made = spark.range(400).select(
+        F.expr("timestamp_ntz'2024-06-01' + make_interval(0, 0, 0, 0, int(id))").alias("ts"),
+        F.concat(F.lit("p"), F.col("id") % 20).alias("product_code"), F.concat(F.lit("cat"), F.col("id") % 3).alias("category"),
+        F.when(F.col("id") % 2 == 0, "s1").otherwise("s2").alias("small_c"), (F.col("id") % 24).cast("int").alias("hours_inweek"),
+        F.when(F.col("id") < 200, 8).otherwise(12).alias("months"), (F.col("id") * 7 % 100).cast("double").alias("mean_sales_origin"),
+    )
+    train = made.withColumn("sales", F.col("mean_sales_origin") + F.col("hours_inweek"))
+    lost = made.where("product_code = 'p3'").limit(1).withColumn("product_code", F.lit(None).cast("string"))
+    grid = made.withColumns({"months": F.lit(6)}).unionByName(lost)
+    kept_tables = {}
+
+    def stored(df, label="stored"):
+        kept_tables[label] = df.columns
+        return settled(df)
+
+    settled = forecasting.settle
+    monkeypatch.setattr(forecasting, "stored", stored)
+    for tier in ("all", "top"):  # so few rows split too
+        monkeypatch.setitem(K.MODEL_PARAMS, ("weekday", tier), {"stepSize": 0.1, "minInstancesPerNode": 5, "maxIter": 3})
+    scored = forecasting.score_candidates(train, grid, month=8, sizes=(100, 50), n_top=10, rounds=3).collect()
+    assert "sales" in kept_tables["coded"] and len(kept_tables["scored"]) == 6  # no other table, and no wide grid
+    assert len(kept_tables) == 2
+    assert scored[0].asDict().keys() == {"ts", "product_code", "category", "pred", "pred_mixed"}
+    want = {(r.ts, r.product_code): r for r in made.collect()}
+    assert len(scored) == 400 and all(want[r.ts, r.product_code].category == r.category for r in scored)
+    best = sorted(want, key=lambda k: (-want[k].mean_sales_origin, *k))[:10]
+    assert {(r.ts, r.product_code) for r in scored if r.pred != r.pred_mixed} <= set(best)
+    assert len({r.pred for r in scored}) > 1
