@@ -304,7 +304,11 @@ def run_candidates(grid: DataFrame, side: SideTables, config: FeatureConfig) ->
     df = apart(df).withColumns({**_calendar(config), **flat})
     items = item_columns(df, config)
     item = [c for c in items.columns if c not in df.columns]
-    return items.select(*first, "parttime", "min_range", *shown, *item, *looked_up)
+    # lookups bring their keys to the front
+    moved = {"hours", "small_c", "mother_code", *LEVEL_KEYS.values(), "ymd", "days", "category", "original_c"}
+    front = [c for c in df.columns if c in moved or (c == "ts" and config.mode != "hungarian")]
+    after = [*first, "parttime", "min_range", *shown, *item, *looked_up]
+    return items.select(*front, *[c for c in after if c not in front])
 
 
 def write_features(features: Features, folder: str) -> str:
